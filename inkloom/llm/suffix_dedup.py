@@ -3,10 +3,12 @@
 1. Anchors (windows.py) turn each text into runs of windows; one row per run, no text.
 2. Runs with equal spans repeat as a whole. They are counted by a partial aggregate.
 3. An anchor under which two different spans occur may still hold windows common to both. One
-   occurrence of each such span is fetched, and suffix arrays (lyndon.py), each over whole groups
-   of one anchor, put equal windows next to each other. Equal windows have equal anchors, so no
-   pair is split over two arrays. Only an anchor with more spans than an array may hold is handled
-   by hashing its windows, dealt by their place before the anchor.
+   occurrence of each such span is fetched. Fingerprints first drop the windows that nothing in
+   their group can equal, and stretches that stand twice are known to repeat. What is left goes to
+   suffix arrays (lyndon.py), each over whole groups of one anchor, which put equal windows next to
+   each other. Equal windows have equal anchors, so no pair is split over two arrays. Only an
+   anchor with more spans than a task may hold is handled by hashing its windows alone, dealt by
+   their hash.
 
 Defined results: null is an empty text; texts shorter than `width` lose nothing; repeated rows are
 copies of each other; further columns are ignored; doc_id may be null or repeat.
@@ -31,7 +33,7 @@ GRAM = 32
 #: Bytes of one suffix array.
 ARRAY_BYTES = 1 << 19
 #: Different spans under one anchor from which windows are hashed instead, and those hashed in one group.
-MANY_SPANS = 600
+MANY_SPANS = 20_000
 HASHED_SPANS = 20_000
 
 RUN = "doc_id long, key long, a int, n int, g long, s long"
@@ -88,39 +90,80 @@ def array_repeats(contents: list[bytes], width: int) -> list[np.ndarray]:
     return flags
 
 
+def stretches(contents: list[bytes], width: int) -> list[list[tuple[int, int]]]:
+    """For each content the ranges of its windows whose fingerprint occurs again in contents: no equal windows are lost."""
+    prints = []
+    for c in contents:
+        at = np.arange(max(0, len(c) - width + 1))
+        prints.append(span_hash(prefix(BYTES[np.frombuffer(c, np.uint8)]), at, at + width))
+    _, back, count = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
+    again = count[back] > 1
+    ends = np.cumsum([len(x) for x in prints])
+    return [flag_runs(again[e - len(x) : e]) for x, e in zip(prints, ends, strict=True)]
+
+
 def _in_arrays(width: int):
-    """Rows (doc_id, key, a, g, s, cnt, content) in order of g -> spans (doc_id, key, a, e) that repeat in part."""
+    """Rows (doc_id, key, a, g, s, cnt, content) in order of g -> spans (doc_id, key, a, e) that repeat in part.
 
-    def solve(rows: list[tuple]) -> list[tuple]:
-        found = []
-        for row, flags in zip(rows, array_repeats([r[6] for r in rows], width), strict=True):
-            if row[5] == 1:
-                found += [(row[0], row[1], row[2] + i, row[2] + j - 1 + width) for i, j in flag_runs(flags)]
-        return found
+    Of a group only stretches that may repeat are read on, each once; those that stand alone in their
+    group are decided by a suffix array, in which the group's other stretches stand too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, last, seen = 0, None, set()
-        ready = 0  # rows of complete groups among those held
+        pool: list[tuple[tuple | None, int, bytes]] = []
+        size = 0
+        group: list[tuple] = []
+        found: list[tuple] = []
+
+        def close() -> None:
+            nonlocal size
+            once: dict[bytes, tuple[tuple, int] | None] = {}
+            for row, ranges in zip(group, stretches([r[6] for r in group], width), strict=True):
+                for i, j in ranges:
+                    content = row[6][i : j - 1 + width]
+                    if content in once:
+                        first = once[content]
+                        if first:
+                            report(first[0], first[1], len(content))
+                            once[content] = None
+                        report(row, i, len(content))
+                    else:
+                        once[content] = (row, i)
+            if len(once) > 1 and any(once.values()):
+                for content, owner in once.items():
+                    pool.append((owner[0] if owner else None, owner[1] if owner else 0, content))
+                    size += len(content)
+
+        def report(row: tuple, i: int, length: int) -> None:
+            if row[5] == 1:
+                found.append((row[0], row[1], row[2] + i, row[2] + i + length))
+
+        def solve() -> None:
+            for (row, at, _), flags in zip(pool, array_repeats([c for _, _, c in pool], width), strict=True):
+                if row:
+                    for i, j in flag_runs(flags):
+                        report(row, at + i, j - i - 1 + width)
+
+        seen: set[int] = set()
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "a", "g", "s", "cnt", "content")), strict=True):
-                if row[3] != last:
-                    last, seen = row[3], set()
-                    ready = len(held)
+                if group and row[3] != group[0][3]:
+                    close()
+                    group, seen = [], set()
                     if size >= ARRAY_BYTES:
-                        yield _spans(solve(held))
-                        held, size, ready = [], 0, 0
-                if row[4] in seen:  # a repeated row brought the same span again
-                    continue
-                if size >= ARRAY_BYTES and ready:
-                    yield _spans(solve(held[:ready]))
-                    held, ready = held[ready:], 0
-                    size = sum(len(r[6]) for r in held)
-                seen.add(row[4])
-                held.append(row)
-                size += len(row[6])
-        if held:
-            yield _spans(solve(held))
+                        solve()
+                        pool, size = [], 0
+                    if len(found) > 10_000:
+                        yield _spans(found)
+                        found = []
+                if row[4] not in seen:  # a repeated row brings the same span again
+                    seen.add(row[4])
+                    group.append(row)
+        if group:
+            close()
+        if pool:
+            solve()
+        yield _spans(found)
 
     return run
 
