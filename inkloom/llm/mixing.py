@@ -101,11 +101,11 @@ FROM (
           / (0.5 + 0.5 * coalesce(length(regexp_replace(text, '[!-@\\[-`{{-~]+', '', 'g')) / CAST(nullif(length(text), 0) AS DOUBLE), 0)) AS draw
       FROM {documents}) d
     JOIN (
-      SELECT source, source_size, least(cap, coalesce(min(CASE WHEN level <= cap / w THEN {{'at': at, 'level': level}} END) OVER ()['level'] * w, cap)) AS target
+      SELECT source, source_size, least(cap, coalesce(min(CASE WHEN level <= cap / w THEN struct_pack(p := pos, level := level) END) OVER ()['level'] * w, cap)) AS target
       FROM (
         SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
-          row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS at
+          row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS pos
         FROM (
           SELECT source, source_size, CAST(list_extract([5, 2, 1], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)) AS DOUBLE) AS w,
             CAST(2 * source_size AS DOUBLE) AS cap, 1.5 * CAST(sum(source_size) OVER () AS DOUBLE) AS budget

@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     full = signed.where("n_shingles > 0 and doc_id is not null")
     # Rows that share a doc_id but not the set hang together by that id.
     classes = stash(full.groupBy("n_shingles", "h1", "h2").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("r")).select("n_shingles", "h1", "h2", F.col("r.doc_id").alias("id"), "r.bands", "r.sketch"), "classes")
-    repeated = classes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").count() > 0
+    repeated = bool(full.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").head(1))
     sketches = classes.select("id", "n_shingles", "sketch")
     bucketed = classes.select("id", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     buckets = bucketed.groupBy("band", "bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("band", "bucket", "first")

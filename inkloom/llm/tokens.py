@@ -58,7 +58,12 @@ class Encoder:
     def encoded(self, text: str) -> list[tuple[int, int, int]]:
         """(id, start, end) of each token."""
         if self._piece:
-            return [(p.id, p.begin, p.end) for p in self._piece.encode(text, out_type="immutable_proto").pieces]
+            at, place = [], 0  # the character of each byte, as offsets count bytes
+            for c in text:
+                at += [place] * len(c.encode())
+                place += 1
+            at.append(place)
+            return [(p.id, at[p.begin], at[p.end]) for p in self._piece.encode(text, return_type="proto").pieces]
         e = self._tokenizer.encode(text, add_special_tokens=False)
         return [(i, a, b) for i, (a, b) in zip(e.ids, e.offsets, strict=True)]
 
