@@ -1,0 +1 @@
+"""Analysis and revision of word-processor documents as Spark DataFrames."""
