@@ -497,17 +497,17 @@ def section_references(spark, d):
     return read(spark, d, "part").select("p_partkey", T.section_references(F.concat(F.lit("see Section "), F.col("p_size") % 3, F.lit(" and Section "), "p_size", F.lit("1")), "2", "9").alias("text"))
 
 
-_MARKED = "'a {++' || p_name || '++} b {--' || p_brand || '--} {~~' || p_type || '~>new~~} {>>why<<} {==x=={>>' || p_size || '<<}} {==' || p_brand || '==} end'"
+_MARKED = "'a {++' || p_name || '++} b {--' || p_brand || '--} {~~' || p_type || '~>new~~} {>>why<<} {==' || p_brand || '==} end'"
 _marked = lambda: F.expr(_MARKED)
 
 
-@query("SELECT p_partkey, 'a ' || p_name || ' b  new  x ' || p_brand || ' end' AS accepted, 'a  b ' || p_brand || ' ' || p_type || '  x ' || p_brand || ' end' AS rejected FROM part")
+@query("SELECT p_partkey, 'a ' || p_name || ' b  new  ' || p_brand || ' end' AS accepted, 'a  b ' || p_brand || ' ' || p_type || '  ' || p_brand || ' end' AS rejected FROM part")
 def critic_strip(spark, d):
     return read(spark, d, "part").select("p_partkey", critic.stripped(_marked()).alias("accepted"), critic.stripped(_marked(), accept=False).alias("rejected"))
 
 
-@query("""SELECT p_partkey, unnest(CAST(range(0, 6) AS INTEGER[])) AS op_idx, unnest(['insertion', 'deletion', 'substitution', 'comment', 'highlight_comment', 'highlight']) AS kind, unnest([p_name, p_brand, p_type, NULL, 'x', p_brand]) AS text,
-  unnest([NULL, NULL, 'new', NULL, NULL, NULL]) AS replacement, unnest([NULL, NULL, NULL, 'why', CAST(p_size AS VARCHAR), NULL]) AS comment FROM part""")
+@query("""SELECT p_partkey, unnest(CAST(range(0, 5) AS INTEGER[])) AS op_idx, unnest(['insertion', 'deletion', 'substitution', 'comment', 'highlight']) AS kind, unnest([p_name, p_brand, p_type, NULL, p_brand]) AS text,
+  unnest([NULL, NULL, 'new', NULL, NULL]) AS replacement, unnest([NULL, NULL, NULL, 'why', NULL]) AS comment FROM part""")
 def critic_parse(spark, d):
     return critic.parse(read(spark, d, "part").select("p_partkey", _marked().alias("text"))).select("p_partkey", "op_idx", "kind", "text", "replacement", "comment")
 
