@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ OVERLAP = 512
 #: Tokens on both sides of a boundary that must agree.
 STABLE = 8
 #: Words whose counts a task keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 1_000_000
 
 
 class Encoder:
@@ -39,6 +40,8 @@ class Encoder:
 
     def __init__(self, path: str):
         self.words: dict[bytes, int] = {}
+        # sentencepiece puts a space before every text: one that a chunk begins with is left to it.
+        self.skip = int(path.endswith(".model"))
         if path.endswith(".model"):
             import sentencepiece
 
@@ -82,9 +85,14 @@ class Encoder:
             self.words.clear()
             new = set().union(*split)
         new = list(new)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            self.words.update(zip(part, self._counts([w.decode() for w in part]), strict=True))
+        parts = [new[i : i + 256] for i in range(0, len(new), 256)]
+        for i in range(0, len(parts), 64):
+            # One call for many words, told apart by offsets: a call costs more than a word.
+            some = [[w.decode() for w in part] for part in parts[i : i + 64]]
+            for part, words, e in zip(parts[i : i + 64], some, self._tokenizer.encode_batch([" ".join(w) for w in some], add_special_tokens=False), strict=True):
+                ends = np.cumsum([len(w) + 1 for w in words])
+                at = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.offsets))
+                self.words.update(zip(part, np.bincount(np.searchsorted(ends, at, "right"), minlength=len(words)).tolist(), strict=True))
         get = self.words.__getitem__
         return [sum(map(get, words)) for words in split]
 
@@ -97,8 +105,8 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def boundary(before: str, after: str, encoded, overlap: int = OVERLAP, stable: int = STABLE) -> int | None:
-    """A place in after where it may be cut, whatever stands before; None if none is proven."""
+def boundary(before: str, after: str, encoded, overlap: int = OVERLAP, stable: int = STABLE, plain: bool = False) -> int | None:
+    """A place in after where it may be cut, whatever stands before; None if none is proven. plain: only at a space proper."""
     while True:
         left, right = before[-overlap:], after[:overlap]
         shift = len(left)
@@ -111,7 +119,7 @@ def boundary(before: str, after: str, encoded, overlap: int = OVERLAP, stable: i
                 continue
             # Cut between tokens k - 1 and k: before the white space that precedes the word of token k.
             c = own[k - 1][2]
-            if 0 < c < len(right) - 1 and right[c].isspace() and not right[c - 1].isspace() and not right[c + 1].isspace() and own[k][1] in (c, c + 1):
+            if 0 < c < len(right) - 1 and (right[c] == " " if plain else right[c].isspace()) and not right[c - 1].isspace() and not right[c + 1].isspace() and own[k][1] in (c, c + 1):
                 return c
         if overlap >= max(len(before), len(after)):
             return None
@@ -122,12 +130,12 @@ def chunk_count(window: str, core: int, length: int, first: bool, last: bool, by
     """Tokens of a chunk: window is the chunk with its neighbourhood, core where the chunk starts in it."""
     start, end = 0, len(window)
     if not first:
-        c = boundary(window[max(0, core - length) : core], window[core : core + length], by.encoded)
+        c = boundary(window[max(0, core - length) : core], window[core : core + length], by.encoded, plain=bool(by.skip))
         if c is None:
             return None
-        start = core + c
+        start = core + c + by.skip
     if not last:
-        c = boundary(window[core : core + length], window[core + length : core + 2 * length], by.encoded)
+        c = boundary(window[core : core + length], window[core + length : core + 2 * length], by.encoded, plain=bool(by.skip))
         if c is None:
             return None
         end = core + length + c
