@@ -42,7 +42,8 @@ SKETCH_BITS = 1024
 BLOCK = 1024
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _K = np.uint64(0x9E3779B97F4A7C15)
-_SEEDS = mix(np.arange(1, 2 * ROWS * BANDS + 1, dtype=np.uint64) * _K)
+_SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * _K)
+_ODD = (_SEEDS >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -62,16 +63,12 @@ def _shingles(words: np.ndarray, shingle: int) -> np.ndarray:
 
 
 def minhash(found: np.ndarray) -> np.ndarray:
-    """ROWS * BANDS samples: for each multiplier the least product, of the high half with random low bits."""
-    out = np.empty(ROWS * BANDS, np.uint64)
-    odd, add = _SEEDS[: ROWS * BANDS] | np.uint64(1), _SEEDS[ROWS * BANDS :]
+    """ROWS * BANDS samples: the least product with each odd multiplier. The shingles' hashes are random as they are."""
+    high = (found >> np.uint64(32)).astype(np.uint32)
+    out = np.empty(ROWS * BANDS, np.uint32)
     for i in range(0, len(out), 60):
-        block = found[None, :] * odd[i : i + 60, None]
-        block += add[i : i + 60, None]
-        block ^= block >> np.uint64(32)
-        block *= np.uint64(0xD6E8FEB86659FD93)
-        out[i : i + 60] = block.min(1)
-    return out
+        out[i : i + 60] = (high[None, :] * _ODD[i : i + 60, None]).min(1)
+    return out.astype(np.uint64)
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
@@ -162,26 +159,56 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
+def across(ids: np.ndarray, roots: np.ndarray, sketches: np.ndarray, second: np.ndarray, both: bool, most: int) -> tuple[list, list]:
+    """Pairs of a bucket's block pair whose components differ and whose sketches are near; second: rows of the other block."""
+    left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if both else (np.arange(len(ids)),) * 2
+    xs, ys = [], []
+    for k, i in enumerate(left.tolist()):
+        other = right if both else right[k + 1 :]
+        other = other[roots[other] != roots[i]]
+        if len(other):
+            near = other[np.bitwise_count(sketches[other] ^ sketches[i]).sum(1) <= most]
+            xs.append(np.full(len(near), ids[i]))
+            ys.append(ids[near])
+    return xs, ys
+
+
 def _across(most: int):
-    """Pairs (x, y) of a bucket's block pair whose components differ and whose sketches are near."""
+    """Rows (bucket, one, two, id, root, sketch, second) in order of their group -> pairs (x, y)."""
 
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.drop_duplicates("id").sort_values("id")
-        one, two = int(d["one"].iloc[0]), int(d["two"].iloc[0])
-        left = d[d["block"] == one]
-        right = left if one == two else d[d["block"] == two]
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        ids, roots = table.column("id").to_numpy(), table.column("root").to_numpy()
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+        second, both = table.column("second").to_numpy(zero_copy_only=False), table.column("one").to_numpy() != table.column("two").to_numpy()
+        starts = [0, *_starts(table)]
         xs, ys = [], []
-        if len(left) and len(right):
-            a, b = (np.frombuffer(b"".join(s["sketch"]), np.uint64).reshape(len(s), -1) for s in (left, right))
-            ra, rb, ia, ib = left["root"].to_numpy(), right["root"].to_numpy(), left["id"].to_numpy(), right["id"].to_numpy()
-            for k in range(len(a)):
-                near = (rb != ra[k]) & (np.bitwise_count(b ^ a[k]).sum(1) <= most)
-                if one == two:
-                    near &= ib > ia[k]
-                ys.append(ib[near])
-                xs.append(np.full(len(ys[-1]), ia[k]))
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-        return pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+        for a, e in zip(starts, [*starts[1:], len(ids)], strict=True):
+            if e - a > 1:
+                x, y = across(ids[a:e], roots[a:e], sketches[a:e], second[a:e], bool(both[a]), most)
+                xs += x
+                ys += y
+        x, y = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (xs, ys))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
+
+    def _starts(table: pa.Table) -> list[int]:
+        """Where a new group begins."""
+        changed = np.zeros(max(0, table.num_rows - 1), bool)
+        for c in ("bucket", "one", "two"):
+            v = table.column(c).to_numpy()
+            changed |= v[1:] != v[:-1]
+        return (np.flatnonzero(changed) + 1).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            starts = _starts(held)
+            if starts:  # the last group may go on
+                yield solve(held.slice(0, starts[-1]))
+                held = held.slice(starts[-1])
+        if held is not None and held.num_rows:
+            yield solve(held)
 
     return run
 
@@ -198,9 +225,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     classes = stash(full.groupBy("n_shingles", "h1", "h2").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("r")).select("n_shingles", "h1", "h2", F.col("r.doc_id").alias("id"), "r.bands", "r.sketch"), "classes")
     repeated = bool(full.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").head(1))
     sketches = classes.select("id", "n_shingles", "sketch")
-    bucketed = classes.select("id", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
-    buckets = bucketed.groupBy("band", "bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("band", "bucket", "first")
-    members = stash(bucketed.join(buckets, ["band", "bucket"]).select("bucket", "id", "first", "n_shingles"), "buckets")
+    bucketed = classes.select("id", F.explode("bands").alias("bucket"))  # the number of a band is part of its hash
+    buckets = bucketed.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("bucket", "first")
+    members = stash(bucketed.join(buckets, "bucket").select("bucket", "id", "first"), "buckets")
     pairs = members.where("id > first").select(F.col("first").alias("x"), F.col("id").alias("y")).distinct()
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,18 +246,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     labelled = members.select("bucket", "id").join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     torn = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b").select("bucket", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("blocks"))
     left = labelled.join(torn, "bucket").withColumn("block", F.expr("cast(pmod(xxhash64(id, 3), blocks) as int)")).join(sketches.select("id", "sketch"), "id")
-    dealt = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("bucket", "id", "root", "sketch", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    more = dealt.groupBy("bucket", "one", "two").applyInPandas(_across(most), "x long, y long").distinct()
+    dealt = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+    dealt = dealt.select("bucket", "one", "two", "id", "root", "sketch", (F.col("block") == F.col("two")).alias("second")).repartition(partitions(spark), "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
+    more = dealt.mapInArrow(_across(most), "x long, y long").distinct()
     more = stash(with_sketches(more), "more-pairs")
-    links = links.unionByName(confirmed(more, texts, shingle, percent))
+    if more.head(1):
+        # Components found so far are nodes now: only links between them are new.
+        of = roots.select(F.col("id"), F.col("root"))
+        ends = confirmed(more, texts, shingle, percent)
+        for end in ("x", "y"):
+            ends = ends.join(of.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        ends = stash(ends.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "root-links")
+        if ends.head(1):
+            joined = components(ends).select(F.col("id").alias("root"), F.col("root").alias("higher"))
+            # Roots without links of their own are named by the new ones alone.
+            both = roots.join(joined, "root", "left").select("id", F.coalesce("higher", "root").alias("root"))
+            alone = joined.join(roots.select(F.col("id").alias("root")), "root", "left_anti").select(F.col("root").alias("id"), F.col("higher").alias("root"))
+            roots = stash(both.unionByName(alone), "roots")
     # Members of a class link with its first; so do sets that share a doc_id.
     own = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes.select("n_shingles", "h1", "h2", "id"), ["n_shingles", "h1", "h2"], "left")
     if repeated:
-        links = links.unionByName(own.where("id < doc_id").select(F.col("id").alias("x"), F.col("doc_id").alias("y")))
+        links = roots.where("id <> root").select(F.col("root").alias("x"), F.col("id").alias("y")).unionByName(own.where("id < doc_id").select(F.col("id").alias("x"), F.col("doc_id").alias("y")))
         roots = components(links.distinct())
         key = F.col("doc_id")
     else:
-        roots = components(links)
         key = F.coalesce("id", "doc_id")
     root = own.withColumn("key", F.when(F.col("n_shingles") > 0, key)).join(roots.withColumnRenamed("id", "key"), "key", "left")
     return root.select("doc_id", "n_shingles", F.coalesce("root", "key", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
