@@ -33,7 +33,7 @@ from .quality import THRESHOLD, fold, labelled
 SAMPLE = 4000
 #: Stems proposed, and kept.
 PROPOSED, KEPT = 20_000, 2000
-LEAST_CONTEXTS = 5
+LEAST_CONTEXTS = 4
 PREFIXES = (4, 5, 6)
 #: Words whose class a task keeps.
 KEPT_WORDS = 300_000
@@ -166,18 +166,24 @@ def _stems(word: str) -> list[str]:
 
 
 def _contexts(wanted):
-    """(stem, context): the stems of each text with a hash of the words around them; only those wanted, if any are given."""
+    """(stem, context): each stem of a text with the least hash of words around it; only those wanted, if any are given.
+
+    One context a text: copies bring the same one, so counting different contexts counts texts of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = wanted.value if wanted else None
         for batch in batches:
-            found = set()
+            found: list[tuple[str, int]] = []
             for text in batch.column("text").to_pylist():
+                one: dict[str, int] = {}
                 words = [w.strip(b".!?;").decode("utf-8", "replace") for w in plain_words(text or b"")]
                 for i, w in enumerate(words):
+                    near = hash_pair(words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "")
                     for s in _stems(w):
-                        if s and (only is None or s in only):
-                            found.add((s, hash_pair(words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "")))
+                        if s and (only is None or s in only) and near < one.get(s, near + 1):
+                            one[s] = near
+                found += one.items()
             columns = list(zip(*found, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64())], names=["stem", "context"])
 
@@ -197,9 +203,17 @@ def lexicon(toxic: DataFrame, other: DataFrame) -> dict[str, float]:
     often = count(toxic, None).where(F.col("n") >= LEAST_CONTEXTS).orderBy(F.desc("n"), "stem").limit(PROPOSED).collect()
     wanted = spark.sparkContext.broadcast({r.stem for r in often})
     against = Counter({r.stem: r.n for r in count(other, wanted).collect()})
-    # Both samples are of like size, so counts compare directly.
-    odds = {r.stem: float(np.log((r.n + 0.5) / (against[r.stem] + 0.5))) for r in often}
-    good = sorted((s for s in odds if odds[s] > 2.3), key=lambda s: (len(s), s))
+    n_toxic, n_other = toxic.count(), other.count()
+    share = max(n_toxic, 1) / max(n_toxic + n_other, 1)
+    odds = {}
+    for r in often:
+        n, m = r.n, against[r.stem]
+        # By chance a stem's texts are toxic at the share of all; with so many stems tried, one must be far beyond it.
+        p = min(n / (n + m), 1 - 1e-9)
+        beyond = (n + m) * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / max(1 - share, 1e-9))) if p > share else 0.0
+        if beyond > np.log(20 * len(often)):
+            odds[r.stem] = float(np.log((n + 0.5) / (n_toxic + 1)) - np.log((m + 0.5) / (n_other + 1)))
+    good = sorted((s for s in odds if odds[s] > 2), key=lambda s: (len(s), s))
     kept: dict[str, float] = {}
     for s in good:
         bare = s.rstrip("*")
