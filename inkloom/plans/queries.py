@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from inkloom.functions import critic
 from inkloom.functions import text as T
 from inkloom.operators import changes as C
-from inkloom.operators import diff, edits, links, search, structure
+from inkloom.operators import diff, edits, entity_edits, export, links, search, structure
 from inkloom.sources import docx
 from inkloom.sources.tables import chat_comments, event_changes, page_blocks, page_links, paragraphs, read
 
@@ -478,6 +478,47 @@ def xref_targets(spark, d):
     return links.reference_targets(marks, styled, no_fields, _notes(spark, d))
 
 
+# Exports and contents
+
+
+def _styled(spark, d):
+    return _p(spark, d).withColumn("style", F.when(_heading(), "Heading2").otherwise("Normal")).withColumn("tbl_idx", F.lit(None).cast("int")).withColumn("row_idx", F.lit(None).cast("int")).withColumn("cell_idx", F.lit(None).cast("int"))
+
+
+@query(f"WITH {P} SELECT doc_id, string_agg(CASE WHEN {HEADING} THEN '## ' || text ELSE text END, chr(10) || chr(10) ORDER BY p_idx) FILTER (text <> '') || chr(10) AS text FROM p GROUP BY doc_id HAVING count(*) FILTER (text <> '') > 0")
+def export_markdown(spark, d):
+    return export.markdown(_styled(spark, d))
+
+
+@query(f"WITH {P} SELECT doc_id, string_agg(CASE WHEN {HEADING} THEN text || chr(10) || repeat('-', length(text)) ELSE text END, chr(10) || chr(10) ORDER BY p_idx) FILTER (text <> '') || chr(10) AS text FROM p GROUP BY doc_id HAVING count(*) FILTER (text <> '') > 0")
+def export_plain(spark, d):
+    return export.plain(_styled(spark, d))
+
+
+@query(f"WITH {P} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p_idx) - 1 AS INTEGER) AS entry_idx, CAST(2 AS INTEGER) AS level, trim(text, ' ') AS title, p_idx FROM p WHERE {HEADING} AND trim(text, ' ') <> ''")
+def contents_entries(spark, d):
+    return entity_edits.contents(_styled(spark, d))
+
+
+@query("""WITH o AS (SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS row_idx, o_orderkey, o_orderstatus FROM orders)
+SELECT doc_id, 0 AS tbl_idx, row_idx, 0 AS cell_idx, CAST(o_orderkey AS VARCHAR) AS text FROM o UNION ALL SELECT doc_id, 0, row_idx, 1, o_orderstatus FROM o
+UNION ALL SELECT DISTINCT doc_id, 0, 0, 0, 'o_orderkey' FROM o UNION ALL SELECT DISTINCT doc_id, 0, 0, 1, 'o_orderstatus' FROM o""")
+def table_from_rows(spark, d):
+    return export.table_from(read(spark, d, "orders"), ["o_orderkey", "o_orderstatus"], "o_custkey", ["o_orderkey"])
+
+
+@query()
+def outline_yaml(spark, d):
+    return export.outline_yaml(structure.sections(_p(spark, d), _heading()))
+
+
+@query(f"""WITH {_NOTES}, top AS (SELECT doc_id, max(CAST(note_id AS INTEGER)) AS top FROM notes GROUP BY doc_id), nw AS (SELECT n_nationkey % 5 AS doc_id, n_nationkey AS p_idx, n_name AS text FROM nation)
+SELECT doc_id, note_kind, note_id, w_type, text FROM notes UNION ALL SELECT doc_id, 'footnote', CAST(top + row_number() OVER (PARTITION BY doc_id ORDER BY p_idx, text) AS VARCHAR), NULL, text FROM nw JOIN top USING (doc_id)""")
+def notes_inserted(spark, d):
+    new = read(spark, d, "nation").select((F.col("n_nationkey") % 5).cast("long").alias("doc_id"), F.lit("footnote").alias("note_kind"), F.col("n_nationkey").alias("p_idx"), F.col("n_name").alias("text"))
+    return entity_edits.insert_notes(_notes(spark, d), _note_refs(spark, d), new)[0]
+
+
 # Text functions and markup
 
 
