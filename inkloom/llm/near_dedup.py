@@ -6,13 +6,14 @@
 3. Samples are also folded into an odd sketch: sample i with value v flips bit hash(i, v). The XOR of
    two sketches has about two ones for each sample that differs, so its population count estimates
    high similarities well; pairs whose estimate is far below the threshold are dropped (the margin
-   is over five standard deviations).
+   is MARGIN standard deviations).
 4. What is left is confirmed on full shingle sets; only confirmed links join components.
 
-No bucket is expanded into its pairs. The first round pairs each member with the bucket's least
-only, and links so found are joined into components. Buckets that then hold several components are
-searched again, in blocks, and only pairs across components are tried; a bucket of copies is one
-component by then.
+No bucket is expanded into its pairs. In the first round each set is tried with one other: of the
+least members of its buckets the one that it shares most buckets with. Links so found are joined
+into components. Buckets that then hold several components are searched again, in blocks, and only
+pairs across components are tried, each in the first bucket that it shares; a bucket of copies is
+one component by then.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; fewer words
 than a shingle make one shingle of all; rows that share a doc_id are one document for components
@@ -38,6 +39,7 @@ SHINGLE = 2
 PERCENT = 80
 ROWS, BANDS = 5, 36
 SKETCH_BITS = 1024
+MARGIN = 4.5
 #: Members of a bucket searched against each other in one task.
 BLOCK = 1024
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -80,7 +82,7 @@ def least_estimate(percent: int) -> int:
     """Most ones in the XOR of two sketches for which a pair is still confirmed."""
     k, n = ROWS * BANDS, SKETCH_BITS
     j = percent / 100
-    differ = k * (1 - j) + 5.5 * (k * j * (1 - j)) ** 0.5  # samples that differ, at most
+    differ = k * (1 - j) + MARGIN * (k * j * (1 - j)) ** 0.5  # samples that differ, at most
     ones = n / 2 * (1 - (1 - 2 / n) ** (2 * differ))
     return int(ones + 3 * (n / 4 * (1 - (1 - 2 / n) ** (4 * differ))) ** 0.5)
 
@@ -120,7 +122,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     """Of pairs (x, y) of doc_ids those whose full sets meet the threshold."""
     spark = pairs.sparkSession
     wanted = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
-    texts = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").select("doc_id", "text")
+    texts = docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["id"], "left_semi").select("doc_id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,32 +161,36 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def across(ids: np.ndarray, roots: np.ndarray, sketches: np.ndarray, second: np.ndarray, both: bool, most: int) -> tuple[list, list]:
-    """Pairs of a bucket's block pair whose components differ and whose sketches are near; second: rows of the other block."""
+def across(bucket: int, ids, roots, sizes, bands, sketches, second, both: bool, most: int, percent: int) -> tuple[list, list]:
+    """Pairs of a bucket's block pair whose components differ, whose sizes and sketches are near, and that share no bucket before."""
     left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if both else (np.arange(len(ids)),) * 2
     xs, ys = [], []
     for k, i in enumerate(left.tolist()):
         other = right if both else right[k + 1 :]
-        other = other[roots[other] != roots[i]]
+        fits = 100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i])
+        other = other[(roots[other] != roots[i]) & fits]
         if len(other):
             near = other[np.bitwise_count(sketches[other] ^ sketches[i]).sum(1) <= most]
+            near = near[bands[i][(bands[near] == bands[i]).argmax(1)] == bucket] if len(near) else near
             xs.append(np.full(len(near), ids[i]))
             ys.append(ids[near])
     return xs, ys
 
 
-def _across(most: int):
-    """Rows (bucket, one, two, id, root, sketch, second) in order of their group -> pairs (x, y)."""
+def _across(most: int, percent: int):
+    """Rows (bucket, one, two, id, root, n_shingles, bands, sketch, second) in order of their group -> pairs (x, y)."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         ids, roots = table.column("id").to_numpy(), table.column("root").to_numpy()
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
+        sizes, bucket = table.column("n_shingles").to_numpy(), table.column("bucket").to_numpy()
         second, both = table.column("second").to_numpy(zero_copy_only=False), table.column("one").to_numpy() != table.column("two").to_numpy()
         starts = [0, *_starts(table)]
         xs, ys = [], []
         for a, e in zip(starts, [*starts[1:], len(ids)], strict=True):
             if e - a > 1:
-                x, y = across(ids[a:e], roots[a:e], sketches[a:e], second[a:e], bool(both[a]), most)
+                x, y = across(bucket[a], ids[a:e], roots[a:e], sizes[a:e], bands[a:e], sketches[a:e], second[a:e], bool(both[a]), most, percent)
                 xs += x
                 ys += y
         x, y = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (xs, ys))
@@ -228,7 +234,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     bucketed = classes.select("id", F.explode("bands").alias("bucket"))  # the number of a band is part of its hash
     buckets = bucketed.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("bucket", "first")
     members = stash(bucketed.join(buckets, "bucket").select("bucket", "id", "first"), "buckets")
-    pairs = members.where("id > first").select(F.col("first").alias("x"), F.col("id").alias("y")).distinct()
+    # Of the firsts of its buckets each set tries the one it shares most with.
+    shared = members.where("id > first").groupBy("id", "first").agg(F.count("*").alias("n"))
+    pairs = shared.groupBy(F.col("id").alias("y")).agg(F.max(F.struct("n", (-F.col("first")).alias("x"))).alias("best")).select((-F.col("best.x")).alias("x"), "y")
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
@@ -243,13 +251,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     links = confirmed(stash(with_sketches(pairs), "near-pairs"), texts, shingle, percent)
     roots = components(links)
     # Second round: buckets that still hold several components, in blocks of bounded size.
-    labelled = members.select("bucket", "id").join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    labelled = members.select("bucket", "id").join(roots.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     torn = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b").select("bucket", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("blocks"))
-    left = labelled.join(torn, "bucket").withColumn("block", F.expr("cast(pmod(xxhash64(id, 3), blocks) as int)")).join(sketches.select("id", "sketch"), "id")
+    left = labelled.join(torn.hint("merge"), "bucket").withColumn("block", F.expr("cast(pmod(xxhash64(id, 3), blocks) as int)")).join(classes.select("id", "n_shingles", "bands", "sketch").hint("merge"), "id")
     dealt = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    dealt = dealt.select("bucket", "one", "two", "id", "root", "sketch", (F.col("block") == F.col("two")).alias("second")).repartition(partitions(spark), "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
-    more = dealt.mapInArrow(_across(most), "x long, y long").distinct()
-    more = stash(with_sketches(more), "more-pairs")
+    dealt = dealt.select("bucket", "one", "two", "id", "root", "n_shingles", "bands", "sketch", (F.col("block") == F.col("two")).alias("second")).repartition(partitions(spark), "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
+    more = stash(dealt.mapInArrow(_across(most, percent), "x long, y long").distinct(), "more-pairs")
     if more.head(1):
         # Components found so far are nodes now: only links between them are new.
         of = roots.select(F.col("id"), F.col("root"))
