@@ -464,9 +464,9 @@ def references_validated(spark, d):
     return links.validated(found, xrefs, marks)
 
 
-@query("""SELECT page_id AS doc_id, upper(regexp_extract(html, '<h1>([^<]*)', 1)) AS heading, CAST(len(regexp_extract_all(html, '<a href')) AS INTEGER) AS n_links FROM pages""")
+@query("""SELECT page_id AS doc_id, lower(regexp_extract(html, '<h1>([^<]*)', 1)) AS heading, CAST(len(regexp_extract_all(html, '<a href')) AS INTEGER) AS n_links FROM pages""")
 def page_outline(spark, d):
-    return read(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.upper(F.regexp_extract("html", "<h1>([^<]*)", 1)).alias("heading"), F.size(F.regexp_extract_all("html", F.lit("<a href"), F.lit(0))).alias("n_links"))
+    return read(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lower(F.regexp_extract("html", "<h1>([^<]*)", 1)).alias("heading"), F.size(F.regexp_extract_all("html", F.lit("<a href"), F.lit(0))).alias("n_links"))
 
 
 @query(f"""WITH {P} SELECT 'heading' AS kind, doc_id, CAST(p_idx AS VARCHAR) AS target, text FROM p WHERE {HEADING} AND trim(text, ' ') <> ''
