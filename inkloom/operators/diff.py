@@ -1,15 +1,17 @@
 """Comparison of documents: paragraph operations, and token hunks within paragraphs.
 
 Sequence matching is heuristic and order-dependent, so it runs per pair of documents (paragraphs) or
-per pair of texts (tokens) in pandas; pairing, counting and reports around it are joins and groups.
+per pair of texts (tokens) in Python, over Arrow batches; pairing, counting and reports around it are joins and groups.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,13 +71,19 @@ def compare(old: DataFrame, new: DataFrame) -> DataFrame:
     differ = digest(old, "a").join(digest(new, "b"), "pair_id", "full").where("not (a <=> b)").select("pair_id")
     kind = dict(old.dtypes)["pair_id"]
 
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("p_idx")["text"].tolist(), b.sort_values("p_idx")["text"].tolist()
-        ops = [o for o in SequenceMatcher(None, a, b).get_opcodes() if o[0] != "equal"]
-        return pd.DataFrame([(key[0], i, *o) for i, o in enumerate(ops)], columns=["pair_id", "op_idx", "kind", "old_start", "old_end", "new_start", "new_end"])
-
-    left, right = (df.select("pair_id", "p_idx", "text").join(differ, "pair_id", "left_semi") for df in (old, new))
-    return left.groupBy("pair_id").cogroup(right.groupBy("pair_id")).applyInPandas(run, f"pair_id {kind}, op_idx int, kind string, old_start int, old_end int, new_start int, new_end int")
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows = []
+            for pair, a, b in zip(*(part.column(c).to_pylist() for c in ("pair_id", "old", "new")), strict=True):
+                ops = [o for o in SequenceMatcher(None, a or [], b or []).get_opcodes() if o[0] != "equal"]
+                rows += [(pair, i, *o) for i, o in enumerate(ops)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            types = (part.schema.field("pair_id").type, pa.int32(), pa.string(), *[pa.int32()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["pair_id", "op_idx", "kind", "old_start", "old_end", "new_start", "new_end"])
+
+    lists = lambda df, name: df.join(differ, "pair_id", "left_semi").groupBy("pair_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_idx", "text"))), lambda x: x["text"]).alias(name))
+    both = lists(old, "old").join(lists(new, "new"), "pair_id", "full").select("pair_id", "old", "new")
+    return both.mapInArrow(run, f"pair_id {kind}, op_idx int, kind string, old_start int, old_end int, new_start int, new_end int")
 
 
 def compared_changes(operations: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
 """Edits: batches applied in order to a document's paragraphs, each edit seeing those before it.
 
-A document's edits depend on each other, so a batch is folded within its document, by one
-`applyInPandas` group of its paragraphs and edits; documents are spread over tasks, and those without
-edits pass by. Tracked edits leave change markup ({++ins++}, {--del--}) in the text, untracked ones
+A document's edits depend on each other, so a batch is folded within its document: its paragraphs and
+edits are gathered into one row, and rows are spread over tasks. Documents without edits pass by. Tracked edits leave change markup ({++ins++}, {--del--}) in the text, untracked ones
 change it. `apply_disjoint` is the set-based way, for edits of which no two touch one paragraph.
 
 Edit types: insert, delete, replace, move, insert_paragraph, insert_paragraphs, delete_paragraph,
@@ -14,8 +13,9 @@ message; the others go on.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,26 +194,35 @@ def apply_batch(paragraphs: DataFrame, edits: DataFrame, stop_on_error: bool = F
         paragraphs = paragraphs.withColumn("style", F.lit(None).cast("string"))
     kind = dict(paragraphs.dtypes)["doc_id"]
     ids = edits.select("doc_id").distinct()
-    touched = paragraphs.join(ids, "doc_id", "left_semi").select("doc_id", "p_idx", "style", "text")
+    names = [c for c in EDIT.split(", ") if c in edits.columns and c not in ("doc_id", "seq")]
+    lines = paragraphs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("p_idx", "style", "text"))).alias("lines"))
+    # Edits are packed with their order first, so that sorting never compares the rest.
+    todo = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(*names).alias("e")))).alias("todo"))
 
-    def fold(key, d: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("p_idx")
-        doc = Fold(d["text"].fillna("").tolist(), [None if pd.isna(s) else s for s in d["style"]])
+    def fold_one(doc_id, lines, todo) -> list[tuple]:
+        doc = Fold([x["text"] or "" for x in lines], [x["style"] for x in lines])
         results = []
-        for e in todo.sort_values("seq").to_dict("records"):
-            e = {k: None if v is None or (isinstance(v, float) and pd.isna(v)) else v for k, v in e.items()}
+        for item in todo:
+            e = dict(item["e"])
             before = (list(doc.texts), list(doc.styles))
             try:
-                results.append((key[0], True, int(e["seq"]), e["type"], True, doc.apply(e)))
+                results.append((doc_id, True, int(item["seq"]), e["type"], True, doc.apply(e)))
             except (EditError, ValueError, re.error) as error:
                 doc.texts, doc.styles = before
-                results.append((key[0], True, int(e["seq"]), e["type"], False, str(error)))
+                results.append((doc_id, True, int(item["seq"]), e["type"], False, str(error)))
                 if stop_on_error:
                     break
-        rows = [(key[0], False, i, s, None, t) for i, (t, s) in enumerate(zip(doc.texts, doc.styles, strict=True))]
-        return pd.DataFrame(rows + results, columns=["doc_id", "is_result", "idx", "label", "success", "text"])
+        return [(doc_id, False, i, s, None, t) for i, (t, s) in enumerate(zip(doc.texts, doc.styles, strict=True))] + results
 
-    out = touched.groupBy("doc_id").cogroup(edits.groupBy("doc_id")).applyInPandas(fold, f"doc_id {kind}, is_result boolean, idx int, label string, success boolean, text string")
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows = [r for d, x, t in zip(*(part.column(c).to_pylist() for c in ("doc_id", "lines", "todo")), strict=True) for r in fold_one(d, x or [], t)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            types = (part.schema.field("doc_id").type, pa.bool_(), pa.int32(), pa.string(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "is_result", "idx", "label", "success", "text"])
+
+    packed = todo.join(lines, "doc_id", "left").select("doc_id", "lines", "todo")
+    out = packed.mapInArrow(fold, f"doc_id {kind}, is_result boolean, idx int, label string, success boolean, text string")
     after = out.where("not is_result").select("doc_id", F.col("idx").alias("p_idx"), F.col("label").alias("style"), "text")
     rest = paragraphs.join(ids, "doc_id", "left_anti").select("doc_id", "p_idx", "style", "text")
     return rest.unionByName(after), out.where("is_result").select("doc_id", F.col("idx").alias("seq"), F.col("label").alias("type"), "success", F.col("text").alias("message"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -206,15 +207,30 @@ def ratio(a: str, b: str) -> float:
     return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
+def needed_runs(m: int, threshold: float) -> dict[int, int]:
+    """For each window length that can be similar enough to a text of m characters: how long a stretch they must share.
+
+    With L characters in common, m - L and n - L others part them into at most m + n - 2L + 1 stretches.
+    """
+    out = {}
+    for n in range(max(1, int(m * 0.7)), int(m * 1.3) + 1):
+        common = max(1, math.ceil(threshold * (m + n) / 2 - 1e-9))
+        if common <= min(m, n):
+            out[n] = -(-common // (m + n - 2 * common + 1))
+    return out
+
+
 def fuzzy_windows(text: str, find: str, threshold: float) -> list[tuple[int, int, float]]:
     """Best of the overlapping windows, 0.7 to 1.3 times as long as find, that are similar enough."""
     m = len(find)
+    places: dict[int, list[int]] = {}
     found = []
-    letters = set(find)
-    for n in range(max(1, int(m * 0.7)), min(int(m * 1.3), len(text)) + 1):
-        for at in range(len(text) - n + 1):
-            if text[at] not in letters:
-                continue
+    for n, q in needed_runs(m, threshold).items():
+        if q not in places:
+            grams = "|".join(sorted({re.escape(find[i : i + q]) for i in range(m - q + 1)}))
+            places[q] = [x.start() for x in re.finditer(f"(?={grams})", text)]
+        starts = {at for p in places[q] for at in range(max(0, p + q - n), min(p, len(text) - n) + 1)}
+        for at in starts:
             score = ratio(find, text[at : at + n])
             if score >= threshold:
                 found.append((at, n, score))
@@ -226,18 +242,15 @@ def fuzzy_windows(text: str, find: str, threshold: float) -> list[tuple[int, int
 
 
 def fuzzy_find(paragraphs: DataFrame, find: str, threshold: float = 0.9, normalize_whitespace: bool = False) -> DataFrame:
-    """(doc_id, p_idx, index, pos, len, found, score). A paragraph without a trigram of find is skipped where the threshold allows it."""
+    """(doc_id, p_idx, index, pos, len, found, score). Paragraphs without a stretch that a match must share are skipped."""
     seek = " ".join(find.split()) if normalize_whitespace else find
     text = T.squeeze(F.col("text")) if normalize_whitespace else F.col("text")
     rows = paragraphs.select("doc_id", "p_idx", text.alias("text"))
-    grams = {seek[i : i + 3] for i in range(len(seek) - 2)}
-    # An edit spoils at most three trigrams: with so few edits allowed, one is left.
-    edits = 2 * (1 - threshold) * 1.3 * len(seek)
-    if len(seek) - 2 > 3 * edits:
-        some = F.lit(False)
-        for g in sorted(grams):
-            some |= F.contains("text", F.lit(g))
-        rows = rows.where(some)
+    q = min(needed_runs(len(seek), threshold).values(), default=len(seek))
+    some = F.lit(False)
+    for g in sorted({seek[i : i + q] for i in range(len(seek) - q + 1)}):
+        some |= F.contains("text", F.lit(g))
+    rows = rows.where(some)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in parts:
