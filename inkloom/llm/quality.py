@@ -148,7 +148,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
-    rows = docs.join(F.broadcast(labelled(labels, "quality", 4, 2, sample)), F.col("doc_id").cast("long") == F.col("id"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(labelled(labels, "quality", 4, 2, sample)), F.col("doc_id").cast("long") == F.col("id"))
     got = rows.select("label", F.col("text").cast("binary").alias("text")).mapInArrow(_statistics, "label int, x array<double>").limit(4 * sample).collect()
     got.sort(key=lambda r: (r.label, r.x))  # the order of rows doesn't follow from the data
     return fit(np.array([r.x for r in got]).reshape(len(got), STATISTICS), np.array([r.label for r in got], float))

@@ -153,8 +153,8 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(found), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def scan(docs: DataFrame, rules=RULES) -> DataFrame:
-    """All columns of docs, and found: array of (start, rank, kind, end) of every rule's matches."""
+def scan(docs: DataFrame, rules=RULES, name: str = "found") -> DataFrame:
+    """All columns of docs, and one by that name: array of (start, rank, kind, end) of every rule's matches."""
     hits = candidates(postings(docs, rules), rules).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("due").alias("_due"))
     left = docs.withColumn("_key", text_key(F.col("text")))
     both = left.join(hits, left["doc_id"].eqNullSafe(hits["_d"]) & (F.col("_key") == F.col("_k")), "left")
@@ -167,7 +167,7 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
         else:
             due = F.coalesce(F.col("text").rlike(rule[1]), F.lit(False))
         parts.append(F.when(due, spans(text, r, rule).cast(SPAN)).otherwise(none))
-    return both.withColumn("found", F.concat(*parts)).drop("_d", "_k", "_due", "_key")
+    return both.withColumn(name, F.concat(*parts)).drop("_d", "_k", "_due", "_key")
 
 
 def secrets(docs: DataFrame) -> DataFrame:
@@ -180,15 +180,15 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every span that was found replaced by mark; the columns stay."""
-    found = scan(docs)
+    found = scan(docs, name="_found")
     # Overlapping spans of different kinds are one; the mark stands where each begins.
-    merge = """aggregate(array_sort(found), cast(array() as array<struct<a: int, e: int>>), (m, x) ->
+    merge = """aggregate(array_sort(_found), cast(array() as array<struct<a: int, e: int>>), (m, x) ->
       if(size(m) > 0 and x.start < element_at(m, -1).e,
          concat(slice(m, 1, size(m) - 1), array(struct(element_at(m, -1).a as a, greatest(element_at(m, -1).e, x.end) as e))),
          concat(m, array(struct(x.start as a, x.end as e)))))"""
     cut = f"""aggregate({merge}, struct(0 as at, '' as out), (s, x) ->
       struct(x.e as at, concat(s.out, substring(text, s.at + 1, x.a - s.at), '{mark}') as out), s -> concat(s.out, substring(text, s.at + 1)))"""
-    text = F.expr(f"if(size(found) > 0, {cut}, text)")
+    text = F.expr(f"if(size(_found) > 0, {cut}, text)")
     return found.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 

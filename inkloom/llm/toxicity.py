@@ -245,7 +245,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     for label in (0, 1):
         some = rows.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(sample)
         ids = some if ids is None else ids.unionByName(some)
-    got = docs.join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("id")).select("label", F.col("text").cast("binary").alias("text"), text_key(F.col("text")).alias("key"))
+    got = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("id")).select("label", F.col("text").cast("binary").alias("text"), text_key(F.col("text")).alias("key"))
     from .common import stash
 
     got = stash(got.groupBy("label", "key").agg(F.min("text").alias("text")), "toxic-sample")  # copies teach once

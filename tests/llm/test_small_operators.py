@@ -6,8 +6,9 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from inkloom.llm import decontam, mixing, near_dedup, secrets, topk
+from inkloom.llm import decontam, mixing, near_dedup, quality, secrets, topk, toxicity
 
 from .compare import arrow, same, sql_rows
 from .docs import SCHEMA, frame, rows
@@ -173,3 +174,18 @@ def test_redaction_and_queries(spark):
     assert secrets.trigram_query("AKIA[A-Z0-9]{16,}") == [[frozenset({"aki", "kia"})]]
     assert len(secrets.trigram_query(secrets.RULES[0][1])[0]) == 6
     assert secrets.secrets(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_clashing_columns(spark):
+    names = {"lang": "found", "source": "id", "n_chars": "label"}
+    data = rows(6, n=12)
+    df, clash = frame(spark, data), frame(spark, data).withColumnsRenamed(names).selectExpr("*", "1 as score", "2 as spans", "3 as bands", "4 as size", "5 as item", "6 as n_words")
+    bench = spark.createDataFrame([(1, "w1 w2")], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    for run in (
+        lambda d: secrets.secrets(d), lambda d: decontam.contamination(d, bench), near_dedup.near_duplicates, lambda d: quality.score_quality(d, labels), lambda d: toxicity.score_toxicity(d, labels).drop("clauses"),
+    ):
+        assert sorted(map(repr, run(clash).collect())) == sorted(map(repr, run(df).collect()))
+    out = secrets.redacted(clash)
+    assert out.columns == clash.columns and sorted(map(repr, out.select("found", "id").collect())) == sorted(map(repr, clash.select("found", "id").collect()))
+    assert mixing.mix(clash.withColumn("source", F.lit("s")), keep=("size", "id")).count() == len(data)
