@@ -11,9 +11,10 @@
 
 No bucket is expanded into its pairs. In the first round each set is tried with one other: of the
 least members of its buckets the one that it shares most buckets with. Links so found are joined
-into components. Buckets that then hold several components are searched again, in blocks, and only
-pairs across components are tried, each in the first bucket that it shares; a bucket of copies is
-one component by then.
+into components. Buckets that then hold several components are searched again, in blocks. Only pairs
+across components are tried: first likely ones, no more than would span a bucket, then, where
+components are left apart, all that may link, each in the first bucket that it shares. A bucket of
+copies is one component by then.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; fewer words
 than a shingle make one shingle of all; rows that share a doc_id are one document for components
@@ -78,6 +79,12 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8))
 
 
+def likely_estimate(percent: int) -> int:
+    """Ones in the XOR of two sketches that a pair a little above the threshold has on average."""
+    differ = ROWS * BANDS * (1 - min(0.98, percent / 100 + 0.02))
+    return int(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * differ)))
+
+
 def least_estimate(percent: int) -> int:
     """Most ones in the XOR of two sketches for which a pair is still confirmed."""
     k, n = ROWS * BANDS, SKETCH_BITS
@@ -161,6 +168,27 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
+def spanning(ids, roots, sizes, sketches, second, both: bool, sure: int, percent: int) -> tuple[list, list]:
+    """Of a bucket's block pair near pairs that join components: at most one for each time two of them meet."""
+    label = np.unique(roots, return_inverse=True)[1]
+    left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if both else (np.arange(len(ids)),) * 2
+    xs, ys = [], []
+    for k, i in enumerate(left.tolist()):
+        other = right if both else right[k + 1 :]
+        fits = 100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i])
+        other = other[(label[other] != label[i]) & fits]
+        if not len(other):
+            continue
+        ones = np.bitwise_count(sketches[other] ^ sketches[i]).sum(1)
+        near = other[ones <= sure][np.argsort(ones[ones <= sure], kind="stable")]
+        if len(near):
+            labels, first = np.unique(label[near], return_index=True)  # the nearest of each component
+            xs.append(np.full(len(first), ids[i]))
+            ys.append(ids[near[first]])
+            label[np.isin(label, labels)] = label[i]
+    return xs, ys
+
+
 def across(bucket: int, ids, roots, sizes, bands, sketches, second, both: bool, most: int, percent: int) -> tuple[list, list]:
     """Pairs of a bucket's block pair whose components differ, whose sizes and sketches are near, and that share no bucket before."""
     left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if both else (np.arange(len(ids)),) * 2
@@ -177,8 +205,8 @@ def across(bucket: int, ids, roots, sizes, bands, sketches, second, both: bool,
     return xs, ys
 
 
-def _across(most: int, percent: int):
-    """Rows (bucket, one, two, id, root, n_shingles, bands, sketch, second) in order of their group -> pairs (x, y)."""
+def _across(most: int, percent: int, sure: int | None = None):
+    """With sure spanning pairs, else all. Rows (bucket, one, two, id, root, n_shingles, bands, sketch, second) in order of their group -> pairs (x, y)."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         ids, roots = table.column("id").to_numpy(), table.column("root").to_numpy()
@@ -190,7 +218,8 @@ def _across(most: int, percent: int):
         xs, ys = [], []
         for a, e in zip(starts, [*starts[1:], len(ids)], strict=True):
             if e - a > 1:
-                x, y = across(bucket[a], ids[a:e], roots[a:e], sizes[a:e], bands[a:e], sketches[a:e], second[a:e], bool(both[a]), most, percent)
+                own = (ids[a:e], roots[a:e], sizes[a:e], sketches[a:e], second[a:e], bool(both[a]))
+                x, y = spanning(*own, sure, percent) if sure else across(bucket[a], ids[a:e], roots[a:e], sizes[a:e], bands[a:e], sketches[a:e], second[a:e], bool(both[a]), most, percent)
                 xs += x
                 ys += y
         x, y = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (xs, ys))
@@ -219,6 +248,20 @@ def _across(most: int, percent: int):
     return run
 
 
+def hung(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (id, root) once links join their components: roots are the nodes now, and only links between them are new."""
+    ends = links
+    for end in ("x", "y"):
+        ends = ends.join(roots.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    ends = stash(ends.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "root-links")
+    if not ends.head(1):
+        return roots
+    joined = components(ends).select(F.col("id").alias("root"), F.col("root").alias("least"))
+    both = roots.join(joined, "root", "left").select("id", F.coalesce("least", "root").alias("root"))
+    alone = joined.join(roots.select(F.col("id").alias("root")), "root", "left_anti").select(F.col("root").alias("id"), F.col("least").alias("root"))
+    return stash(both.unionByName(alone), "roots")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -250,26 +293,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     links = confirmed(stash(with_sketches(pairs), "near-pairs"), texts, shingle, percent)
     roots = components(links)
-    # Second round: buckets that still hold several components, in blocks of bounded size.
-    labelled = members.select("bucket", "id").join(roots.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    torn = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b").select("bucket", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("blocks"))
-    left = labelled.join(torn.hint("merge"), "bucket").withColumn("block", F.expr("cast(pmod(xxhash64(id, 3), blocks) as int)")).join(classes.select("id", "n_shingles", "bands", "sketch").hint("merge"), "id")
-    dealt = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    dealt = dealt.select("bucket", "one", "two", "id", "root", "n_shingles", "bands", "sketch", (F.col("block") == F.col("two")).alias("second")).repartition(partitions(spark), "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
-    more = stash(dealt.mapInArrow(_across(most, percent), "x long, y long").distinct(), "more-pairs")
-    if more.head(1):
-        # Components found so far are nodes now: only links between them are new.
-        of = roots.select(F.col("id"), F.col("root"))
-        ends = confirmed(more, texts, shingle, percent)
-        for end in ("x", "y"):
-            ends = ends.join(of.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
-        ends = stash(ends.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "root-links")
-        if ends.head(1):
-            joined = components(ends).select(F.col("id").alias("root"), F.col("root").alias("higher"))
-            # Roots without links of their own are named by the new ones alone.
-            both = roots.join(joined, "root", "left").select("id", F.coalesce("higher", "root").alias("root"))
-            alone = joined.join(roots.select(F.col("id").alias("root")), "root", "left_anti").select(F.col("root").alias("id"), F.col("higher").alias("root"))
-            roots = stash(both.unionByName(alone), "roots")
+    # Buckets that still hold several components, in blocks of bounded size: first pairs that surely join
+    # them, few of each, then all that may.
+    for sure in (likely_estimate(percent), None):
+        labelled = members.select("bucket", "id").join(roots.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+        torn = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b").select("bucket", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("blocks"))
+        left = labelled.join(torn.hint("merge"), "bucket").withColumn("block", F.expr("cast(pmod(xxhash64(id, 3), blocks) as int)")).join(classes.select("id", "n_shingles", "bands", "sketch").hint("merge"), "id")
+        dealt = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+        dealt = dealt.select("bucket", "one", "two", "id", "root", "n_shingles", "bands", "sketch", (F.col("block") == F.col("two")).alias("second")).repartition(partitions(spark), "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
+        more = stash(dealt.mapInArrow(_across(most, percent, sure), "x long, y long").distinct(), "more-pairs")
+        if more.head(1):
+            roots = hung(roots, confirmed(more, texts, shingle, percent))
     # Members of a class link with its first; so do sets that share a doc_id.
     own = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes.select("n_shingles", "h1", "h2", "id"), ["n_shingles", "h1", "h2"], "left")
     if repeated:
