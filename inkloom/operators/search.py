@@ -121,27 +121,32 @@ def find_all(
         return fuzzy_find(inside, find, **fuzzy)
     if regex:
         pattern = "(?U)" + ("" if case_sensitive else "(?iu)") + find
-        hits = inside.where(F.col("text").rlike(pattern))
+        rows = inside.where(F.col("text").rlike(pattern))
         whole = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
         pieces = F.split("text", pattern, -1)
         steps = F.zip_with(F.slice(pieces, 1, F.size(whole)), whole, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-        at = F.aggregate(
+        hits = F.aggregate(
             steps,
             F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos: int, found: string>>").alias("out")),
             lambda s, x: F.struct((s["at"] + x["g"] + F.length(x["m"])).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + x["g"]).alias("pos"), x["m"].alias("found")))).alias("out")),
         )["out"]
-        rows = hits.select(*keys, "text", F.explode(F.filter(at, lambda x: F.length(x["found"]) > 0)).alias("x")).select(*keys, "text", F.col("x.pos").alias("pos"), F.col("x.found").alias("found"))
+        hits = F.filter(hits, lambda x: F.length(x["found"]) > 0)
     else:
         text = T.normalize_special(F.col("text")) if normalize else F.col("text")
         seek = find
         for k, v in T.SPECIAL.items() if normalize else ():
             seek = seek.replace(k, v)
         low = text if case_sensitive else F.lower(text)
-        hits = inside.where(F.contains(low, F.lit(seek if case_sensitive else seek.lower())))
-        rows = hits.select(*keys, "text", F.explode(literal_positions(text, seek, case_sensitive)).alias("pos"))
-        rows = rows.withColumn("found", F.substr("text", F.col("pos") + 1, F.lit(len(seek))))
-    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("p_idx", "pos")) - 1
-    return rows.select(*keys, index.alias("index"), "pos", F.length("found").alias("len"), "found", T.context(F.col("text"), F.col("found"), chars).alias("context"))
+        rows = inside.where(F.contains(low, F.lit(seek if case_sensitive else seek.lower())))
+        as_found = (lambda p: F.lit(find)) if case_sensitive and not normalize else (lambda p: F.substr("text", p + 1, F.lit(len(seek))))
+        hits = F.transform(literal_positions(text, seek, case_sensitive), lambda p: F.struct(p.alias("pos"), as_found(p).alias("found")))
+    # The context depends on what was found alone, so it is made once for each spelling and the text goes no further.
+    rows = rows.withColumn("hits", hits)
+    kinds = F.array_distinct(F.transform("hits", lambda x: x["found"]))
+    contexts = F.map_from_arrays(kinds, F.transform(kinds, lambda k: T.context(F.col("text"), k, chars)))
+    rows = rows.select(*keys, contexts.alias("contexts"), F.col("hits")).select(*keys, "contexts", F.explode("hits").alias("x"))
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("p_idx", "x.pos")) - 1
+    return rows.select(*keys, index.alias("index"), F.col("x.pos").alias("pos"), F.length("x.found").alias("len"), F.col("x.found").alias("found"), F.element_at("contexts", F.col("x.found")).alias("context"))
 
 
 def matching(paragraphs: DataFrame, find: str) -> DataFrame:

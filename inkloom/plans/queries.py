@@ -23,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 P = "p AS (SELECT doc_id, CAST(unnest(range(0, len(s))) AS INTEGER) AS p_idx, unnest(s) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))"
-HEADING = "length(text) BETWEEN 1 AND 60 AND text NOT LIKE '%.'"
+HEADING = "length(text) BETWEEN 1 AND 60"
 SHORT = "CASE change_type WHEN 'insertion' THEN 'insert' WHEN 'deletion' THEN 'delete' WHEN 'format_run' THEN 'format' WHEN 'format_paragraph' THEN 'format' ELSE change_type END"
 EV = """ch AS (SELECT event_id // 50 AS doc_id, event_id AS change_id, CASE event_type WHEN 'click' THEN 'insertion' WHEN 'view' THEN 'deletion' WHEN 'purchase' THEN 'format_run' WHEN 'signup' THEN 'move_to' WHEN 'error' THEN 'move_from' ELSE 'insertion' END AS change_type,
   'user' || (user_id % 20) AS author, ts AS date, 'value ' || CAST(floor(value) AS BIGINT) AS text FROM events)"""
