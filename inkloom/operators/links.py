@@ -135,3 +135,16 @@ def content_type(parts: DataFrame, types: DataFrame) -> DataFrame:
     by_extension = types.where("extension is not null").select("doc_id", F.lower("extension").alias("ext"), F.col("content_type").alias("usual"))
     rows = parts.withColumn("ext", F.lower(F.regexp_extract("part", r"\.([^.]+)$", 1)))
     return rows.join(by_name, ["doc_id", "part"], "left").join(by_extension, ["doc_id", "ext"], "left").select("doc_id", "part", F.coalesce("own", "usual").alias("content_type"))
+
+
+def links_json(resolved: DataFrame) -> DataFrame:
+    """(doc_id, links): external, internal and broken links of each document as JSON lists in order."""
+    one = F.struct("link_idx", "text", "anchor", "target")
+    lists = [F.array_sort(F.collect_list(F.when(F.col("status") == s, one))).alias(s) for s in ("external", "internal", "broken")]
+    return resolved.groupBy("doc_id").agg(*lists).select("doc_id", F.to_json(F.struct("external", "internal", "broken")).alias("links"))
+
+
+def references_json(xrefs: DataFrame) -> DataFrame:
+    """(doc_id, references): cross-references of each document as a JSON list in order."""
+    one = F.struct("field_idx", "field_type", "target", "display")
+    return xrefs.groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("references"))
