@@ -528,9 +528,11 @@ def normalize_currency(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.normalize_currency(raw).alias("text"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%B %-d, %Y') AS a, strftime(o_orderdate, '%B %-d, %Y') AS b FROM orders")
+@query("SELECT o_orderkey, 'due ' || strftime(o_orderdate, '%B %d, %Y') || ' or ' || strftime(o_orderdate, '%B %d, %Y') || ', at last ' || strftime(o_orderdate, '%B %d, %Y') || ' not 31/31/2024' AS text FROM orders")
 def normalize_dates(spark, d):
-    return read(spark, d, "orders").select("o_orderkey", T.normalize_date(F.date_format("o_orderdate", "M/d/yyyy")).alias("a"), T.normalize_date(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("b"))
+    at = lambda form: F.date_format("o_orderdate", form)
+    raw = F.concat(F.lit("due "), at("M/d/yyyy"), F.lit(" or "), at("yyyy-MM-dd"), F.lit(", at last "), at("d MMMM yyyy"), F.lit(" not 31/31/2024"))
+    return read(spark, d, "orders").select("o_orderkey", T.normalize_dates(raw).alias("text"))
 
 
 @query("SELECT p_partkey, replace('see Section ' || (p_size % 3) || ' and Section ' || p_size || '1', 'Section 2 ', 'Section 9 ') AS text FROM part")

@@ -157,7 +157,7 @@ def test_text_functions(spark):
     lit = F.lit
     assert one(T.initials(lit("ada  lovelace"))) == "AL"
     assert one(T.normalize_currency(lit("$1000 and $1,234.5 and $12"))) == "$1,000.00 and $1,234.50 and $12.00"
-    assert one(T.normalize_date(lit("31 February 2024"))) == "31 February 2024"
+    assert one(T.normalize_dates(lit("31 February 2024, Dec 8, 2025; 2024-02-30; 1/2/2024"))) == "31 February 2024, December 08, 2025; 2024-02-30; January 02, 2024"
     assert one(T.numbered_level(lit("1.2 x"))) == 2 and one(T.numbered_level(lit("article IV"))) == 1 and one(T.numbered_level(lit("x"))) is None
     assert one(T.all_caps(lit("ÉTAT A"))) and not one(T.all_caps(lit("A1")))
     assert one(T.style_level(lit("Heading 3"))) == 3 and one(T.style_level(lit("Subtitle"))) == 2
@@ -169,7 +169,7 @@ def test_text_functions(spark):
     assert tuple(one(T.toc_levels(lit('TOC \\o "2-4"')))) == (2, 4) and tuple(one(T.toc_levels(lit("TOC")))) == (1, 3)
     assert tuple(one(T.toc_entry(lit("TOC2"), lit("Scope .... 12")))) == (2, "Scope", 12)
     assert one(T.tokens(lit("l’été non-dit, x"))) == ["l’été", " ", "non-dit", ",", " ", "x"]
-    assert one(T.continuity(lit("such as x"))) == ["starts in lower case", "starts with a connecting phrase"]
+    assert one(T.continuity(lit("of which x"))) == ["starts in lower case", "starts with a connecting phrase"]
     assert one(T.image_size(lit(914400), lit(457200))) == "1.0in x 0.5in"
     assert one(T.ref_parts(lit("tbl:0/row:2/p:~abc")))[2].fingerprint == "abc"
     assert (one(T.twips(lit(1.5))), one(T.inch_twips(lit(1.0))), one(T.half_points(lit(10.5)))) == (30, 1440, 21)
