@@ -11,10 +11,9 @@
 
 No bucket is expanded into its pairs. In the first round each set is tried with one other: of the
 least members of its buckets the one that it shares most buckets with. Links so found are joined
-into components. Buckets that then hold several components are searched again, in blocks. Only pairs
-across components are tried: first likely ones, no more than would span a bucket, then, where
-components are left apart, all that may link, each in the first bucket that it shares. A bucket of
-copies is one component by then.
+into components. Buckets that then hold several components are searched again, in blocks, with full
+sets at hand: only pairs across components are tried, each in the first bucket that it shares, and
+components that have met aren't tried again. A bucket of copies is one component by then.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; fewer words
 than a shingle make one shingle of all; rows that share a doc_id are one document for components
@@ -79,12 +78,6 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8))
 
 
-def likely_estimate(percent: int) -> int:
-    """Ones in the XOR of two sketches that a pair a little above the threshold has on average."""
-    differ = ROWS * BANDS * (1 - min(0.98, percent / 100 + 0.02))
-    return int(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * differ)))
-
-
 def least_estimate(percent: int) -> int:
     """Most ones in the XOR of two sketches for which a pair is still confirmed."""
     k, n = ROWS * BANDS, SKETCH_BITS
@@ -125,26 +118,27 @@ def _likely(a: pd.Series, b: pd.Series, most: int) -> np.ndarray:
     return np.bitwise_count(left ^ right).sum(1) <= most
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Of pairs (x, y) of doc_ids those whose full sets meet the threshold."""
-    spark = pairs.sparkSession
-    wanted = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
-    texts = docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["id"], "left_semi").select("doc_id", "text")
+def full_sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, set): shingle sets of the documents of ids (id), from their texts."""
+    texts = docs.join(ids.hint("merge"), docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t or b"", shingle).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["id", "set"])
 
-    full = stash(texts.mapInArrow(sets, "id long, set binary"), "shingle-sets")
+    return texts.mapInArrow(sets, "id long, set binary").where("length(set) > 0")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Of pairs (x, y) of doc_ids those whose full sets meet the threshold."""
+    wanted = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
+    full = stash(full_sets(wanted, docs, shingle), "shingle-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("sx").to_pylist(), batch.column("sy").to_pylist(), strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            rows = zip(batch.column("sx").to_pylist(), batch.column("sy").to_pylist(), strict=True)
+            keep = [linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in rows]
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = full.select(F.col("id").alias("x"), F.col("set").alias("sx")), full.select(F.col("id").alias("y"), F.col("set").alias("sy"))
@@ -168,9 +162,20 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def spanning(ids, roots, sizes, sketches, second, both: bool, sure: int, percent: int) -> tuple[list, list]:
-    """Of a bucket's block pair near pairs that join components: at most one for each time two of them meet."""
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets meet the threshold."""
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def across(bucket: int, ids, roots, bands, sketches, sets: list[np.ndarray], second, both: bool, most: int, percent: int) -> tuple[list, list]:
+    """Links that join components of a bucket's block pair, confirmed on full sets; second: rows of the other block.
+
+    A pair is tried in the first bucket that it shares, the nearest pairs of a row first; components that
+    have met aren't tried again, so there are fewer links than rows.
+    """
     label = np.unique(roots, return_inverse=True)[1]
+    sizes = np.array([len(x) for x in sets])
     left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if both else (np.arange(len(ids)),) * 2
     xs, ys = [], []
     for k, i in enumerate(left.tolist()):
@@ -180,49 +185,36 @@ def spanning(ids, roots, sizes, sketches, second, both: bool, sure: int, percent
         if not len(other):
             continue
         ones = np.bitwise_count(sketches[other] ^ sketches[i]).sum(1)
-        near = other[ones <= sure][np.argsort(ones[ones <= sure], kind="stable")]
-        if len(near):
-            labels, first = np.unique(label[near], return_index=True)  # the nearest of each component
-            xs.append(np.full(len(first), ids[i]))
-            ys.append(ids[near[first]])
-            label[np.isin(label, labels)] = label[i]
-    return xs, ys
-
-
-def across(bucket: int, ids, roots, sizes, bands, sketches, second, both: bool, most: int, percent: int) -> tuple[list, list]:
-    """Pairs of a bucket's block pair whose components differ, whose sizes and sketches are near, and that share no bucket before."""
-    left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if both else (np.arange(len(ids)),) * 2
-    xs, ys = [], []
-    for k, i in enumerate(left.tolist()):
-        other = right if both else right[k + 1 :]
-        fits = 100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i])
-        other = other[(roots[other] != roots[i]) & fits]
-        if len(other):
-            near = other[np.bitwise_count(sketches[other] ^ sketches[i]).sum(1) <= most]
-            near = near[bands[i][(bands[near] == bands[i]).argmax(1)] == bucket] if len(near) else near
-            xs.append(np.full(len(near), ids[i]))
-            ys.append(ids[near])
+        near, ones = other[ones <= most], ones[ones <= most]
+        if not len(near):
+            continue
+        first = bands[i][(bands[near] == bands[i]).argmax(1)] == bucket
+        for j in near[first][np.argsort(ones[first], kind="stable")].tolist():
+            if label[j] != label[i] and linked(sets[i], sets[j], percent):
+                xs.append(ids[i])
+                ys.append(ids[j])
+                label[label == label[j]] = label[i]
     return xs, ys
 
 
-def _across(most: int, percent: int, sure: int | None = None):
-    """With sure spanning pairs, else all. Rows (bucket, one, two, id, root, n_shingles, bands, sketch, second) in order of their group -> pairs (x, y)."""
+def _across(most: int, percent: int):
+    """Rows (bucket, one, two, id, root, bands, sketch, set, second) in order of their group -> links (x, y)."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         ids, roots = table.column("id").to_numpy(), table.column("root").to_numpy()
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
         bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
-        sizes, bucket = table.column("n_shingles").to_numpy(), table.column("bucket").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        bucket = table.column("bucket").to_numpy()
         second, both = table.column("second").to_numpy(zero_copy_only=False), table.column("one").to_numpy() != table.column("two").to_numpy()
         starts = [0, *_starts(table)]
         xs, ys = [], []
         for a, e in zip(starts, [*starts[1:], len(ids)], strict=True):
             if e - a > 1:
-                own = (ids[a:e], roots[a:e], sizes[a:e], sketches[a:e], second[a:e], bool(both[a]))
-                x, y = spanning(*own, sure, percent) if sure else across(bucket[a], ids[a:e], roots[a:e], sizes[a:e], bands[a:e], sketches[a:e], second[a:e], bool(both[a]), most, percent)
+                x, y = across(bucket[a], ids[a:e], roots[a:e], bands[a:e], sketches[a:e], sets[a:e], second[a:e], bool(both[a]), most, percent)
                 xs += x
                 ys += y
-        x, y = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (xs, ys))
+        x, y = np.array(xs, np.int64), np.array(ys, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
 
     def _starts(table: pa.Table) -> list[int]:
@@ -293,17 +285,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     links = confirmed(stash(with_sketches(pairs), "near-pairs"), texts, shingle, percent)
     roots = components(links)
-    # Buckets that still hold several components, in blocks of bounded size: first pairs that surely join
-    # them, few of each, then all that may.
-    for sure in (likely_estimate(percent), None):
-        labelled = members.select("bucket", "id").join(roots.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-        torn = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b").select("bucket", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("blocks"))
-        left = labelled.join(torn.hint("merge"), "bucket").withColumn("block", F.expr("cast(pmod(xxhash64(id, 3), blocks) as int)")).join(classes.select("id", "n_shingles", "bands", "sketch").hint("merge"), "id")
-        dealt = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-        dealt = dealt.select("bucket", "one", "two", "id", "root", "n_shingles", "bands", "sketch", (F.col("block") == F.col("two")).alias("second")).repartition(partitions(spark), "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
-        more = stash(dealt.mapInArrow(_across(most, percent, sure), "x long, y long").distinct(), "more-pairs")
-        if more.head(1):
-            roots = hung(roots, confirmed(more, texts, shingle, percent))
+    # Buckets that still hold several components, in blocks of bounded size.
+    labelled = members.select("bucket", "id").join(roots.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    torn = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b").select("bucket", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("blocks"))
+    left = stash(labelled.join(torn.hint("merge"), "bucket").withColumn("block", F.expr("cast(pmod(xxhash64(id, 3), blocks) as int)")), "torn")
+    wanted = left.select("id").distinct()
+    known = classes.select("id", "bands", "sketch").join(stash(full_sets(wanted, texts, shingle), "shingle-sets").hint("merge"), "id")
+    dealt = left.join(known, "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+    dealt = dealt.select("bucket", "one", "two", "id", "root", "bands", "sketch", "set", (F.col("block") == F.col("two")).alias("second")).repartition(partitions(spark), "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
+    more = stash(dealt.mapInArrow(_across(most, percent), "x long, y long").distinct(), "more-links")
+    if more.head(1):
+        roots = hung(roots, more)
     # Members of a class link with its first; so do sets that share a doc_id.
     own = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes.select("n_shingles", "h1", "h2", "id"), ["n_shingles", "h1", "h2"], "left")
     if repeated:
