@@ -110,7 +110,7 @@ def comparison_stats(changes: DataFrame) -> DataFrame:
     return changes.groupBy("pair_id").agg(count("insert").alias("inserted"), count("delete").alias("deleted"), count("replace").alias("replaced"), F.count("*").alias("total"))
 
 
-def redlined(old: str = "old", hunk_column: str = "hunks") -> Column:
+def marked_up(old: str = "old", hunk_column: str = "hunks") -> Column:
     """The old text with hunks as change markup; whole replacement where hunks are null."""
     from inkloom.functions.critic import spliced
 

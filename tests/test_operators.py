@@ -100,7 +100,7 @@ def test_compare(spark):
     stats = diff.comparison_stats(diff.compared_changes(ops, df(old), df(new))).collect()
     assert [tuple(r) for r in stats] == [(7, 1, 1, 1, 3)]
     one = spark.createDataFrame([("the cat sat", "the dog sat")], "old string, new string").withColumn("hunks", diff.hunks("old", "new"))
-    assert one.select(diff.redlined().alias("t")).head().t == "the {--cat--}{++dog++} sat"
+    assert one.select(diff.marked_up().alias("t")).head().t == "the {--cat--}{++dog++} sat"
 
 
 def test_batch(spark):
