@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the least doc_id."""
-    return near_dedup.one_of_each(docs)
+    """One document of each group of near copies, by shingles of five words, stays, that of the least doc_id."""
+    return near_dedup.one_of_each(docs, shingle=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ import corpus_pipeline
 from inkloom.llm import decontam, near_dedup, secrets, toxicity
 from inkloom.llm.common import table
 
+from .docs import frame
+
 
 def test_stages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -37,3 +39,13 @@ def test_columns(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
+
+
+def test_near_copies_share_five_words_in_a_row(spark):
+    """A text with every twentieth word changed is similar on pairs of words, not on five; one with one word changed is on both."""
+    words = [f"w{i}" for i in range(100)]
+    other = [f"x{i}" if i % 20 == 10 else w for i, w in enumerate(words)]
+    copy = [*words[:50], "edited", *words[51:]]
+    docs = frame(spark, [(i, " ".join(w), "en", "s", 1) for i, w in enumerate((words, other, copy))])
+    assert {r.doc_id for r in near_dedup.near_duplicates(docs, shingle=2).where("not kept").collect()} == {1, 2}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, None).collect()} == {0, 1}
