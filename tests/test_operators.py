@@ -41,6 +41,14 @@ def test_other_queries_run(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_minimal_hunks_take_every_line(spark, tmp_path):
+    texts = {1: "\n".join(["in the end", "same", "on the way to the top", "", " the ", "at the last"]), 2: "over the hill", 3: "nothing", 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = [(d, i, *h.values()) for d, t in texts.items() for i, x in enumerate((t or "").split("\n")) for h in diff.text_hunks(x, x.replace(" the ", " that ")) or []]
+    got = QUERIES["minimal_hunks"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and {r[1] for r in want} == {0, 2, 4, 5}
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
