@@ -446,9 +446,9 @@ def page_link_rows(spark, d):
 
 
 def _link_tables(spark, d):
-    found = page_links(read(spark, d, "pages")).select("doc_id", "link_idx", F.substring("target", 2, 40).alias("anchor"), F.when(F.col("link_idx") % 4 == 0, F.concat(F.lit("r"), F.length("target"))).alias("rel_id"))
+    found = page_links(read(spark, d, "pages")).select("doc_id", "link_idx", F.expr("substring(target, 2)").alias("anchor"), F.when(F.col("link_idx") % 4 == 0, F.concat(F.lit("r"), F.length("target"))).alias("rel_id"))
     rels = read(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.explode(F.expr("sequence(3, 5)")).alias("k")).select("doc_id", F.concat(F.lit("r"), "k").alias("rel_id"), F.concat(F.lit("http://example.org/"), "k").alias("target"))
-    marks = page_blocks(read(spark, d, "pages")).select("doc_id", F.explode(F.split(F.substring("text", 1, 60), " ")).alias("name")).where("name <> ''").distinct()
+    marks = page_blocks(read(spark, d, "pages")).select("doc_id", F.explode(F.split("text", " ")).alias("name")).where("name <> ''").distinct()
     return found, rels, marks
 
 
@@ -460,7 +460,7 @@ def links_resolved(spark, d):
 @query()
 def references_validated(spark, d):
     found, _, marks = _link_tables(spark, d)
-    xrefs = found.where("link_idx % 2 = 1").select("doc_id", F.col("anchor").alias("target"))
+    xrefs = found.select("doc_id", F.col("anchor").alias("target"))
     return links.validated(found, xrefs, marks)
 
 

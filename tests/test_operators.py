@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from inkloom.functions import critic
 from inkloom.functions import text as T
 from inkloom.operators import diff, edits, search, structure
-from inkloom.plans.queries import QUERIES, SQL
+from inkloom.plans.queries import QUERIES, SQL, _link_tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -49,6 +49,15 @@ def test_minimal_hunks_take_every_line(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(want) and {r[1] for r in want} == {0, 2, 4, 5}
 
 
+def test_links_reach_words_anywhere(spark, tmp_path):
+    far, long = "far", "w" * 50
+    html = f'<p>{"word " * 20}{far} {long}</p><a href="#{far}">x</a><a href="#{long}">y</a><a href="#none">z</a>'
+    spark.createDataFrame([(1, html)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found, _, marks = _link_tables(spark, str(tmp_path))
+    assert [r.anchor for r in found.orderBy("link_idx").collect()] == [far, long, "none"] and {far, long} <= {r.name for r in marks.collect()}
+    assert [tuple(r) for r in QUERIES["references_validated"](spark, str(tmp_path)).collect()] == [(1, 1, 1, 1, False)]
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
