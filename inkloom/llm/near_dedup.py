@@ -35,7 +35,8 @@ from .common import partitions, small_batches, stash
 from .substring_dedup import word_hashes
 from .windows import mix
 
-SHINGLE = 2
+#: Words of a shingle, and the least similarity of linked documents.
+SHINGLE = 5
 PERCENT = 80
 ROWS, BANDS = 5, 36
 SKETCH_BITS = 1024

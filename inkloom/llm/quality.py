@@ -5,7 +5,8 @@ The statistics are computed where the text is. Trees are fitted to a bounded sam
 flattened into arrays: each level of all trees is one vectorised numpy step.
 
 Defined results: null and empty texts are scored like any other; documents without a label are
-scored; several labels of one document count by their majority (a tie counts 1); without usable
+scored; several labels of one document count by their majority (a tie counts 1); of rows that share a
+doc_id the one with the least statistics is learned from; an empty table gives no rows; without usable
 labels every score is 0.5, with one class only it is near that class; held_out is false for a null
 doc_id; further columns are ignored.
 """
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import least_hashed, small_batches
 
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, LEAF, RIDGE = 80, 4, 32, 0.15, 20, 1.0
@@ -134,22 +135,24 @@ def fold(doc_id: Column, of: int, out: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of == out, F.lit(False))
 
 
-def labelled(labels: DataFrame, name: str, of: int, out: int, sample: int) -> DataFrame:
-    """(id, label) of the labelled rows that may be learned from, at most sample of them."""
+def labelled(labels: DataFrame, name: str, of: int, out: int) -> DataFrame:
+    """(id, label) of the labelled documents that may be learned from."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(name).isNotNull() & ~fold(F.col("doc_id"), of, out))
-    one = usable.groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.avg(name) >= 0.5).cast("int").alias("label"))
-    return one.orderBy(F.xxhash64("id"), "id").limit(sample)
+    return usable.groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.avg(name) >= 0.5).cast("int").alias("label"))
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [statistics(t or b"") for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(rows, pa.list_(pa.float64()))], names=["id", "label", "x"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
-    rows = docs.select("doc_id", "text").join(F.broadcast(labelled(labels, "quality", 4, 2, sample)), F.col("doc_id").cast("long") == F.col("id"))
-    got = rows.select("label", F.col("text").cast("binary").alias("text")).mapInArrow(_statistics, "label int, x array<double>").limit(4 * sample).collect()
+    usable = labelled(labels, "quality", 4, 2)
+    some = least_hashed(usable, "id", sample, usable.count())
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id").cast("long") == F.col("id"))
+    known = rows.select("id", "label", F.col("text").cast("binary").alias("text")).mapInArrow(_statistics, "id long, label int, x array<double>")
+    got = known.groupBy("id", "label").agg(F.min("x").alias("x")).collect()  # one text an id, sample rows at most
     got.sort(key=lambda r: (r.label, r.x))  # the order of rows doesn't follow from the data
     return fit(np.array([r.x for r in got]).reshape(len(got), STATISTICS), np.array([r.label for r in got], float))
 

@@ -41,7 +41,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,6 @@ ORACLE_SQL = {
     "op1_mixing": mixing.mix_sql(),
     "op4_top_k": topk.oracle_sql(),
     "op7_decontamination": decontam.oracle_sql(),
-    "op8_near_dedup": near_dedup.oracle_sql(),
+    "op8_near_dedup": near_dedup.oracle_sql(shingle=2),
     "op10_secrets": secrets.oracle_sql(),
 }

@@ -123,20 +123,20 @@ def near_rows(seed):
     return data
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 1024), (2, 8)])
-def test_near_dedup(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize(("seed", "block", "shingle"), [(1, 1024, 2), (2, 8, 2), (3, 8, 5)])
+def test_near_dedup(spark, monkeypatch, seed, block, shingle):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     data = near_rows(seed)[:-1]
-    columns, want = sql_rows(near_dedup.oracle_sql(), documents=documents(data))
+    columns, want = sql_rows(near_dedup.oracle_sql(shingle), documents=documents(data))
     df = frame(spark, data)
-    same(near_dedup.near_duplicates(df), columns, want)
+    same(near_dedup.near_duplicates(df, shingle), columns, want)
     kept = {r[columns.index("doc_id")] for r in want if r[columns.index("kept")]}
-    assert sorted(r.doc_id for r in near_dedup.one_of_each(df).collect()) == sorted(kept)
+    assert sorted(r.doc_id for r in near_dedup.one_of_each(df, shingle).collect()) == sorted(kept)
 
 
 def test_near_dedup_repeated_and_null_ids(spark):
     a, b = "p q r s t u v w x y z", "completely other words stand here now and then"
-    got = near_dedup.near_duplicates(frame(spark, [(1, a, None, None, 1), (2, a, None, None, 1), (2, b, None, None, 1), (3, b, None, None, 1), (None, a, None, None, 1), (4, " ", None, None, 1)]))
+    got = near_dedup.near_duplicates(frame(spark, [(1, a, None, None, 1), (2, a, None, None, 1), (2, b, None, None, 1), (3, b, None, None, 1), (None, a, None, None, 1), (4, " ", None, None, 1)]), shingle=2)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(
         [(1, 10, 1, True), (2, 10, 1, False), (2, 7, 1, False), (3, 7, 1, False), (None, 10, None, True), (4, 0, 4, True)], key=repr
     )
