@@ -65,6 +65,25 @@ def test_top_k(spark, monkeypatch, block):
     same(topk.top_k(df, 50), columns, want)
 
 
+def test_top_k_of_any_size(spark, monkeypatch):
+    """Components from nothing to far beyond a long's products, against Python integers."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "STEP", 4)
+    monkeypatch.setattr(topk, "SEEDS", 3)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(2)
+    data = [(i, (rng.standard_normal(5) * 10.0 ** rng.integers(-2, 9)).astype(np.float32).tolist()) for i in range(120)]
+    data += [(200, [3e5] * 5), (201, [-1e9, 1e9, 0.0, 1.0, 2.0]), (202, [1e30, 0.0, 0.0, 0.0, 0.0]), (203, [2e30, 1.0, 1.0, 0.0, 0.0]), (204, [0.0] * 5), (204, [1.0] * 5), (300, [])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").selectExpr("vec_id as vec_id", "embedding", "1 as length", "2 as kind", "3 as v", "4 as need").repartition(3)
+    whole = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in data]
+    want = []
+    for q, a in whole:
+        if q % 20 == 0:
+            scores = [(-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in whole if i != q]
+            want += [(q, r + 1, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, i) in enumerate(sorted(scores)[:7])]
+    assert sorted(tuple(r) for r in topk.top_k(df, 20, 7).collect()) == sorted(want)
+
+
 def test_top_k_few_and_empty(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.5]), (1, [1.0]), (2, [0.0, -1.0]), (2, [0.0, -1.0])], schema)
