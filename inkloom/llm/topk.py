@@ -145,7 +145,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     spark = vectors.sparkSession
     v = stash(integer_vectors(vectors).withColumn("length", F.expr("sqrt(aggregate(v, 0D, (s, x) -> s + x * x))")), "vectors")
     # Shares of the vectors that are longer than the cuts: the seeds, then the classes.
-    shares = [1 - i / (2 * SEEDS) for i in (1, 2, 4, 8)] + [1 - x for x in CLASSES]
+    shares = [0.9999, 0.999, 0.99, 0.9] + [1 - x for x in CLASSES]
     total, d, cuts = v.agg(F.count("*"), F.max(F.size("v")), F.percentile_approx("length", shares, 10_000)).head()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
