@@ -5,12 +5,17 @@ without replacement: a document of quality weight w and uniform u has the key -l
 are sorted by key within their source, and those whose prefix sum of sizes stays within the rest are
 taken; the one that crosses the rest is cut to what is missing, so a source meets its target to a word.
 
-The prefix sum has two levels, so that one source may hold any share of the rows: keys fall into
-classes by a monotone function, class sums are added up, and only classes are sorted.
+A source's prefix sum passes its rest at one document, the cut: what stands before it is taken whole,
+what stands after it isn't. So only the cut is searched, on rows of (source, key, doc_id, size): keys
+fall into classes by a monotone function, class sums are added up, and just the class that holds the
+cut is sorted. One source may hold any share of the rows. The cuts, a row for each source, are then
+joined to the documents, whose texts are never shuffled for it while Spark finds the cuts small
+enough to broadcast.
 
 Defined results: null text has size 0; null is a source of its own, the last; a source of size 0 has
-target 0; documents with one doc_id share a key and order by size; reruns agree; further columns
-are ignored, or kept where asked.
+target 0; documents with one doc_id share a key and order by size; rows alike in doc_id, key and size
+at the cut are taken one after the other in no certain order; reruns agree; an empty table gives no
+rows; further columns are ignored, or kept where asked, under any name.
 """
 
 from __future__ import annotations
@@ -52,37 +57,66 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
     before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     after = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    budget = F.lit(share) * F.sum("source_size").over(Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    level = (budget - before) / after
+    every = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    level = (F.lit(share) * F.sum("source_size").over(every) - before) / after
     ranked = capped.withColumn("level", level).withColumn("at", F.row_number().over(order))
     fits = F.when(F.col("level") <= F.col("cap") / F.col("w"), F.struct("at", "level"))
-    found = ranked.withColumn("level", F.min(fits).over(Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))["level"])
+    found = ranked.withColumn("level", F.min(fits).over(every)["level"])
     return found.withColumn("target", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap")))).drop("w", "cap", "level", "at")
 
 
-def mix(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """Per document: doc_id, the columns of keep, size, source_size, target, taken."""
-    kept = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
-    key = sampling_key(F.col("doc_id"), quality_weight(F.col("text")))
-    sized = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), key.alias("draw"), *kept), "sized")
+#: Rows of (source, doc_id, size, draw) in the order in which a source's documents are drawn.
+PLACE = ("draw", "doc_id", "size")
+
+
+def cuts(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """A row for each source: s, source_size, target, epochs, rest, and the cut: at (its place), before (sizes ahead of it), alike (rows at that place).
+
+    at is null where no document passes the rest.
+    """
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, most)
-    sources = sources.select(F.col("source").alias("s"), "source_size", "target", F.ceil(F.col("n") / CLASS_ROWS).alias("classes"))
-    # exp(-0.75 draw) falls with the key and is near uniform for weights from 0.5 to 1.
-    cls = F.floor((F.lit(1.0) - F.exp(F.lit(-0.75) * F.col("draw"))) * F.col("classes")).alias("class")
-    rows = sized.join(sources, sized["source"].eqNullSafe(sources["s"])).select(sized["*"], "source_size", "target", cls)
-    sums = rows.groupBy("source", "class").agg(F.sum("size").alias("here"))
-    ahead = F.sum("here").over(Window.partitionBy("source").orderBy("class")) - F.col("here")
-    sums = sums.select(F.col("source").alias("s"), F.col("class").alias("c"), ahead.alias("ahead"))
-    rows = rows.join(sums, rows["source"].eqNullSafe(sums["s"]) & (rows["class"] == sums["c"]))
-    inside = Window.partitionBy("source", "class").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.col("ahead") + F.sum("size").over(inside) - F.col("size")
     epochs = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))
     rest = F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + F.lit(0.5))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
-    taken = (F.col("epochs") * F.col("size") + part).cast("long")
-    out = rows.withColumn("before", before).withColumn("epochs", epochs).withColumn("rest", rest).withColumn("taken", taken)
-    return out.select("doc_id", *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)), "size", "source_size", "target", "taken")
+    sources = sources.withColumn("epochs", epochs).select(F.col("source").alias("s"), "source_size", "target", "epochs", rest.alias("rest"), F.ceil(F.col("n") / CLASS_ROWS).alias("classes"))
+    sources = stash(sources, "sources")
+    # exp(-0.75 draw) falls with the key and is near uniform for weights from 0.5 to 1.
+    cls = F.floor((F.lit(1.0) - F.exp(F.lit(-0.75) * F.col("draw"))) * F.col("classes")).alias("class")
+    rows = sized.join(sources, sized["source"].eqNullSafe(sources["s"])).select("s", "rest", cls, *PLACE)
+    sums = rows.groupBy("s", "rest", "class").agg(F.sum("size").alias("here"))
+    ahead = F.sum("here").over(Window.partitionBy("s").orderBy("class")) - F.col("here")
+    torn = sums.withColumn("ahead", ahead).where("ahead <= rest and ahead + here > rest")
+    torn = stash(torn.select(F.col("s").alias("t"), F.col("class").alias("c"), "ahead"), "cut-classes")
+    inside = rows.join(torn, rows["s"].eqNullSafe(torn["t"]) & (rows["class"] == torn["c"])).groupBy("s", "rest", "ahead", *PLACE).agg(F.count("*").alias("alike"))
+    before = F.col("ahead") + F.sum(F.col("size") * F.col("alike")).over(Window.partitionBy("s").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size") * F.col("alike")
+    over = inside.withColumn("before", before).where("before <= rest and before + size * alike > rest")
+    over = over.groupBy(F.col("s").alias("o")).agg(F.min(F.struct(F.struct(*PLACE).alias("at"), "before", "alike")).alias("cut"))
+    found = sources.join(over, sources["s"].eqNullSafe(over["o"]), "left").select("s", "source_size", "target", "epochs", "rest", "cut.*")
+    return stash(found, "cuts")
+
+
+def mix(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """Per document: doc_id, the columns of keep, size, source_size, target, taken."""
+    draw = sampling_key(F.col("doc_id"), quality_weight(F.col("text")))
+    narrow = (F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), draw.alias("draw"))
+    sized = stash(docs.select(*narrow), "sized")
+    found = cuts(sized, weights, share, most)
+    # Texts that are to be kept are read again rather than written.
+    rows = docs.select(*narrow, *(F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep))) if keep else sized
+    rows = rows.join(found, rows["source"].eqNullSafe(found["s"])).withColumn("place", F.struct(*PLACE))
+
+    def taken(before: Column) -> Column:
+        part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before))
+        whole = F.when(F.col("at").isNull() | (F.col("place") < F.col("at")), F.col("size"))
+        part = whole.otherwise(F.when(F.col("place").eqNullSafe(F.col("at")), part).otherwise(0))
+        return (F.col("epochs") * F.col("size") + part).cast("long").alias("taken")
+
+    columns = ("doc_id", *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)), "size", "source_size", "target")
+    if not found.where("alike > 1").head(1):
+        return rows.select(*columns, taken(F.col("before")))
+    tied = F.coalesce(F.col("place").eqNullSafe(F.col("at")) & (F.col("alike") > 1), F.lit(False))
+    number = F.row_number().over(Window.partitionBy("source").orderBy("place")) - 1
+    ties = rows.where(tied).withColumn("before", F.col("before") + number * F.col("size"))
+    return rows.where(~tied).select(*columns, taken(F.col("before"))).unionByName(ties.select(*columns, taken(F.col("before"))))
 
 
 def mix_sql(documents: str = "documents") -> str:

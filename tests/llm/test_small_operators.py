@@ -37,6 +37,17 @@ def test_mixing(spark, monkeypatch):
     assert abs(sum({source[r.doc_id, r.size]: r.target for r in got}.values()) - 1.5 * total) < 1e-6
 
 
+def test_mixing_ties(spark, monkeypatch):
+    """A third of the rows is one document over and over: the cut falls among them."""
+    monkeypatch.setattr(mixing, "CLASS_ROWS", 7)
+    data = [*rows(4, n=20), *[(70, "a b c d", None, "s1", 1)] * 60, *[(None, "e f g", None, "s0", 1)] * 40, *[(None, "e f g h", None, None, 1)] * 9]
+    columns, want = sql_rows(mixing.mix_sql(), documents=documents(data))
+    got = mixing.mix(frame(spark, data))
+    same(got, columns, want)
+    kept = mixing.mix(frame(spark, data).withColumnsRenamed({"lang": "at", "n_chars": "before"}), keep=("text", "at", "source", "before"))
+    assert sorted(map(repr, kept.select("doc_id", "size", "taken").collect())) == sorted(map(repr, got.select("doc_id", "size", "taken").collect()))
+
+
 def test_mixing_keeps_columns_and_empty(spark):
     data = rows(3, n=10)
     kept = mixing.mix(frame(spark, data).withColumnRenamed("lang", "class"), keep=("class", "text", "source"))
