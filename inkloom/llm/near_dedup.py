@@ -13,7 +13,9 @@ No bucket is expanded into its pairs. In the first round each set is tried with
 least members of its buckets the one that it shares most buckets with. Links so found are joined
 into components. Buckets that then hold several components are searched again, in blocks, with full
 sets at hand: only pairs across components are tried, each in the first bucket that it shares, and
-components that have met aren't tried again. A bucket of copies is one component by then.
+components that have met aren't tried again. A bucket of copies is one component by then, and
+strays in it meet each block of it once: with n members outside the largest component of N, the
+blocks hold about (N + n) * n / BLOCK + N + n sets.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; fewer words
 than a shingle make one shingle of all; rows that share a doc_id are one document for components
@@ -286,13 +288,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     links = confirmed(stash(with_sketches(pairs), "near-pairs"), texts, shingle, percent)
     roots = components(links)
-    # Buckets that still hold several components, in blocks of bounded size.
+    # Buckets that still hold several components, in blocks of bounded size. Members of a bucket's largest component
+    # need no trial with each other: they stand in blocks of their own, which meet only those of the other members.
     labelled = members.select("bucket", "id").join(roots.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    torn = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b").select("bucket", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("blocks"))
-    left = stash(labelled.join(torn.hint("merge"), "bucket").withColumn("block", F.expr("cast(pmod(xxhash64(id, 3), blocks) as int)")), "torn")
+    labelled = stash(labelled, "labelled")
+    parts = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    torn = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("big")).where("big.n < n")
+    torn = stash(torn.select("bucket", F.col("big.root").alias("most"), F.expr(f"cast(ceil(big.n / {BLOCK}) as int)").alias("bigs"), F.expr(f"cast(ceil((n - big.n) / {BLOCK}) as int)").alias("rests")), "torn-buckets")
+    block = F.expr("if(root = most, cast(pmod(xxhash64(id, 3), bigs) as int), bigs + cast(pmod(xxhash64(id, 3), rests) as int))")
+    left = stash(labelled.join(torn.hint("merge"), "bucket").withColumn("block", block), "torn")
     wanted = left.select("id").distinct()
     known = classes.select("id", "bands", "sketch").join(stash(full_sets(wanted, texts, shingle), "shingle-sets").hint("merge"), "id")
-    dealt = left.join(known, "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+    others = F.explode(F.expr("sequence(if(root = most, bigs, 0), bigs + rests - 1)"))
+    dealt = left.join(known, "id").withColumn("other", others).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
     dealt = dealt.select("bucket", "one", "two", "id", "root", "bands", "sketch", "set", (F.col("block") == F.col("two")).alias("second")).repartition(partitions(spark), "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
     more = stash(dealt.mapInArrow(_across(most, percent), "x long, y long").distinct(), "more-links")
     if more.head(1):
