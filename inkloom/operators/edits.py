@@ -242,11 +242,13 @@ def disjoint(paragraphs: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def apply_disjoint(paragraphs: DataFrame, edits: DataFrame, track: bool = True) -> DataFrame:
-    """Replacements (doc_id, find, replace) of every occurrence, by one join; at most one edit a paragraph (see disjoint)."""
+    """Replacements (doc_id, find, replace) of every occurrence, by one join; it fails where two edits meet in one paragraph (see disjoint)."""
     new = F.expr("concat('{--', find, '--}{++', replace, '++}')") if track else F.col("replace")
     keys = [F.col("doc_id"), F.col("p_idx")]
     hits = paragraphs.join(edits.select("doc_id", "find", "replace"), "doc_id").where(F.expr("contains(text, find)"))
-    changed = hits.select(*keys, F.replace("text", F.col("find"), new).alias("changed"))
+    changed = hits.select(*keys, F.replace("text", F.col("find"), new).alias("changed")).groupBy(*keys).agg(F.first("changed").alias("changed"), F.count("*").alias("n"))
+    met = F.raise_error(F.concat(F.lit("edits meet in paragraph "), "p_idx", F.lit(" of "), F.col("doc_id")))
+    changed = changed.select(*keys, F.when(F.col("n") == 1, F.col("changed")).otherwise(met).alias("changed"))
     return paragraphs.join(changed, ["doc_id", "p_idx"], "left").withColumn("text", F.coalesce("changed", "text")).drop("changed")
 
 

@@ -32,7 +32,7 @@ def insert_notes(notes: DataFrame, refs: DataFrame, new: DataFrame) -> tuple[Dat
     top = notes.groupBy("doc_id", "note_kind").agg(F.max(F.expr("try_cast(note_id as int)")).alias("_top"))
     w = Window.partitionBy("doc_id", "note_kind").orderBy("p_idx", "text")
     made = new.join(top, ["doc_id", "note_kind"], "left").withColumn("note_id", (F.coalesce("_top", F.lit(0)) + F.row_number().over(w)).cast("string"))
-    return notes.unionByName(made.select(*NOTE, F.lit(None).cast("string").alias("w_type"), "text")), refs.unionByName(made.select(*NOTE, "p_idx"))
+    return notes.unionByName(made.select(*NOTE, F.lit(None).cast("string").alias("w_type"), "text"), True), refs.unionByName(made.select(*NOTE, "p_idx"), True)
 
 
 def delete_notes(notes: DataFrame, refs: DataFrame, gone: DataFrame, renumber: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -73,7 +73,7 @@ def add_comments(comments: DataFrame, ranges: DataFrame, new: DataFrame) -> tupl
 
     rows = made.select("doc_id", "comment_id", "author", initials(F.col("author")).alias("initials"), none.alias("date"), "text", none.alias("para_id"))
     places = made.select("doc_id", "comment_id", F.col("p_idx").alias("start_p_idx"), F.col("p_idx").alias("end_p_idx"), "marked_text")
-    return comments.unionByName(rows), ranges.unionByName(places)
+    return comments.unionByName(rows, True), ranges.unionByName(places, True)
 
 
 def delete_comments(comments: DataFrame, ranges: DataFrame, gone: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -97,7 +97,7 @@ def create_bookmarks(bookmarks: DataFrame, new: DataFrame) -> tuple[DataFrame, D
     good = valid_bookmark(F.col("name")) & F.col("_known").isNull() & (F.col("_n") == 1)
     top = bookmarks.groupBy("doc_id").agg(F.max(F.expr("try_cast(bookmark_id as int)")).alias("_top"))
     made = fresh.where(good).join(top, "doc_id", "left").withColumn("bookmark_id", (F.coalesce("_top", F.lit(0)) + F.row_number().over(Window.partitionBy("doc_id").orderBy("p_idx", "name"))).cast("string"))
-    return bookmarks.unionByName(made.select("doc_id", "name", "bookmark_id", "p_idx", "preview")), fresh.where(~good).drop("_n", "_known")
+    return bookmarks.unionByName(made.select("doc_id", "name", "bookmark_id", "p_idx", "preview"), True), fresh.where(~good).drop("_n", "_known")
 
 
 def reference_code(target: Column, display: str = "text", linked: bool = True, kind: str = "REF") -> Column:

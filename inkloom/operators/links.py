@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def places(left: DataFrame, right: DataFrame, *names: str) -> list[str]:
+    """Keys of a join by place: doc_id, the names given, and the part where both sides name it."""
+    return ["doc_id", *names, *(["part"] if "part" in left.columns and "part" in right.columns else [])]
+
+
 def anti(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(right.select(*on).distinct(), on, "left_anti")
 
@@ -24,8 +29,9 @@ def filter_comments(comments: DataFrame, paragraphs: DataFrame | None = None, au
     """By author, and by the paragraph where the range starts; comments without a range are in no scope."""
     out = comments if author is None else comments.where(F.col("author") == author)
     if scope is not None:
-        inside = paragraphs.where(scope).select("doc_id", F.col("p_idx").alias("start_p_idx"))
-        out = out.join(inside, ["doc_id", "start_p_idx"], "left_semi")
+        inside = paragraphs.where(scope).withColumnRenamed("p_idx", "start_p_idx")
+        on = places(out, inside, "start_p_idx")
+        out = out.join(inside.select(*on), on, "left_semi")
     return out
 
 
@@ -103,8 +109,9 @@ def reference_targets(bookmarks: DataFrame, paragraphs: DataFrame, fields: DataF
     """(doc_id, kind, target, text): what cross-references may point at."""
     heads = paragraphs.where(F.col("style").startswith("Heading") & (F.trim("text") != ""))
     row = lambda df, kind, target, text: df.select("doc_id", F.lit(kind).alias("kind"), F.col(target).cast("string").alias("target"), F.col(text).alias("text"))
-    captions = fields.select("doc_id", "p_idx", F.regexp_extract("code", r"^\s*SEQ\s+(Figure|Table)", 1).alias("what")).where("what <> ''")
-    named = paragraphs.where(F.lower("style") == "caption").join(captions, ["doc_id", "p_idx"])
+    on = places(paragraphs, fields, "p_idx")
+    captions = fields.select(*on, F.regexp_extract("code", r"^\s*SEQ\s+(Figure|Table)", 1).alias("what")).where("what <> ''")
+    named = paragraphs.where(F.lower("style") == "caption").join(captions, on)
     out = row(bookmarks, "bookmark", "name", "preview").unionByName(row(heads, "heading", "p_idx", "text"))
     for what in ("Figure", "Table"):
         out = out.unionByName(row(named.where(F.col("what") == what), what.lower(), "p_idx", "text"))

@@ -88,21 +88,20 @@ def scope_report(paragraphs: DataFrame, scope: Scope, chars: int = 100) -> DataF
     return paragraphs.groupBy("doc_id").agg(lists(inside).alias("matched"), lists(~inside).alias("excluded"))
 
 
-def literal_positions(text: Column, found: str, case_sensitive: bool = True) -> Column:
-    """Places, from 0, where found starts; places may overlap.
+def _quoted(found: str) -> str:
+    return "\\Q" + found.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
-    A split before every place leaves pieces that begin with found, but perhaps for the first.
+
+def literal_pieces(text: Column, found: str, case_sensitive: bool = True) -> Column:
+    """The text cut before each place where found starts (places may overlap), as (size, head): head is what found matched, null if the piece begins with something else.
+
+    Cases are folded while matching, so sizes are those of the text itself.
     """
-    if not case_sensitive:
-        text, found = F.lower(text), found.lower()
-    sizes = F.transform(F.split(text, "(?=\\Q" + found.replace("\\E", "\\E\\\\E\\Q") + "\\E)", -1), F.length)
-    first = F.when(F.startswith(text, F.lit(found)), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    ends = F.aggregate(
-        F.slice(sizes, 1, F.size(sizes) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"] + n)).alias("out")),
-    )["out"]
-    return F.concat(first, ends)
+    pattern = ("" if case_sensitive else "(?iu)") + _quoted(found)
+    pieces = F.split(text, f"(?={pattern})", -1)
+    first = text.rlike(f"^(?:{pattern})")
+    head = lambda p, i: F.when((i > 0) | first, F.substring(p, 1, len(found)))
+    return F.transform(pieces, lambda p, i: F.struct(F.length(p).alias("size"), head(p, i).alias("head")))
 
 
 def find_all(
@@ -119,34 +118,36 @@ def find_all(
     keys = [c for c in paragraphs.columns if c not in ("text", "section")]
     if fuzzy:
         return fuzzy_find(inside, find, **fuzzy)
+    # Pieces carry their size and what was found in them; places are running sums of sizes.
     if regex:
         pattern = "(?U)" + ("" if case_sensitive else "(?iu)") + find
         rows = inside.where(F.col("text").rlike(pattern))
         whole = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-        pieces = F.split("text", pattern, -1)
-        steps = F.zip_with(F.slice(pieces, 1, F.size(whole)), whole, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-        hits = F.aggregate(
-            steps,
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos: int, found: string>>").alias("out")),
-            lambda s, x: F.struct((s["at"] + x["g"] + F.length(x["m"])).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + x["g"]).alias("pos"), x["m"].alias("found")))).alias("out")),
-        )["out"]
-        hits = F.filter(hits, lambda x: F.length(x["found"]) > 0)
+        gaps = F.transform(F.split("text", pattern, -1), F.length)
+        # A gap belongs to the match after it.
+        pieces = F.zip_with(F.slice(gaps, 1, F.size(whole)), whole, lambda g, m: F.struct((g + F.length(m)).alias("size"), m.alias("head")))
+        start = F.col("end") - F.length("x.head")
     else:
         text = T.normalize_special(F.col("text")) if normalize else F.col("text")
         seek = find
         for k, v in T.SPECIAL.items() if normalize else ():
             seek = seek.replace(k, v)
-        low = text if case_sensitive else F.lower(text)
-        rows = inside.where(F.contains(low, F.lit(seek if case_sensitive else seek.lower())))
-        as_found = (lambda p: F.lit(find)) if case_sensitive and not normalize else (lambda p: F.substr("text", p + 1, F.lit(len(seek))))
-        hits = F.transform(literal_positions(text, seek, case_sensitive), lambda p: F.struct(p.alias("pos"), as_found(p).alias("found")))
+        rows = inside.where(F.contains(text, F.lit(seek)) if case_sensitive else text.rlike("(?iu)" + _quoted(seek)))
+        pieces = literal_pieces(text, seek, case_sensitive)
+        if normalize:  # what stands in the text itself, at the same place
+            whole = F.transform(pieces, lambda p: p["size"])
+            at = lambda i: F.aggregate(F.slice(whole, 1, i), F.lit(0), lambda s, n: s + n)
+            pieces = F.transform(pieces, lambda p, i: F.struct(p["size"].alias("size"), F.when(p["head"].isNotNull(), F.substr("text", at(i) + 1, F.lit(len(seek)))).alias("head")))
+        start = F.col("end") - F.col("x.size")
     # The context depends on what was found alone, so it is made once for each spelling and the text goes no further.
-    rows = rows.withColumn("hits", hits)
-    kinds = F.array_distinct(F.transform("hits", lambda x: x["found"]))
+    rows = rows.withColumn("pieces", pieces)
+    kinds = F.array_distinct(F.filter(F.transform("pieces", lambda x: x["head"]), lambda h: F.length(h) > 0))
     contexts = F.map_from_arrays(kinds, F.transform(kinds, lambda k: T.context(F.col("text"), k, chars)))
-    rows = rows.select(*keys, contexts.alias("contexts"), F.col("hits")).select(*keys, "contexts", F.explode("hits").alias("x"))
-    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("p_idx", "x.pos")) - 1
-    return rows.select(*keys, index.alias("index"), F.col("x.pos").alias("pos"), F.length("x.found").alias("len"), F.col("x.found").alias("found"), F.element_at("contexts", F.col("x.found")).alias("context"))
+    rows = rows.select(*keys, contexts.alias("contexts"), "pieces").select(*keys, "contexts", F.posexplode("pieces").alias("piece", "x"))
+    order = Window.partitionBy("doc_id", "p_idx").orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("end", F.sum("x.size").over(order).cast("int")).where(F.length("x.head") > 0).withColumn("pos", start)
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("p_idx", "pos")) - 1
+    return rows.select(*keys, index.alias("index"), "pos", F.length("x.head").alias("len"), F.col("x.head").alias("found"), F.element_at("contexts", F.col("x.head")).alias("context"))
 
 
 def matching(paragraphs: DataFrame, find: str) -> DataFrame:
@@ -186,14 +187,14 @@ def expand_groups(matches: Column, pattern: str, replacement: str) -> Column:
 def suggestions(paragraphs: DataFrame, find: str) -> DataFrame:
     """(doc_id, suggestions): why a text may not have been found in each document."""
     rules = [
-        (any(c in find for c in T.QUOTES) or "'" in find or '"' in find, "Check for curly quotes vs. straight quotes"),
-        ("  " in find, "Search text contains double spaces; try single ones"),
-        (find != find.strip(), f'Search text has leading/trailing whitespace. Try: "{find.strip()}"'),
+        (any(c in find for c in T.QUOTES) or "'" in find or '"' in find, "compare its quotes with those of the document"),
+        ("  " in find, "it has spaces in a row: one may be enough"),
+        (find != find.strip(), f"white space at its ends: search for <{find.strip()}>"),
     ]
     fixed = [F.lit(s) for test, s in rules if test]
     whole = paragraphs.groupBy("doc_id").agg(F.max(F.contains(F.lower("text"), F.lit(find.lower()))).alias("loose"))
-    some = F.array_compact(F.array(*fixed, F.when(F.col("loose"), F.lit("Text found with case-insensitive search. Check capitalization"))))
-    general = F.array(F.lit("Check for typos in the search text"), F.lit("Try searching for a shorter or more unique phrase"), F.lit("Verify the text exists in the document"))
+    some = F.array_compact(F.array(*fixed, F.when(F.col("loose"), F.lit("it is there in other capitals"))))
+    general = F.array(F.lit("look for spelling mistakes"), F.lit("search for a shorter stretch"), F.lit("the document may not have it"))
     return whole.select("doc_id", F.when(F.size(some) > 0, some).otherwise(general).alias("suggestions"))
 
 

@@ -41,3 +41,8 @@ def only_tracked(old: DataFrame, new: DataFrame, author: str) -> DataFrame:
     lines = back.groupBy("doc_id", "p_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_idx", piece.alias("t")))), lambda x: x["t"]), "").alias("b"))
     both = old.select("doc_id", "p_idx", F.col("text").alias("a")).join(lines, ["doc_id", "p_idx"], "full")
     return both.groupBy("doc_id").agg(F.bool_and(F.coalesce("a", F.lit("")) == F.coalesce("b", F.lit(""))).alias("same"))
+
+
+def unpreserved(texts: DataFrame) -> DataFrame:
+    """Texts (doc_id, text, preserved) with white space at an edge that nothing keeps."""
+    return texts.where("not preserved and text rlike '^\\\\s|\\\\s$'")

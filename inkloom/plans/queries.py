@@ -17,7 +17,7 @@ from inkloom.functions import text as T
 from inkloom.operators import changes as C
 from inkloom.operators import diff, edits, entity_edits, export, links, search, structure
 from inkloom.sources import docx
-from inkloom.sources.tables import chat_comments, event_changes, page_blocks, page_links, paragraphs, read
+from inkloom.sources.tables import chat_comments, event_changes, page_headings, page_links, paragraphs, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -153,26 +153,26 @@ def normalize_special(spark, d):
     return read(spark, d, "part").select("p_partkey", T.normalize_special(F.concat("p_name", F.lit(" "), odd, "p_brand")).alias("text"))
 
 
-@query("""SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '[“”]') THEN 'Text contains curly double quotes' END, CASE WHEN regexp_matches(text, '[‘’]') THEN 'Text contains curly apostrophes' END,
-  CASE WHEN contains(text, chr(160)) THEN 'Text contains non-breaking spaces (\\u00a0)' END, CASE WHEN contains(text, chr(8203)) THEN 'Text contains zero-width spaces (\\u200b)' END,
-  CASE WHEN contains(text, chr(9)) THEN 'Text contains tab characters' END, CASE WHEN contains(text, chr(10)) OR contains(text, chr(13)) THEN 'Text contains line breaks' END], lambda x: x IS NOT NULL) AS issues FROM documents""")
+@query("""SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '[“”]') THEN 'has typographic double quotes' END, CASE WHEN regexp_matches(text, '[‘’]') THEN 'has typographic single quotes' END,
+  CASE WHEN contains(text, chr(160)) THEN 'has a space that keeps words together' END, CASE WHEN contains(text, chr(8203)) THEN 'has an invisible space' END,
+  CASE WHEN contains(text, chr(9)) THEN 'has a tab' END, CASE WHEN contains(text, chr(10)) OR contains(text, chr(13)) THEN 'spans several lines' END], lambda x: x IS NOT NULL) AS issues FROM documents""")
 def suggest_issues(spark, d):
     return read(spark, d, "documents").select("doc_id", T.common_issues(F.col("text")).alias("issues"))
 
 
 @query(f"""WITH {P}, l AS (SELECT doc_id, max(contains(lower(text), 'worthless  ')) AS loose FROM p GROUP BY doc_id)
-SELECT doc_id, CASE WHEN loose THEN ['Search text contains double spaces; try single ones', 'Search text has leading/trailing whitespace. Try: "Worthless"', 'Text found with case-insensitive search. Check capitalization']
-  ELSE ['Search text contains double spaces; try single ones', 'Search text has leading/trailing whitespace. Try: "Worthless"'] END AS suggestions FROM l""")
+SELECT doc_id, CASE WHEN loose THEN ['it has spaces in a row: one may be enough', 'white space at its ends: search for <Worthless>', 'it is there in other capitals']
+  ELSE ['it has spaces in a row: one may be enough', 'white space at its ends: search for <Worthless>'] END AS suggestions FROM l""")
 def suggestions(spark, d):
     return search.suggestions(_p(spark, d), "Worthless  ")
 
 
-@query(f"""WITH {P}, e AS (SELECT d.doc_id, b.item_id AS seq, substr(b.text, 1, 12) AS find FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40),
+@query(f"""WITH {P}, e AS (SELECT d.doc_id, b.item_id AS seq, b.text AS find FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40),
 h AS (SELECT e.doc_id, e.seq, sum((length(p.text) - length(replace(p.text, e.find, ''))) // length(e.find)) AS n FROM e JOIN p ON e.doc_id = p.doc_id AND contains(p.text, e.find) GROUP BY ALL)
 SELECT e.doc_id, e.seq, CAST(coalesce(n, 0) AS BIGINT) AS n, CASE WHEN coalesce(n, 0) > 0 THEN 'ok' ELSE 'failed' END AS status FROM e LEFT JOIN h ON e.doc_id = h.doc_id AND e.seq = h.seq""")
 def batch_dry_run(spark, d):
     docs, bench = read(spark, d, "documents"), read(spark, d, "benchmark")
-    todo = docs.join(bench.select(F.col("item_id").alias("seq"), F.substring("text", 1, 12).alias("find")), F.col("doc_id") % 40 == F.col("seq") % 40).select("doc_id", "seq", "find")
+    todo = docs.join(bench.select(F.col("item_id").alias("seq"), F.col("text").alias("find")), F.col("doc_id") % 40 == F.col("seq") % 40).select("doc_id", "seq", "find")
     return search.dry_run(_p(spark, d), todo)
 
 
@@ -375,7 +375,9 @@ def edit_groups(spark, d):
     return C.groups(_changes(spark, d).withColumn("group_name", F.concat(F.lit("round "), F.col("change_id") % 3)))
 
 
-@query()
+@query(f"""WITH {EV}, c AS (SELECT doc_id, change_id, {SHORT} AS kind, '{{"change_id":' || change_id || ',"type":"' || {SHORT} || '","author":"' || author || '","date":"' || strftime(date, '%Y-%m-%dT%H:%M:%S') || '","text":"' || text || '"}}' AS one FROM ch)
+SELECT doc_id, '{{"title":"Change report","total_changes":' || count(*) || ',"summary":{{"insert":' || count(*) FILTER (kind = 'insert') || ',"delete":' || count(*) FILTER (kind = 'delete') || ',"move_from":' || count(*) FILTER (kind = 'move_from') || ',"move_to":' || count(*) FILTER (kind = 'move_to')
+  || ',"format":' || count(*) FILTER (kind = 'format') || '}},"changes":[' || string_agg(one, ',' ORDER BY change_id) || ']}}' AS report FROM c GROUP BY doc_id""")
 def changes_report_json(spark, d):
     return C.report_json(_changes(spark, d))
 
@@ -408,15 +410,19 @@ def comments_by_author(spark, d):
 
 
 def _notes(spark, d):
-    return read(spark, d, "supplier").select((F.col("s_suppkey") % 5).alias("doc_id"), F.lit("footnote").alias("note_kind"), F.col("s_suppkey").cast("string").alias("note_id"), F.when(F.col("s_acctbal") < 0, "separator").alias("w_type"), F.col("s_name").alias("text"))
+    """Suppliers are notes that lines refer to, nations are notes that nothing refers to."""
+    row = lambda df, key, kind, text: df.select((F.col(key) % 5).cast("long").alias("doc_id"), F.lit("footnote").alias("note_kind"), kind.alias("note_id"), F.when(F.col("bad"), "separator").alias("w_type"), F.col(text).alias("text"))
+    some = row(read(spark, d, "supplier").withColumn("bad", F.col("s_acctbal") < 0), "s_suppkey", F.col("s_suppkey").cast("string"), "s_name")
+    return some.unionByName(row(read(spark, d, "nation").withColumn("bad", F.lit(False)), "n_nationkey", (F.col("n_nationkey") + 1000000).cast("string"), "n_name"))
 
 
 def _note_refs(spark, d):
-    return read(spark, d, "lineitem").where("l_quantity > 49 and l_suppkey % 3 > 0").select((F.col("l_suppkey") % 5).alias("doc_id"), F.lit("footnote").alias("note_kind"), F.col("l_suppkey").cast("string").alias("note_id"), F.col("l_orderkey").cast("int").alias("p_idx"))
+    return read(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("doc_id"), F.lit("footnote").alias("note_kind"), F.col("l_suppkey").cast("string").alias("note_id"), F.col("l_orderkey").cast("int").alias("p_idx"))
 
 
-_NOTES = """notes AS (SELECT s_suppkey % 5 AS doc_id, 'footnote' AS note_kind, CAST(s_suppkey AS VARCHAR) AS note_id, CASE WHEN s_acctbal < 0 THEN 'separator' END AS w_type, s_name AS text FROM supplier),
-refs AS (SELECT l_suppkey % 5 AS doc_id, 'footnote' AS note_kind, CAST(l_suppkey AS VARCHAR) AS note_id, CAST(l_orderkey AS INTEGER) AS p_idx FROM lineitem WHERE l_quantity > 49 AND l_suppkey % 3 > 0)"""
+_NOTES = """notes AS (SELECT s_suppkey % 5 AS doc_id, 'footnote' AS note_kind, CAST(s_suppkey AS VARCHAR) AS note_id, CASE WHEN s_acctbal < 0 THEN 'separator' END AS w_type, s_name AS text FROM supplier
+  UNION ALL SELECT CAST(n_nationkey % 5 AS BIGINT), 'footnote', CAST(n_nationkey + 1000000 AS VARCHAR), NULL, n_name FROM nation),
+refs AS (SELECT l_suppkey % 5 AS doc_id, 'footnote' AS note_kind, CAST(l_suppkey AS VARCHAR) AS note_id, CAST(l_orderkey AS INTEGER) AS p_idx FROM lineitem)"""
 
 
 @query(f"WITH {_NOTES} SELECT * FROM notes n WHERE w_type IS NULL AND NOT EXISTS (SELECT 1 FROM refs r WHERE r.doc_id = n.doc_id AND r.note_id = n.note_id)")
@@ -448,29 +454,40 @@ def page_link_rows(spark, d):
 def _link_tables(spark, d):
     found = page_links(read(spark, d, "pages")).select("doc_id", "link_idx", F.expr("substring(target, 2)").alias("anchor"), F.when(F.col("link_idx") % 4 == 0, F.concat(F.lit("r"), F.length("target"))).alias("rel_id"))
     rels = read(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.explode(F.expr("sequence(3, 5)")).alias("k")).select("doc_id", F.concat(F.lit("r"), "k").alias("rel_id"), F.concat(F.lit("http://example.org/"), "k").alias("target"))
-    marks = page_blocks(read(spark, d, "pages")).select("doc_id", F.explode(F.split("text", " ")).alias("name")).where("name <> ''").distinct()
+    bare = F.regexp_replace("html", "<[^>]*>", " ")
+    marks = read(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.explode(F.split(bare, "[ \\n]+")).alias("name")).where("name <> ''").distinct()
     return found, rels, marks
 
 
-@query()
+_PAGE_LINKS = f"""{_LINKS}, k AS (SELECT doc_id, link_idx, substr(target, 2) AS anchor, CASE WHEN link_idx % 4 = 0 THEN 'r' || length(target) END AS rel_id FROM l),
+rels AS (SELECT page_id AS doc_id, 'r' || unnest([3, 4, 5]) AS rel_id, 'http://example.org/' || unnest([3, 4, 5]) AS target FROM pages),
+marks AS (SELECT DISTINCT doc_id, name FROM (SELECT page_id AS doc_id, unnest(string_split_regex(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\n]+')) AS name FROM pages) WHERE name <> '')"""
+
+
+@query(f"""WITH {_PAGE_LINKS} SELECT k.doc_id, k.link_idx, k.anchor, k.rel_id, r.target, CASE WHEN r.target IS NOT NULL THEN 'external' WHEN m.name IS NOT NULL THEN 'internal' ELSE 'broken' END AS status
+FROM k LEFT JOIN rels r ON r.doc_id = k.doc_id AND r.rel_id = k.rel_id LEFT JOIN marks m ON m.doc_id = k.doc_id AND m.name = k.anchor""")
 def links_resolved(spark, d):
     return links.resolved_links(*_link_tables(spark, d))
 
 
-@query()
+@query(f"""WITH {_PAGE_LINKS}, b AS (SELECT k.doc_id, count(*) AS n FROM k LEFT JOIN marks m ON m.doc_id = k.doc_id AND m.name = k.anchor WHERE m.name IS NULL GROUP BY ALL),
+o AS (SELECT m.doc_id, count(*) AS n FROM marks m WHERE NOT starts_with(m.name, '_') AND NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = m.doc_id AND k.anchor = m.name) GROUP BY ALL)
+SELECT d.doc_id, CAST(coalesce(b.n, 0) AS BIGINT) AS broken_links, CAST(coalesce(b.n, 0) AS BIGINT) AS broken_xrefs, CAST(coalesce(o.n, 0) AS BIGINT) AS orphan_bookmarks, b.n IS NULL AS is_valid
+FROM (SELECT doc_id FROM k UNION SELECT doc_id FROM marks) d LEFT JOIN b USING (doc_id) LEFT JOIN o USING (doc_id)""")
 def references_validated(spark, d):
     found, _, marks = _link_tables(spark, d)
     xrefs = found.select("doc_id", F.col("anchor").alias("target"))
     return links.validated(found, xrefs, marks)
 
 
-@query("""SELECT page_id AS doc_id, lower(regexp_extract(html, '<h1>([^<]*)', 1)) AS heading, CAST(len(regexp_extract_all(html, '<a href')) AS INTEGER) AS n_links FROM pages""")
+@query("""SELECT page_id AS doc_id, CAST(unnest(range(0, len(t))) AS INTEGER) AS h_idx, CAST(unnest(t) AS INTEGER) AS level, trim(regexp_replace(unnest(x), '<[^>]*>', '', 'g'), ' ') AS heading FROM (
+  SELECT page_id, regexp_extract_all(html, '(?is)<h([1-6])\\b[^>]*>(.*?)</h[1-6]>', 1) AS t, regexp_extract_all(html, '(?is)<h([1-6])\\b[^>]*>(.*?)</h[1-6]>', 2) AS x FROM pages)""")
 def page_outline(spark, d):
-    return read(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lower(F.regexp_extract("html", "<h1>([^<]*)", 1)).alias("heading"), F.size(F.regexp_extract_all("html", F.lit("<a href"), F.lit(0))).alias("n_links"))
+    return page_headings(read(spark, d, "pages"))
 
 
 @query(f"""WITH {P} SELECT 'heading' AS kind, doc_id, CAST(p_idx AS VARCHAR) AS target, text FROM p WHERE {HEADING} AND trim(text, ' ') <> ''
-UNION ALL SELECT 'bookmark', p_partkey, p_brand, p_name FROM part UNION ALL SELECT 'footnote', s_suppkey % 5, CAST(s_suppkey AS VARCHAR), s_name FROM supplier WHERE s_acctbal >= 0""")
+UNION ALL SELECT 'bookmark', p_partkey, p_brand, p_name FROM part UNION ALL SELECT 'footnote', s_suppkey % 5, CAST(s_suppkey AS VARCHAR), s_name FROM supplier WHERE s_acctbal >= 0 UNION ALL SELECT 'footnote', n_nationkey % 5, CAST(n_nationkey + 1000000 AS VARCHAR), n_name FROM nation""")
 def xref_targets(spark, d):
     marks = read(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("name"), F.col("p_name").alias("preview"))
     styled = _p(spark, d).withColumn("style", F.when(_heading(), "Heading1").otherwise("Normal"))
@@ -480,6 +497,7 @@ def xref_targets(spark, d):
 
 # Exports and contents
 
+_YAML = "replace(replace(replace(replace({c}, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(9), '\\t')"
 
 def _styled(spark, d):
     return _p(spark, d).withColumn("style", F.when(_heading(), "Heading2").otherwise("Normal")).withColumn("tbl_idx", F.lit(None).cast("int")).withColumn("row_idx", F.lit(None).cast("int")).withColumn("cell_idx", F.lit(None).cast("int"))
@@ -507,7 +525,10 @@ def table_from_rows(spark, d):
     return export.table_from(read(spark, d, "orders"), ["o_orderkey", "o_orderstatus"], "o_custkey", ["o_orderkey"])
 
 
-@query()
+@query(f"""WITH {P}, s AS (SELECT *, {HEADING} AS h, sum(CAST({HEADING} AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p_idx ROWS UNBOUNDED PRECEDING) AS section_id FROM p),
+g AS (SELECT doc_id, CAST(section_id AS BIGINT) AS section_id, coalesce(arg_min(text, p_idx) FILTER (h), '') AS heading, min(p_idx) AS a, count(*) AS n, coalesce(arg_min(substr(text, 1, 100), p_idx) FILTER (NOT h AND trim(text, ' ') <> ''), '') AS preview FROM s GROUP BY doc_id, section_id),
+q AS (SELECT *, {_YAML.format(c='heading')} AS qh, {_YAML.format(c='preview')} AS qp FROM g)
+SELECT doc_id, 'sections:' || chr(10) || string_agg('  - heading: "' || qh || '"' || chr(10) || '    paragraphs: ' || n || chr(10) || '    start: p:' || a || chr(10) || '    preview: "' || qp || '"', chr(10) ORDER BY section_id) || chr(10) AS text FROM q GROUP BY doc_id""")
 def outline_yaml(spark, d):
     return export.outline_yaml(structure.sections(_p(spark, d), _heading()))
 
@@ -602,7 +623,9 @@ def batch_edits(spark, d):
     return edits.apply_batch(_p(spark, d), _batch(spark, d))[0]
 
 
-@query()
+@query(f"""WITH {P}, k AS (SELECT doc_id, max(contains(text, 'the')) AS a, max(contains(text, 'THE')) AS b, max(contains(text, 'and')) AS c FROM p GROUP BY doc_id),
+s AS (SELECT doc_id, CAST(a AS INTEGER) + CAST(a OR b AS INTEGER) + CAST(c AS INTEGER) AS n FROM k)
+SELECT doc_id, CAST(n AS BIGINT) AS succeeded, CAST(3 - n AS BIGINT) AS failed, n * 100.0 / 3 AS success_rate, n = 3 AS all_succeeded FROM s""")
 def batch_results(spark, d):
     return edits.batch_summary(edits.apply_batch(_p(spark, d), _batch(spark, d))[1])
 

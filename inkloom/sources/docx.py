@@ -7,6 +7,7 @@ unzipped once; `entity()` projects one kind.
 
 from __future__ import annotations
 
+import copy
 import io
 import zipfile
 from collections.abc import Iterator
@@ -25,25 +26,30 @@ CHANGES = {"ins": "insertion", "del": "deletion", "moveFrom": "move_from", "move
 
 FIELDS = {
     "parts": "part string, size long",
-    "paragraphs": "part string, p_idx int, body_p_idx int, style string, outline_lvl int, location string, tbl_idx int, row_idx int, cell_idx int, text string, text_model string, text_search string, mark_deleted boolean, n_runs int, all_bold boolean",
-    "runs": "part string, p_idx int, r_idx int, text string, del_text string, in_ins boolean, in_del boolean, change_id string, bold boolean, italic boolean, color string, old_bold boolean, old_italic boolean, old_color string",
+    "paragraphs": "part string, p_idx int, body_p_idx int, style string, outline_lvl int, location string, tbl_idx int, row_idx int, cell_idx int, text string, text_model string, text_search string, mark_deleted boolean, n_runs int, n_child_runs int, all_bold boolean, note_id string, has_revisions boolean, has_unsupported boolean",
+    "runs": "part string, p_idx int, r_idx int, text string, del_text string, in_ins boolean, in_del boolean, change_id string, author string, date string, note_id string, bold boolean, italic boolean, color string, old_bold boolean, old_italic boolean, old_color string",
     "changes": "part string, elem_idx int, change_id string, change_type string, author string, date string, text string, p_idx int",
     "comments": "comment_id string, author string, initials string, date string, text string, para_id string",
-    "comment_ranges": "comment_id string, start_p_idx int, end_p_idx int, marked_text string",
+    "comment_ranges": "part string, comment_id string, start_p_idx int, end_p_idx int, marked_text string",
     "comment_ex": "para_id string, parent_para_id string, done boolean",
     "notes": "note_kind string, note_id string, w_type string, text string",
-    "note_refs": "note_kind string, note_id string, p_idx int",
-    "bookmarks": "name string, bookmark_id string, p_idx int, preview string",
-    "hyperlinks": "link_idx int, p_idx int, text string, anchor string, rel_id string",
-    "fields": "field_idx int, p_idx int, code string, display string",
+    "note_refs": "part string, note_kind string, note_id string, p_idx int",
+    "bookmarks": "part string, name string, bookmark_id string, p_idx int, preview string",
+    "hyperlinks": "part string, link_idx int, p_idx int, text string, anchor string, rel_id string",
+    "fields": "part string, field_idx int, p_idx int, code string, display string, dirty boolean",
     "relationships": "source_part string, rel_id string, rel_type string, target string, mode string",
     "content_types": "part string, extension string, content_type string",
     "styles": "style_id string, style_type string, name string, based_on string, hidden boolean",
     "headers_footers": "part string, role string, text string",
-    "images": "p_idx int, rel_id string, width long, height long, name string",
+    "images": "part string, p_idx int, rel_id string, width long, height long, name string",
     "errors": "part string, error string",
 }
 ROWS = "doc_id string, kind string, row string"
+# Elements that hold paragraphs, elements within a paragraph that hold runs, and those that hunks can't be applied through.
+NESTING = {W + t for t in ("sdt", "sdtContent", "ins", "customXml", "footnote", "endnote")}
+WRAPPING = ("sdt", "sdtContent", "smartTag", "customXml")
+MARKS = {W + t for t in ("ins", "del", "moveFrom", "moveTo")}
+UNSUPPORTED = {W + t for t in ("hyperlink", "fldSimple", "fldChar", "sdt", "smartTag")}
 
 
 def packages(spark: SparkSession, path: str) -> DataFrame:
@@ -55,6 +61,10 @@ def _on(e: ET.Element | None) -> bool | None:
     return None if e is None else e.get(W + "val") not in ("0", "false", "none")
 
 
+def _flag(value: str | None) -> bool:
+    return value in ("1", "true", "on")
+
+
 def _texts(e: ET.Element, *tags: str) -> str:
     names = {W + t for t in tags}
     return "".join(x.text or "" for x in e.iter() if x.tag in names)
@@ -77,10 +87,11 @@ class _Part:
         self.open_comments: dict[str, list] = {}
         self.field: list | None = None
         self.tables = -1
+        self.note_id: str | None = None
         body = root.find(W + "body")
         self.block(body if body is not None else root, ())
         for cid, (start, texts) in self.open_comments.items():
-            emit("comment_ranges", {"comment_id": cid, "start_p_idx": start, "end_p_idx": None, "marked_text": "".join(texts)})
+            emit("comment_ranges", {"part": name, "comment_id": cid, "start_p_idx": start, "end_p_idx": None, "marked_text": "".join(texts)})
 
     def block(self, parent: ET.Element, cell: tuple) -> None:
         for e in parent:
@@ -95,7 +106,9 @@ class _Part:
                         self.change(mark, "", None)
                     for c, td in enumerate(row.findall(W + "tc")):
                         self.block(td, (table, r, c))
-            elif e.tag in (W + "sdt", W + "sdtContent", W + "ins", W + "customXml", W + "footnote", W + "endnote"):
+            elif e.tag in NESTING:
+                if e.tag in (W + "footnote", W + "endnote"):
+                    self.note_id = e.get(W + "id")
                 self.block(e, cell)
 
     def change(self, e: ET.Element, text: str, p_idx: int | None) -> None:
@@ -118,9 +131,10 @@ class _Part:
         kind = self.name.rpartition("/")[2].rstrip("0123456789.xml")
         self.emit("paragraphs", {
             "part": self.name, "p_idx": self.p_idx, "body_p_idx": body_idx, "style": None if style is None else style.get(W + "val"),
-            "outline_lvl": None if level is None else int(level.get(W + "val", "0")), "location": place if kind == "document" else kind,
+            "outline_lvl": None if level is None else int(level.get(W + "val", "0")), "location": place if kind == "document" else kind if self.note_id is None else f"{kind.removesuffix('s')}:{self.note_id}",
             **dict(zip(("tbl_idx", "row_idx", "cell_idx"), cell or (None,) * 3, strict=True)), "text": _texts(p, "t"), "text_model": _texts(p, "t") + _texts(p, "delText"),
-            "text_search": "".join(self.searched), "mark_deleted": mark, "n_runs": self.r_idx, "all_bold": bool(self.bold) and all(self.bold),
+            "text_search": "".join(self.searched), "mark_deleted": mark, "n_runs": self.r_idx, "n_child_runs": len(p.findall(W + "r")), "note_id": self.note_id,
+            "has_revisions": any(x.tag.removeprefix(W) in CHANGES for x in p.iter()), "has_unsupported": any(x.tag in UNSUPPORTED for x in p.iter()), "all_bold": bool(self.bold) and all(self.bold),
         })
         self.p_idx += 1
 
@@ -131,26 +145,26 @@ class _Part:
                 self.run(e, state)
             elif tag in ("ins", "del", "moveFrom", "moveTo"):
                 self.change(e, _texts(e, "t", "delText"), self.p_idx)
-                self.inline(e, state | {"in_del" if tag in ("del", "moveFrom") else "in_ins": True, "change_id": e.get(W + "id")})
+                self.inline(e, state | {"in_del" if tag in ("del", "moveFrom") else "in_ins": True, "change_id": e.get(W + "id"), "author": e.get(W + "author"), "date": e.get(W + "date")})
             elif tag == "hyperlink":
-                self.emit("hyperlinks", {"link_idx": self.link_idx, "p_idx": self.p_idx, "text": _texts(e, "t"), "anchor": e.get(W + "anchor"), "rel_id": e.get(R + "id")})
+                self.emit("hyperlinks", {"part": self.name, "link_idx": self.link_idx, "p_idx": self.p_idx, "text": _texts(e, "t"), "anchor": e.get(W + "anchor"), "rel_id": e.get(R + "id")})
                 self.link_idx += 1
                 self.inline(e, state)
             elif tag == "fldSimple":
-                self.put_field(e.get(W + "instr") or "", _texts(e, "t"))
+                self.put_field(e.get(W + "instr") or "", _texts(e, "t"), _flag(e.get(W + "dirty")))
                 self.inline(e, state)
             elif tag == "bookmarkStart":
-                self.emit("bookmarks", {"name": e.get(W + "name"), "bookmark_id": e.get(W + "id"), "p_idx": self.p_idx, "preview": _texts(parent, "t")[:100]})
+                self.emit("bookmarks", {"part": self.name, "name": e.get(W + "name"), "bookmark_id": e.get(W + "id"), "p_idx": self.p_idx, "preview": _texts(parent, "t")[:100]})
             elif tag == "commentRangeStart":
                 self.open_comments[e.get(W + "id")] = [self.p_idx, []]
             elif tag == "commentRangeEnd":
                 start, texts = self.open_comments.pop(e.get(W + "id"), [None, []])
-                self.emit("comment_ranges", {"comment_id": e.get(W + "id"), "start_p_idx": start, "end_p_idx": self.p_idx, "marked_text": "".join(texts)})
-            elif tag in ("sdt", "sdtContent", "smartTag", "customXml"):
+                self.emit("comment_ranges", {"part": self.name, "comment_id": e.get(W + "id"), "start_p_idx": start, "end_p_idx": self.p_idx, "marked_text": "".join(texts)})
+            elif tag in WRAPPING:
                 self.inline(e, state)
 
-    def put_field(self, code: str, display: str) -> None:
-        self.emit("fields", {"field_idx": self.field_idx, "p_idx": self.p_idx, "code": code.strip(), "display": display})
+    def put_field(self, code: str, display: str, dirty: bool = False) -> None:
+        self.emit("fields", {"part": self.name, "dirty": dirty, "field_idx": self.field_idx, "p_idx": self.p_idx, "code": code.strip(), "display": display})
         self.field_idx += 1
 
     def run(self, r: ET.Element, state: dict) -> None:
@@ -166,24 +180,24 @@ class _Part:
             if tag == "fldChar":
                 what = e.get(W + "fldCharType")
                 if what == "begin":
-                    self.field = ["", "", False]
+                    self.field = ["", "", False, _flag(e.get(W + "dirty"))]
                 elif self.field and what == "separate":
                     self.field[2] = True
                 elif self.field and what == "end":
-                    self.put_field(self.field[0], self.field[1])
+                    self.put_field(self.field[0], self.field[1], self.field[3])
                     self.field = None
             elif tag == "instrText" and self.field:
                 self.field[0] += e.text or ""
             elif tag == "t" and self.field and self.field[2]:
                 self.field[1] += e.text or ""
             elif tag in ("footnoteReference", "endnoteReference"):
-                self.emit("note_refs", {"note_kind": tag.removesuffix("Reference"), "note_id": e.get(W + "id"), "p_idx": self.p_idx})
+                self.emit("note_refs", {"part": self.name, "note_kind": tag.removesuffix("Reference"), "note_id": e.get(W + "id"), "p_idx": self.p_idx})
             elif tag == "drawing":
                 extent = next((x for x in e.iter() if x.tag.endswith("}extent")), None)
                 blip = next((x for x in e.iter() if x.tag.endswith("}blip")), None)
                 named = next((x for x in e.iter() if x.tag.endswith("}docPr")), None)
-                self.emit("images", {"p_idx": self.p_idx, "rel_id": None if blip is None else blip.get(R + "embed"), "width": None if extent is None else int(extent.get("cx")), "height": None if extent is None else int(extent.get("cy")), "name": None if named is None else named.get("name")})
-        self.emit("runs", {"part": self.name, "p_idx": self.p_idx, "r_idx": self.r_idx, "text": text, "del_text": gone, "in_ins": False, "in_del": False, **state, **props})
+                self.emit("images", {"part": self.name, "p_idx": self.p_idx, "rel_id": None if blip is None else blip.get(R + "embed"), "width": None if extent is None else int(extent.get("cx")), "height": None if extent is None else int(extent.get("cy")), "name": None if named is None else named.get("name")})
+        self.emit("runs", {"part": self.name, "note_id": self.note_id, "p_idx": self.p_idx, "r_idx": self.r_idx, "text": text, "del_text": gone, "in_ins": False, "in_del": False, **state, **props})
         self.r_idx += 1
         self.searched.append(text + gone)
         if text:
@@ -221,6 +235,7 @@ def parse(content: bytes, emit) -> None:
             _Part(name, root, emit)
             emit("headers_footers", {"part": name, "role": stem, "text": _texts(root, "t")})
         elif name in ("word/footnotes.xml", "word/endnotes.xml"):
+            _Part(name, root, emit)
             for e in root:
                 text = "\n".join(_texts(p, "t") for p in e.findall(W + "p")).lstrip(" ")
                 emit("notes", {"note_kind": stem[:-1] if stem.endswith("s") else stem, "note_id": e.get(W + "id"), "w_type": e.get(W + "type"), "text": text})
@@ -268,11 +283,15 @@ def escaped(text):
 
 
 def document_xml(runs: DataFrame, paragraphs: DataFrame, author: str = "Inkloom", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """(doc_id, xml): the main part, built from runs and paragraph styles by string expressions."""
+    """(doc_id, xml): a new main part, built from the runs and paragraph styles of one part by string expressions.
+
+    Changes keep their author, date and id where runs have them. To save an edited package use `saved`, which keeps all else.
+    """
     props = F.concat(F.when(F.col("bold"), F.lit("<w:b/>")).otherwise(""), F.when(F.col("italic"), F.lit("<w:i/>")).otherwise(""), F.when(F.col("color").isNotNull(), F.concat(F.lit('<w:color w:val="'), F.col("color"), F.lit('"/>'))).otherwise(""))
     rpr = F.when(props != "", F.concat(F.lit("<w:rPr>"), props, F.lit("</w:rPr>"))).otherwise("")
     body = lambda tag, c: F.concat(F.lit("<w:r>"), rpr, F.lit(f'<w:{tag} xml:space="preserve">'), escaped(F.col(c)), F.lit(f"</w:{tag}></w:r>"))
-    mark = F.concat(F.lit(' w:id="'), F.coalesce("change_id", F.lit("0")), F.lit(f'" w:author="{author}" w:date="{date}">'))
+    own = lambda c, usual: F.coalesce(F.replace(escaped(F.col(c)), F.lit('"'), F.lit("&quot;")), F.lit(usual)) if c in runs.columns else F.lit(usual)
+    mark = F.concat(F.lit(' w:id="'), F.coalesce("change_id", F.lit("0")), F.lit('" w:author="'), own("author", author), F.lit('" w:date="'), own("date", date), F.lit('">'))
     xml = (
         F.when(F.col("in_del"), F.concat(F.lit("<w:del"), mark, body("delText", "del_text"), F.lit("</w:del>")))
         .when(F.col("in_ins"), F.concat(F.lit("<w:ins"), mark, body("t", "text"), F.lit("</w:ins>")))
@@ -301,3 +320,158 @@ def zipped(parts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "content"])
 
     return parts.select(F.col("doc_id").cast("string").alias("doc_id"), "xml").mapInArrow(run, "doc_id string, content binary")
+
+
+def _walk_paragraphs(root: ET.Element):
+    """Paragraphs of a part in the order of p_idx."""
+    body = root.find(W + "body")
+    todo = [iter(body if body is not None else root)]
+    while todo:
+        e = next(todo[-1], None)
+        if e is None:
+            todo.pop()
+        elif e.tag == W + "p":
+            yield e
+        elif e.tag == W + "tbl":
+            todo.append(iter([td for row in e.findall(W + "tr") for td in row.findall(W + "tc")]))
+        elif e.tag in NESTING or e.tag == W + "tc":
+            todo.append(iter(e))
+
+
+def _walk_runs(parent: ET.Element):
+    """(run, its parent) of a paragraph in the order of r_idx."""
+    for e in list(parent):
+        tag = e.tag.removeprefix(W)
+        if tag == "r":
+            yield e, parent
+        elif tag in ("ins", "del", "moveFrom", "moveTo", "hyperlink", "fldSimple", *WRAPPING):
+            yield from _walk_runs(e)
+
+
+def _piece(run: ET.Element, row: dict) -> ET.Element:
+    """A copy of a run with the text and properties of an edited one; of an inserted run only the look is copied."""
+    out = copy.deepcopy(run)
+    for e in list(out):
+        if e.tag != W + "rPr" and (row["copied"] or e.tag in (W + "t", W + "delText")):
+            out.remove(e)
+    text = row["del_text"] or row["text"]
+    if text:
+        e = ET.SubElement(out, W + ("delText" if row["in_del"] else "t"))
+        e.text = text
+        e.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+    if row["formatted"]:
+        props = out.find(W + "rPr")
+        if props is None:
+            props = ET.Element(W + "rPr")
+            out.insert(0, props)
+        before = [copy.deepcopy(x) for x in props if x.tag != W + "rPrChange"]
+        for name, tag in (("bold", "b"), ("italic", "i")):
+            for x in props.findall(W + tag):
+                props.remove(x)
+            if row[name] is not None:
+                props.insert(0, ET.Element(W + tag, {} if row[name] else {W + "val": "0"}))
+        if row["change_id"]:
+            for x in props.findall(W + "rPrChange"):
+                props.remove(x)
+            ET.SubElement(ET.SubElement(props, W + "rPrChange", _marked(row)), W + "rPr").extend(before)
+    return out
+
+
+def _marked(row: dict) -> dict:
+    return {W + "id": row["change_id"] or "0", W + "author": row["author"] or "", W + "date": row["date"] or ""}
+
+
+def _put_runs(p: ET.Element, rows: list[dict]) -> None:
+    """Puts a paragraph's edited runs, in order, where the runs that they come from stand."""
+    runs = [r for r, _ in _walk_runs(p)] or [ET.SubElement(p, W + "r")]
+    up = {child: parent for parent in p.iter() for child in parent}
+    at: dict[int, list[dict]] = {}
+    for row in rows:
+        at.setdefault(row["src"], []).append(row)
+    for i, run in enumerate(runs):
+        mine = at.get(i, [])
+        if len(mine) == 1 and mine[0]["same"]:
+            continue
+        outer = up[run]
+        place = list(outer).index(run)
+        behind = list(outer)[place + 1 :]
+        outer.remove(run)
+        new = [(row["fresh"] and row["copied"] and outer.tag in MARKS, _marked_piece(run, row)) for row in mine]
+        if not any(own for own, _ in new):
+            for _, e in reversed(new):
+                outer.insert(place, e)
+            continue
+        # A new mark can't stand in another's: the old one is closed before it and goes on after it.
+        for e in behind:
+            outer.remove(e)
+        above, inner = up[outer], outer
+        spot = list(above).index(outer)
+        for own, e in [*new, *((False, e) for e in behind)]:
+            if own:
+                spot += 1
+                above.insert(spot, e)
+                inner = None
+                continue
+            if inner is None:
+                inner = ET.Element(outer.tag, outer.attrib)
+                spot += 1
+                above.insert(spot, inner)
+                up[inner] = above
+            inner.append(e)
+            up[e] = inner
+        if not len(outer):
+            above.remove(outer)
+
+
+def _marked_piece(run: ET.Element, row: dict) -> ET.Element:
+    if row["same"]:
+        return run
+    piece = _piece(run, row)
+    if not row["fresh"]:
+        return piece
+    outer = ET.Element(W + row["mark"], _marked(row))
+    outer.append(piece)
+    return outer
+
+
+SAVED = "part, p_idx, r_idx, src, text, del_text, in_del, same, copied, fresh, mark, formatted, bold, italic, change_id, author, date"
+
+
+def saved(found: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc_id, content): packages with edited runs (operators.tracked) in place of the paragraphs' own.
+
+    Only parts with edited runs are written anew, with their namespaces; every other part keeps its bytes. runs: all runs of
+    each edited paragraph (tracked.changed_paragraphs); a package and its edited runs meet in one row.
+    """
+    edited = runs.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(*SAVED.split(", ")))).alias("runs"))
+    both = found.select(F.col("doc_id").cast("string").alias("doc_id"), "content").join(edited, "doc_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_saved(c, r) if c and r else c for c, r in zip(batch.column("content").to_pylist(), batch.column("runs").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "content"])
+
+    return both.mapInArrow(run, "doc_id string, content binary")
+
+
+def _saved(content: bytes, rows: list[dict]) -> bytes:
+    parts: dict[str, dict[int, list[dict]]] = {}
+    for row in rows:
+        parts.setdefault(row["part"], {}).setdefault(row["p_idx"], []).append(row)
+    data = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as new:
+        for info in old.infolist():
+            body = old.read(info.filename)
+            new.writestr(info, _part_with(body, parts[info.filename]) if info.filename in parts else body)
+    return data.getvalue()
+
+
+def _part_with(body: bytes, edited: dict[int, list[dict]]) -> bytes:
+    for _, (prefix, uri) in ET.iterparse(io.BytesIO(body), ["start-ns"]):
+        if not (prefix.startswith("ns") and prefix[2:].isdigit()):
+            ET.register_namespace(prefix, uri)
+    root = ET.fromstring(body)
+    for i, p in enumerate(_walk_paragraphs(root)):
+        if i in edited:
+            _put_runs(p, edited[i])
+    return ET.tostring(root, encoding="UTF-8", xml_declaration=True)

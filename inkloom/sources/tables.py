@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,21 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet to the folder that driver and executors share, and read it back: cuts the lineage, survives lost executors."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="inkloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def paragraphs(documents: DataFrame) -> DataFrame:
     """(doc_id, p_idx, text): the lines of each text in order. Null texts have none."""
     return documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p_idx", "text"))
@@ -26,6 +44,16 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     return rows.select("doc_id", "p_idx", style.alias("style"), text.alias("text"))
 
 
+HEADING = r"(?is)<h([1-6])\b[^>]*>(.*?)</h[1-6]>"
+
+
+def page_headings(pages: DataFrame) -> DataFrame:
+    """(doc_id, h_idx, level, heading): headings of web pages in order."""
+    found = F.arrays_zip(F.regexp_extract_all("html", F.lit(HEADING), F.lit(1)).alias("level"), F.regexp_extract_all("html", F.lit(HEADING), F.lit(2)).alias("text"))
+    rows = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(found).alias("h_idx", "x"))
+    return rows.select("doc_id", "h_idx", F.col("x.level").cast("int").alias("level"), F.trim(F.regexp_replace("x.text", r"<[^>]*>", "")).alias("heading"))
+
+
 LINK = r'(?is)<a\b[^>]*?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>'
 
 
