@@ -188,8 +188,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (text_key(F.col("text")) == F.col("_k")), "left_anti")
+    bad = contamination(docs, benchmark, window).where("contaminated").select("doc_id", "key").distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["doc_id"]) & (text_key(docs["text"]) == bad["key"]), "left_anti")
 
 
 def oracle_sql(window: int = WINDOW) -> str:

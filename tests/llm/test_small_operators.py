@@ -196,6 +196,20 @@ def test_secrets(spark):
     assert {r.doc_id: r.spans for r in out.collect()} == by_hand
 
 
+def test_many_secrets_in_one_text(spark):
+    """More matches than a block of running sums has, in a long text."""
+    rng = random.Random(3)
+    parts = ["".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([8, 24, 30]))) + rng.choice([" ", "é ", "\n", " token=abcdefgh "]) for _ in range(1500)]
+    text = "".join(parts) + "x" * 100_000
+    want = [(m.start(), k, f"{n}:{m.start()}:{m.end()}") for k, (n, p, g, least) in enumerate(secrets.RULES) for m in re.finditer(p, text, re.ASCII) if len(m[g]) >= least]
+    df = frame(spark, [(1, text, None, None, 1)])
+    assert secrets.secrets(df).collect()[0].spans == ",".join(x[2] for x in sorted(want))
+    out, at = "", 0
+    for a, e in sorted((int(x[2].split(":")[1]), int(x[2].split(":")[2])) for x in want):
+        out, at = out + text[at:a] + "[secret]", e
+    assert secrets.redacted(df).collect()[0].text == out + text[at:]
+
+
 def test_redaction_and_queries(spark):
     data = [(i, t, None, None, 1) for i, t in enumerate(TEXTS)]
     out = {r.doc_id: r.text for r in secrets.redacted(frame(spark, data)).collect()}
@@ -217,5 +231,8 @@ def test_clashing_columns(spark):
     ):
         assert sorted(map(repr, run(clash).collect())) == sorted(map(repr, run(df).collect()))
     out = secrets.redacted(clash)
+    helpers = clash.selectExpr("*", "1 as _d", "2 as _k", "3 as _gone", "4 as _found", "5 as merged", "6 as key")
+    for rows_ in (secrets.redacted(helpers), decontam.clean(helpers, bench), near_dedup.one_of_each(helpers), toxicity.accepted(helpers, labels)):
+        assert rows_.columns == helpers.columns and rows_.count() > 0
     assert out.columns == clash.columns and sorted(map(repr, out.select("found", "id").collect())) == sorted(map(repr, clash.select("found", "id").collect()))
     assert mixing.mix(clash.withColumn("source", F.lit("s")), keep=("size", "id")).count() == len(data)
