@@ -27,9 +27,9 @@ def table_shapes(spark, d):
     return lookups.table_shapes(_cells(spark, d))
 
 
-@query(f"WITH {_CELLS} SELECT doc_id, min(tbl_idx) AS tbl_idx FROM c WHERE contains(lower(text), 'an') GROUP BY doc_id")
+@query(f"WITH {_CELLS} SELECT doc_id, min(tbl_idx) AS tbl_idx FROM c WHERE contains(lower(text), 'on') GROUP BY doc_id")
 def first_table(spark, d):
-    return lookups.first_table(_cells(spark, d), "AN", case_sensitive=False)
+    return lookups.first_table(_cells(spark, d), "ON", case_sensitive=False)
 
 
 @query(f"WITH {_CELLS} SELECT doc_id, tbl_idx, row_idx, max(contains(text, 'A')) AS found FROM c GROUP BY ALL")
@@ -131,9 +131,9 @@ def _notes(spark, d):
     return read(spark, d, "supplier").select((F.col("s_suppkey") % 5).alias("doc_id"), F.lit("footnote").alias("note_kind"), F.col("s_suppkey").cast("string").alias("note_id"), F.col("s_suppkey").cast("int").alias("p_idx"), F.col("s_name").alias("text"))
 
 
-@query(f"WITH {_NOTES} SELECT doc_id, note_id, text FROM n WHERE contains(lower(text), 'er#00000001')")
+@query(f"WITH {_NOTES} SELECT doc_id, note_id, text FROM n WHERE contains(lower(text), 'er#00000000')")
 def notes_containing(spark, d):
-    return lookups.containing(_notes(spark, d), "ER#00000001", case_sensitive=False).select("doc_id", "note_id", "text")
+    return lookups.containing(_notes(spark, d), "ER#00000000", case_sensitive=False).select("doc_id", "note_id", "text")
 
 
 @query(f"WITH {_NOTES}, x AS (SELECT *, unnest(range(0, length(text))) AS pos FROM n) SELECT doc_id, note_id, CAST(row_number() OVER (PARTITION BY doc_id, note_id ORDER BY pos) - 1 AS INTEGER) AS index, 0 AS note_p_idx, CAST(pos AS INTEGER) AS pos FROM x WHERE substr(text, CAST(pos + 1 AS BIGINT), 1) = '0'")

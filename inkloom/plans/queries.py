@@ -454,14 +454,14 @@ def page_link_rows(spark, d):
 def _link_tables(spark, d):
     found = page_links(read(spark, d, "pages")).select("doc_id", "link_idx", F.expr("substring(target, 2)").alias("anchor"), F.when(F.col("link_idx") % 4 == 0, F.concat(F.lit("r"), F.length("target"))).alias("rel_id"))
     rels = read(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.explode(F.expr("sequence(3, 5)")).alias("k")).select("doc_id", F.concat(F.lit("r"), "k").alias("rel_id"), F.concat(F.lit("http://example.org/"), "k").alias("target"))
-    bare = F.regexp_replace("html", "<[^>]*>", " ")
+    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<a\b[^>]*>.*?</a>", " "), "<[^>]*>", " ")
     marks = read(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.explode(F.split(bare, "[ \\n]+")).alias("name")).where("name <> ''").distinct()
     return found, rels, marks
 
 
 _PAGE_LINKS = f"""{_LINKS}, k AS (SELECT doc_id, link_idx, substr(target, 2) AS anchor, CASE WHEN link_idx % 4 = 0 THEN 'r' || length(target) END AS rel_id FROM l),
 rels AS (SELECT page_id AS doc_id, 'r' || unnest([3, 4, 5]) AS rel_id, 'http://example.org/' || unnest([3, 4, 5]) AS target FROM pages),
-marks AS (SELECT DISTINCT doc_id, name FROM (SELECT page_id AS doc_id, unnest(string_split_regex(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\n]+')) AS name FROM pages) WHERE name <> '')"""
+marks AS (SELECT DISTINCT doc_id, name FROM (SELECT page_id AS doc_id, unnest(string_split_regex(regexp_replace(regexp_replace(html, '(?is)<a\\b[^>]*>.*?</a>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\n]+')) AS name FROM pages) WHERE name <> '')"""
 
 
 @query(f"""WITH {_PAGE_LINKS} SELECT k.doc_id, k.link_idx, k.anchor, k.rel_id, r.target, CASE WHEN r.target IS NOT NULL THEN 'external' WHEN m.name IS NOT NULL THEN 'internal' ELSE 'broken' END AS status
