@@ -8,8 +8,9 @@
    windows, and groups them exactly: first whole runs, then, where an anchor has different runs, the
    windows of the earliest occurrence of each.
 
-Only one bit per cell (counted twice or not) returns to the tasks, `DEPTH * 2**bits` bits in all, at
-most `DEPTH * 2**MOST_BITS`. Words are compared by their hashes: a span by 128 bits (anchor and span),
+Only one bit per cell (counted twice or not) returns to the tasks, `DEPTH * 2**bits` bits in all. Where
+that would be more than `DEPTH * 2**MOST_BITS`, the cells counted twice stay a table, runs are joined
+with it, and hashes of windows are taken from the texts once it is known which are wanted. Words are compared by their hashes: a span by 128 bits (anchor and span),
 a window by 128 (anchor and window), which a trillion windows confuse with probability below 1e-14.
 
 Defined results: an empty table gives no rows; null has no words; doc_id null counts as larger than any other; two rows with one
@@ -33,11 +34,14 @@ from .windows import BYTES, PIECE, anchors, merged, pieces, prefix, span_hash
 WIDTH = 50
 GRAM = 8
 DEPTH = 2
-#: The sketch has 2**bits cells a row; the bound is 8 MB a row for the bit of each cell.
+#: The sketch has 2**bits cells a row, which grows with the text. While the bits of all cells are at most 8 MB a row
+#: they are sent to the tasks; a larger sketch stays a table and is joined.
 LEAST_BITS, MOST_BITS = 16, 26
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 LAST_ID = (1 << 63) - 1
+RUN = "id long, key long, a int, n int, g long, s long"
+WINDOW = "id long, g long, s long, x int, w long"
 
 
 def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -167,6 +171,49 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("id", "g", "s")), pa.array(x), pa.array(np.concatenate(hashes))], names=["id", "g", "s", "x", "w"])
 
 
+def _windows_of_texts(width: int):
+    """As _windows, for rows (id, text, spans) of texts and the runs (g, s, a, n) wanted of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "spans")), strict=True):
+                sums = prefix(word_hashes(text or b"")[0])
+                for x in spans:
+                    places = np.arange(x["a"], x["a"] + x["n"])
+                    w = span_hash(sums, places, places + width).view(np.int64)
+                    same = lambda v, n=x["n"]: pa.array(np.full(n, v, np.int64))
+                    yield pa.RecordBatch.from_arrays([same(doc), same(x["g"]), same(x["s"]), pa.array(np.arange(x["n"], dtype=np.int32)), pa.array(w)], names=["id", "g", "s", "x", "w"])
+
+    return run
+
+
+def _bare_runs(width: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, a, n, g, s, _ in runs_of([t or b"" for t in batch.column("text").to_pylist()], width, gram):
+                if len(doc):
+                    rows = pa.array(doc)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("id").take(rows), batch.column("key").take(rows), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(s.view(np.int64))],
+                        names=["id", "key", "a", "n", "g", "s"],
+                    )
+
+    return run
+
+
+def runs_by_join(texts: DataFrame, width: int, gram: int, bits: int) -> DataFrame:
+    """Runs whose anchor is estimated repeated, by a sketch too large to send to tasks: a table of its repeated cells, joined row by row.
+
+    Partial sums are the partitions' sketches, without the cells that are 0. A row of the sketch need only count what passed the one before.
+    """
+    runs = stash(texts.mapInArrow(_bare_runs(width, gram), RUN), "word-runs")
+    for k in range(DEPTH):
+        cell = F.expr(f"xxhash64(g, {k}) & {(1 << min(bits, 62)) - 1}L")
+        often = stash(runs.groupBy(cell.alias("cell")).agg(F.count("*").alias("count")).where("count > 1").select("cell"), "sketch-cells")
+        runs = runs.withColumn("cell", cell).join(often, "cell", "left_semi").select("id", "key", "a", "n", "g", "s")
+    return stash(runs, "word-runs")
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, key, spans): removed word ranges of each text that has some, array of (a, e), not yet merged."""
     spark = docs.sparkSession
@@ -174,19 +221,29 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
     size = docs.agg(F.sum(F.length(F.col("text")))).head()[0] or 0
     # About one anchor for 22 words of 6 letters; four cells each.
-    bits = min(MOST_BITS, max(LEAST_BITS, int(size * 4 / 132).bit_length()))
-    sketch = spark.sparkContext.broadcast(repeated_cells(texts.select("text"), width, gram, bits))
-    runs = stash(texts.mapInArrow(_runs(width, gram, bits, sketch), "id long, key long, a int, n int, g long, s long, hashes binary"), "word-runs")
+    bits = max(LEAST_BITS, int(size * 4 / 132).bit_length())
+    if bits <= MOST_BITS:
+        sketch = spark.sparkContext.broadcast(repeated_cells(texts.select("text"), width, gram, bits))
+        runs = stash(texts.mapInArrow(_runs(width, gram, bits, sketch), f"{RUN}, hashes binary"), "word-runs")
+    else:
+        runs = runs_by_join(texts, width, gram, bits)
     # Written, so that the join with all runs has plain exchanges on both sides: Spark splits a span that stands everywhere.
     again = stash(runs.groupBy("g", "s").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "word-spans")
     shared = runs.groupBy("g").agg(F.min("s").alias("s0"), F.max("s").alias("s1")).where("s0 <> s1").select("g")
-    whole = runs.drop("hashes").join(again, ["g", "s"]).where("id > first").select("id", "key", "a", F.expr(f"a + n - 1 + {width}").alias("e"))
+    bare = runs.select("id", "key", "a", "n", "g", "s")
+    whole = bare.join(again, ["g", "s"]).where("id > first").select("id", "key", "a", F.expr(f"a + n - 1 + {width}").alias("e"))
     # Windows of the first occurrence of each span whose anchor has others.
-    unlike = runs.groupBy("g", "s").agg(F.min(F.struct("id", "hashes")).alias("r")).select("g", "s", "r.*").join(shared, "g", "left_semi")
-    windows = stash(unlike.mapInArrow(_windows, "id long, g long, s long, x int, w long"), "word-windows")
+    if "hashes" in runs.columns:
+        unlike = runs.groupBy("g", "s").agg(F.min(F.struct("id", "hashes")).alias("r")).select("g", "s", "r.*").join(shared, "g", "left_semi")
+        windows = unlike.mapInArrow(_windows, WINDOW)
+    else:  # their hashes come from the texts where they stand
+        unlike = runs.groupBy("g", "s").agg(F.min(F.struct("id", "key", "a", "n")).alias("r")).select("g", "s", "r.*").join(shared, "g", "left_semi")
+        wanted = unlike.groupBy("id", "key").agg(F.collect_list(F.struct("g", "s", "a", "n")).alias("spans"))
+        windows = texts.join(wanted, ["id", "key"]).select("id", "text", "spans").mapInArrow(_windows_of_texts(width), WINDOW)
+    windows = stash(windows, "word-windows")
     least = windows.groupBy("g", "w").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
     part = windows.join(least, ["g", "w"]).where("id > least").groupBy("g", "s", "id").agg(F.collect_list("x").alias("xs"))
-    own = runs.drop("hashes").join(part, ["g", "s", "id"]).select("id", "key", F.col("a").alias("a0"), F.explode(F.array_sort("xs")).alias("x"))
+    own = bare.join(part, ["g", "s", "id"]).select("id", "key", F.col("a").alias("a0"), F.explode(F.array_sort("xs")).alias("x"))
     some = own.select("id", "key", F.expr("a0 + x").alias("a"), F.expr(f"a0 + x + {width}").alias("e"))
     found = whole.unionByName(some).groupBy("id", "key").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
     return found.select(F.when(F.col("id") != LAST_ID, F.col("id")).alias("doc_id"), "key", "spans")

@@ -80,6 +80,13 @@ def test_substring_dedup(spark, seed):
     assert got(substring_dedup.remove_repeats(frame(spark, data), 10, 3), 4) == brute_words(data, 10)
 
 
+@pytest.mark.parametrize("seed", [1, 3])
+def test_substring_dedup_with_a_sketch_too_large_to_send(spark, monkeypatch, seed):
+    monkeypatch.setattr(substring_dedup, "MOST_BITS", 8)
+    data = [*rows(seed), (None, "nul " * 20, None, None, 1), (5, "again " * 30, None, None, 1), (5, "again " * 30, None, None, 1)]
+    assert got(substring_dedup.remove_repeats(frame(spark, data), 10, 3), 4) == brute_words(data, 10)
+
+
 def test_pieces_of_long_texts(spark, monkeypatch):
     from inkloom.llm import windows
 
