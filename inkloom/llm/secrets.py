@@ -17,7 +17,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import stash, text_key
 
 #: Kind, pattern, and the group that must have a length, with that length. The first three are the base rules.
 RULES = [
@@ -124,6 +124,21 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
     return has.select("doc_id", "key", due.alias("due")).where("due > 0")
 
 
+#: Items of a block of running sums: work is in proportion to it, and to the square of the number of blocks.
+SUM_BLOCK = 128
+
+
+def running_sums(sizes: Column) -> Column:
+    """Sums of the items up to each one, by blocks, so that many matches in one text cost no square."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / SUM_BLOCK).cast("int")), lambda b: F.slice(sizes, b * SUM_BLOCK + 1, SUM_BLOCK))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
+    ahead = F.aggregate(
+        F.transform(blocks, total), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    )["out"]
+    sums = F.flatten(F.zip_with(blocks, ahead, lambda xs, at: F.transform(xs, lambda x, i: at + total(F.slice(xs, 1, i + 1)))))
+    return F.when(F.size(sizes) > 0, sums).otherwise(F.array().cast("array<int>"))
+
+
 def spans(text: Column, rank: int, rule: tuple) -> Column:
     """Array of (start, rank, kind, end) of a rule's matches, leftmost first, without those that are too short."""
     kind, pattern, group, least = rule
@@ -131,16 +146,11 @@ def spans(text: Column, rank: int, rule: tuple) -> Column:
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     sizes = F.transform(whole, F.length)
-    # Ends so far: what stands before a match, and the match.
-    steps = F.zip_with(F.slice(gaps, 1, F.size(sizes)), sizes, lambda g, s: F.struct(g.alias("g"), s.alias("s")))
-    starts = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda a, x: F.struct((a["at"] + x["g"] + x["s"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["g"])).alias("starts")),
-    )["starts"]
+    # A match ends where all gaps and matches up to it end.
+    ends = running_sums(F.zip_with(F.slice(gaps, 1, F.size(sizes)), sizes, lambda g, s: g + s))
     rows = F.transform(
-        F.arrays_zip(starts.alias("a"), sizes.alias("s"), F.transform(value, F.length).alias("v")),
-        lambda x: F.struct(x["a"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (x["a"] + x["s"]).alias("end"), x["v"].alias("v")),
+        F.arrays_zip(ends.alias("e"), sizes.alias("s"), F.transform(value, F.length).alias("v")),
+        lambda x: F.struct((x["e"] - x["s"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["e"].alias("end"), x["v"].alias("v")),
     )
     fit = F.filter(rows, lambda x: x["v"] >= least)
     return F.transform(fit, lambda x: F.struct(x["start"], x["rank"], x["kind"], x["end"]))
@@ -155,19 +165,19 @@ def joined(found: Column) -> Column:
 
 def scan(docs: DataFrame, rules=RULES, name: str = "found") -> DataFrame:
     """All columns of docs, and one by that name: array of (start, rank, kind, end) of every rule's matches."""
-    hits = candidates(postings(docs, rules), rules).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("due").alias("_due"))
-    left = docs.withColumn("_key", text_key(F.col("text")))
-    both = left.join(hits, left["doc_id"].eqNullSafe(hits["_d"]) & (F.col("_key") == F.col("_k")), "left")
+    # Written, so that Spark knows how small the candidates are: while they fit a broadcast, no text is shuffled.
+    hits = stash(candidates(postings(docs, rules), rules), "candidates")
+    both = docs.join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"]) & (text_key(docs["text"]) == hits["key"]), "left")
     none = F.array().cast(SPAN)
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(docs["text"], F.lit(""))
     parts = []
     for r, rule in enumerate(rules):
         if trigram_query(rule[1]):
-            due = F.coalesce(F.col("_due").bitwiseAND(F.lit(1 << r)) > 0, F.lit(False))
+            due = F.coalesce(hits["due"].bitwiseAND(F.lit(1 << r)) > 0, F.lit(False))
         else:
-            due = F.coalesce(F.col("text").rlike(rule[1]), F.lit(False))
+            due = F.coalesce(docs["text"].rlike(rule[1]), F.lit(False))
         parts.append(F.when(due, spans(text, r, rule).cast(SPAN)).otherwise(none))
-    return both.withColumn(name, F.concat(*parts)).drop("_d", "_k", "_due", "_key")
+    return both.select(*(docs[f"`{c}`"] for c in docs.columns), F.concat(*parts).alias(name))
 
 
 def secrets(docs: DataFrame) -> DataFrame:
@@ -180,15 +190,18 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every span that was found replaced by mark; the columns stay."""
-    found = scan(docs, name="_found")
+    name, merged = "found", "merged"
+    while name in docs.columns or merged in docs.columns:
+        name, merged = name + "_", merged + "_"
+    found = scan(docs, name=name)
     # Overlapping spans of different kinds are one; the mark stands where each begins.
-    merge = """aggregate(array_sort(_found), cast(array() as array<struct<a: int, e: int>>), (m, x) ->
+    merge = f"""aggregate(array_sort({name}), cast(array() as array<struct<a: int, e: int>>), (m, x) ->
       if(size(m) > 0 and x.start < element_at(m, -1).e,
          concat(slice(m, 1, size(m) - 1), array(struct(element_at(m, -1).a as a, greatest(element_at(m, -1).e, x.end) as e))),
          concat(m, array(struct(x.start as a, x.end as e)))))"""
-    cut = f"""aggregate({merge}, struct(0 as at, '' as out), (s, x) ->
-      struct(x.e as at, concat(s.out, substring(text, s.at + 1, x.a - s.at), '{mark}') as out), s -> concat(s.out, substring(text, s.at + 1)))"""
-    text = F.expr(f"if(size(_found) > 0, {cut}, text)")
+    found = found.withColumn(merged, F.expr(merge))
+    pieces = f"transform({merged}, (x, i) -> concat(substring(text, coalesce(get({merged}, i - 1).e, 0) + 1, x.a - coalesce(get({merged}, i - 1).e, 0)), '{mark}'))"
+    text = F.expr(f"if(size({merged}) > 0, concat(array_join({pieces}, ''), substring(text, element_at({merged}, -1).e + 1)), text)")
     return found.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 
