@@ -29,7 +29,7 @@ WEIGHTS = (5, 2, 1)
 #: Target of all sources, and most of one, in epochs.
 SHARE, MOST = 1.5, 2
 #: Rows of a class of keys, about.
-CLASS_ROWS = 20_000
+CLASS_ROWS = 4_000
 SEED = "mix-1"
 JUNK = r"[!-@\[-`{-~]+"
 
