@@ -229,7 +229,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     spans = runs.groupBy("g", "s").agg(F.count("*").alias("cnt"), F.min(F.struct("doc_id", "key", "a", "n")).alias("at"))
     # An anchor that has one span only can be told by its least and greatest.
     shared = runs.groupBy("g").agg(F.min("s").alias("s0"), F.max("s").alias("s1")).where("s0 <> s1").select("g")
-    whole = runs.join(spans.where("cnt > 1").select("g", "s"), ["g", "s"], "left_semi").select("doc_id", "key", "a", F.expr(f"a + n - 1 + {width}").alias("e"))
+    # Written, so that the join with all runs has plain exchanges on both sides: Spark splits a span that stands everywhere.
+    again = stash(spans.where("cnt > 1").select("g", "s"), "byte-repeats")
+    whole = runs.join(again, ["g", "s"], "left_semi").select("doc_id", "key", "a", F.expr(f"a + n - 1 + {width}").alias("e"))
     needed = stash(spans.join(shared, "g").select("g", "s", "cnt", "at.*"), "byte-spans")
     load = needed.groupBy("g").agg(F.count("*").alias("spans"), F.max("cnt").alias("m")).where(F.col("spans") > MANY_SPANS).select("g", "spans")
     content = (
