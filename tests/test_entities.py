@@ -27,17 +27,17 @@ def test_tree(spark, found):
     assert refs["p:0"] is None and refs["tbl:0/row:0/cell:1"] == "tbl:0/row:0" and len(refs) == 8
     assert values(nodes.find(tree, element_type="heading", level=1), "text") == [("Introduction",)]
     assert sorted(values(nodes.find(tree, has_changes=True), "ref")) == [("p:1",), ("p:2",)]
-    assert values(nodes.find(tree, element_type="cell", contains="fox"), "text") == [("fox cell",)]
+    assert values(nodes.find(tree, element_type="cell", contains="owl"), "text") == [("owl cell",)]
     assert dict(values(nodes.counts(tree), "element_type", "n")) == {"heading": 1, "paragraph": 3, "table": 1, "row": 1, "cell": 2}
-    hits = nodes.search_tree(tree, "FOX", most=2)
-    assert sorted(values(hits, "ref", "found", "total")) == [("p:1", "fox", 4), ("tbl:0", "fox", 4)]
+    hits = nodes.search_tree(tree, "OWL", most=2)
+    assert sorted(values(hits, "ref", "found", "total")) == [("p:1", "owl", 4), ("tbl:0", "owl", 4)]
     there, missing = nodes.lookup(tree, spark.createDataFrame([("a", "p:1"), ("a", "p:99")], "doc_id string, ref string"))
     assert (there.count(), values(missing, "ref")) == (1, [("p:99",)])
 
 
 def test_exports(spark, found):
     text = export.markdown(main(found)).head().text
-    assert text.startswith("# Introduction\n\nThe quick brown fox\n\nbold now\n\n| fox cell | other |\n| --- | --- |\n\n")
+    assert text.startswith("# Introduction\n\nThe plain green owl\n\nbold now\n\n| owl cell | other |\n| --- | --- |\n\n")
     assert export.plain(main(found)).head().text.startswith("Introduction\n============\n\n")
     sections = structure.sections(main(found), F.col("style").startswith("Heading"))
     assert 'heading: "Introduction"' in export.outline_yaml(sections).head().text
@@ -76,7 +76,7 @@ def test_links_and_bookmarks(spark, found):
 
 
 def test_comments(spark, found):
-    new = spark.createDataFrame([("a", 1, "fox", "Ann Lee", "look")], "doc_id string, p_idx int, marked_text string, author string, text string")
+    new = spark.createDataFrame([("a", 1, "owl", "Ann Lee", "look")], "doc_id string, p_idx int, marked_text string, author string, text string")
     comments, ranges = E.add_comments(found("comments"), found("comment_ranges"), new)
     assert ("2", "AL") in values(comments, "comment_id", "initials") and ranges.count() == 2
     one = spark.createDataFrame([("a", "0")], "doc_id string, comment_id string")
@@ -102,7 +102,7 @@ def test_validation(spark, found):
     breaches = validation.breaches(found("runs"), found("changes"), found("errors"), found("bookmarks"))
     docs = spark.createDataFrame([("a",), ("broken",)], "doc_id string")
     assert sorted(values(validation.verdicts(docs, breaches), "doc_id", "is_valid")) == [("a", True), ("broken", False)]
-    old = spark.createDataFrame([("a", 1, "The quick fox"), ("b", 0, "x")], "doc_id string, p_idx int, text string")
-    rows = [("a", 1, 0, "The quick ", "", False, False, None), ("a", 1, 1, "brown ", "", True, False, "Al"), ("a", 1, 2, "fox", "", False, False, None), ("b", 0, 0, "y", "", False, False, None)]
+    old = spark.createDataFrame([("a", 1, "The plain owl"), ("b", 0, "x")], "doc_id string, p_idx int, text string")
+    rows = [("a", 1, 0, "The plain ", "", False, False, None), ("a", 1, 1, "green ", "", True, False, "Al"), ("a", 1, 2, "owl", "", False, False, None), ("b", 0, 0, "y", "", False, False, None)]
     new = spark.createDataFrame(rows, "doc_id string, p_idx int, r_idx int, text string, del_text string, in_ins boolean, in_del boolean, author string")
     assert sorted(values(validation.only_tracked(old, new, "Al"), "doc_id", "same")) == [("a", True), ("b", False)]
