@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, near_dedup, quality, secrets, substring_dedup, suffix_dedup, tokens, topk, toxicity
+from . import decontam, filter_audit, mixing, near_dedup, quality, resampling, secrets, substring_dedup, suffix_dedup, tokens, topk, toxicity
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -52,9 +52,17 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_suffix_array_dedup, op3_token_counts, op4_top_k, op5_quality, op6_toxicity, op7_decontamination, op8_near_dedup, op9_substring_dedup, op10_secrets)
+    for f in (op1_mixing, op2_suffix_array_dedup, op3_token_counts, op4_top_k, op5_quality, op6_toxicity, op7_decontamination, op8_near_dedup, op9_substring_dedup, op10_secrets, op11_filter_audit, op12_resampling)
 }
 
 ORACLE_SQL = {
@@ -63,4 +71,6 @@ ORACLE_SQL = {
     "op7_decontamination": decontam.oracle_sql(),
     "op8_near_dedup": near_dedup.oracle_sql(shingle=2),
     "op10_secrets": secrets.oracle_sql(),
+    "op11_filter_audit": filter_audit.oracle_sql(),
+    "op12_resampling": resampling.oracle_sql(),
 }
