@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, filter_audit, mixing, near_dedup, quality, resampling, secrets, substring_dedup, suffix_dedup, tokens, topk, toxicity
+from . import decontam, filter_audit, lang_id, mixing, near_dedup, quality, resampling, secrets, substring_dedup, suffix_dedup, tokens, topk, toxicity
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -60,9 +60,13 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_suffix_array_dedup, op3_token_counts, op4_top_k, op5_quality, op6_toxicity, op7_decontamination, op8_near_dedup, op9_substring_dedup, op10_secrets, op11_filter_audit, op12_resampling)
+    for f in (op1_mixing, op2_suffix_array_dedup, op3_token_counts, op4_top_k, op5_quality, op6_toxicity, op7_decontamination, op8_near_dedup, op9_substring_dedup, op10_secrets, op11_filter_audit, op12_resampling, op13_language_id)
 }
 
 ORACLE_SQL = {
