@@ -28,7 +28,7 @@ from itertools import permutations
 from math import factorial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, small_batches, stash
@@ -59,6 +59,12 @@ def _marked(text: bytes, words: list[bytes]) -> bool:
 FILTERS: dict[str, Callable[[bytes, list[bytes]], bool]] = {"A": _short, "B": _repetitive, "C": _shouting, "D": _marked}
 DUPLICATE = "E"
 
+
+
+def fingerprint(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 _ROW = "doc_id long, part string, mask int, open boolean, range int, fp long, sha binary, least long"
 
 
@@ -111,7 +117,7 @@ def failures(docs: DataFrame, part: str = "lang", filters: dict[str, Callable] |
     filters = FILTERS if filters is None else filters
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")).alias("part"), text.alias("text"))
-    rows = rows.withColumn("fp", F.xxhash64("text"))
+    rows = rows.withColumn("fp", fingerprint(F.col("text")))
     ranged = rows.repartitionByRange(partitions(spark), "fp", "doc_id").sortWithinPartitions("fp", "text", "doc_id")
     marked = stash(ranged.withColumn("range", F.spark_partition_id()).mapInArrow(_marks(filters), _ROW), "masks")
     # Boundary rows: one or two of each range. A text is continued where an earlier range has a smaller doc_id of it.
