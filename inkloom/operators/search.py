@@ -100,7 +100,9 @@ def literal_pieces(text: Column, found: str, case_sensitive: bool = True) -> Col
     pattern = ("" if case_sensitive else "(?iu)") + _quoted(found)
     pieces = F.split(text, f"(?={pattern})", -1)
     first = text.rlike(f"^(?:{pattern})")
-    head = lambda p, i: F.when((i > 0) | first, F.substring(p, 1, len(found)))
+    # A piece shorter than found ends where the next place begins: what was found goes on in the pieces after it.
+    whole = lambda p, i: F.when(F.length(p) >= len(found), p).otherwise(F.array_join(F.slice(pieces, i + 1, F.lit(len(found))), ""))
+    head = lambda p, i: F.when((i > 0) | first, F.substring(whole(p, i), 1, len(found)))
     return F.transform(pieces, lambda p, i: F.struct(F.length(p).alias("size"), head(p, i).alias("head")))
 
 

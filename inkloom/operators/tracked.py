@@ -3,8 +3,12 @@
 An edit is joined with the paragraphs of its document, its matches become spans (places in the visible
 text), and spans split runs. What a tracked edit deletes stays as a deleted run, what it inserts is a
 run of its own; untracked edits drop and insert. Everything is a join, an explode or a window within a
-paragraph; `apply` takes the edits of each document one number (seq) at a time, as each sees what those
-before it left, and writes the runs between rounds.
+paragraph. An edit sees what those before it left, yet most edits of a batch don't meet: `apply` makes, in
+one round, all edits of a document up to the first that one before it may touch (conflicts), then looks for
+the rest in what it wrote. Documents without edits left aren't written again.
+
+Literal text is searched by built-in functions; regular expressions are Python's, over the paragraphs in
+their scope, so that look-around sees the whole paragraph and a pattern that can't be read fails alone.
 
 Runs come from sources.docx (or any table of doc_id, part, p_idx, r_idx, text, del_text, in_ins, in_del,
 change_id, author, date, bold, italic); part tells the body from headers, footers and notes.
@@ -12,10 +16,14 @@ change_id, author, date, bold, italic); part tells the body from headers, footer
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from inkloom.sources.tables import written
 
@@ -66,36 +74,137 @@ def in_scope(scope: Column, text: Column, part: Column, note: Column, section: C
     return out.when(scope.startswith("paragraph_containing:"), body & F.contains(text, rest)).otherwise(body & F.contains(text, scope))
 
 
-def matches(paragraphs: DataFrame, edits: DataFrame) -> DataFrame:
+_STEPS = "array<struct<gap: int, found: string, new: string>>"
+
+
+def _regex_steps(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds steps to (…, t, find, new): each match that isn't empty, the characters since the one before it, and what goes in its place."""
+    for d in rows:
+        steps = []
+        for text, find, new in zip(d["t"], d["find"], d["new"], strict=True):
+            at, found = 0, []
+            for m in re.finditer(find, text):
+                if m.group():
+                    found.append((m.start() - at, m.group(), None if new is None else m.expand(new)))
+                    at = m.end()
+            steps.append(found)
+        yield d.assign(steps=steps).drop(columns=["t", "find", "new"])
+
+
+@F.pandas_udf(StringType())
+def unreadable(find: pd.Series, new: pd.Series) -> pd.Series:
+    """Why a regular expression or its replacement can't be read; null if both can."""
+
+    def why(f: str | None, n: str | None) -> str | None:
+        try:
+            if f is not None:
+                re.compile(f).sub(n or "", "")
+        except (re.error, IndexError, OverflowError, RecursionError) as error:
+            return f"regular expression can't be read: {error}"
+        return None
+
+    return pd.Series([why(f, n) for f, n in zip(find, new, strict=True)], dtype=object)
+
+
+def quoted(find: Column) -> Column:
+    """A pattern that matches a text as it is."""
+    return F.concat(F.lit("\\Q"), F.replace(find, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
+def matches(paragraphs: DataFrame, edits: DataFrame, regex: bool = True) -> DataFrame:
     """(doc_id, seq, part, p_idx, start, end, found, new, n, of): places of each edit's search text that don't overlap, numbered in document order.
 
-    edits: (doc_id, seq, find, regex, scope, ref, new); ref (p:N) keeps the search to one paragraph. new has \\1 filled from the groups of a regular expression.
+    edits: (doc_id, seq, find, regex, scope, ref, new); ref (p:N) keeps the search to one paragraph. new has \\1 and \\g<name> filled from
+    the groups of a regular expression. regex: whether any edit has one. A paragraph meets its document's edits in one row and leaves with those it contains.
     """
     for c, kind in (("note_id", "string"), ("section", "string"), ("tbl_idx", "int")):
         if c not in paragraphs.columns:
             paragraphs = paragraphs.withColumn(c, F.lit(None).cast(kind))
-    pattern = F.when(F.col("regex"), F.concat(F.lit("(?U)"), F.col("find"))).otherwise(F.concat(F.lit("\\Q"), F.replace("find", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
-    near = edits.join(paragraphs.select(*KEYS, F.col("text").alias("t"), "note_id", "section", "tbl_idx"), "doc_id")
-    near = near.where(in_scope(F.col("scope"), F.col("t"), F.col("part"), F.col("note_id"), F.col("section"), F.col("tbl_idx")))
-    near = near.where("ref is null or (ref = concat('p:', p_idx))").withColumn("pattern", pattern).where(F.when(F.col("regex"), F.rlike("t", F.col("pattern"))).otherwise(F.contains("t", F.col("find"))))
-    found = F.expr("regexp_extract_all(t, pattern, 0)")
+    asked = edits.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "find", "regex", "scope", "ref", "new")).alias("asked"))
+    lines = paragraphs.select(*KEYS, F.col("text").alias("t"), "note_id", "section", "tbl_idx").join(asked, "doc_id")
+
+    def wanted(e: Column) -> Column:
+        there = F.contains("t", e["find"]) | e["regex"]
+        here = e["ref"].isNull() | (e["ref"] == F.concat(F.lit("p:"), F.col("p_idx")))
+        return there & here & in_scope(e["scope"], F.col("t"), F.col("part"), F.col("note_id"), F.col("section"), F.col("tbl_idx"))
+
+    near = lines.select(*KEYS, "t", F.explode(F.filter("asked", wanted)).alias("e")).select(*KEYS, "t", "e.seq", "e.find", "e.regex", "e.new")
+    plain = near.where(~F.col("regex")).withColumn("pattern", quoted(F.col("find")))
     gaps = F.transform(F.expr("split(t, pattern, -1)"), F.length)
-    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("found")))
-    rows = near.select("doc_id", "seq", "part", "p_idx", "pattern", "regex", "new", F.posexplode(steps).alias("k", "x"))
+    steps = F.transform(F.slice(gaps, 1, F.size(gaps) - 1), lambda g: F.struct(g.alias("gap"), F.col("find").alias("found"), F.col("new").alias("new")))
+    rows = plain.select(*KEYS, "seq", steps.alias("steps"))
+    if regex:
+        kind = dict(paragraphs.dtypes)
+        some = near.where("regex").select(*KEYS, "seq", "t", "find", "new")
+        rows = rows.unionByName(some.mapInPandas(_regex_steps, f"doc_id {kind['doc_id']}, part string, p_idx {kind['p_idx']}, seq int, steps {_STEPS}"))
+    rows = rows.select(*KEYS, "seq", F.posexplode("steps").alias("k", "x"))
     ahead = F.sum(F.col("x.gap") + F.length("x.found")).over(Window.partitionBy("doc_id", "seq", "part", "p_idx").orderBy("k"))
-    rows = rows.withColumn("end", ahead.cast("int")).where(F.length("x.found") > 0)
-    # \1 of a replacement is $1 to Spark.
-    filled = F.when(F.col("regex") & F.col("new").isNotNull(), F.expr(r"regexp_replace(x.found, pattern, regexp_replace(new, '\\\\(\\d)', '\\$$1'))")).otherwise(F.col("new"))
     order = Window.partitionBy("doc_id", "seq").orderBy(F.col("part") != BODY, "part", "p_idx", "end")
-    rows = rows.select("doc_id", "seq", "part", "p_idx", (F.col("end") - F.length("x.found")).alias("start"), "end", F.col("x.found").alias("found"), filled.alias("new"))
+    rows = rows.withColumn("end", ahead.cast("int")).select("doc_id", "seq", "part", "p_idx", (F.col("end") - F.length("x.found")).alias("start"), "end", "x.found", "x.new")
     return rows.withColumn("n", F.row_number().over(order)).withColumn("of", F.count("*").over(Window.partitionBy("doc_id", "seq")).cast("int"))
 
 
-def chosen(hits: DataFrame, occurrence: Column) -> DataFrame:
-    """The matches that an edit's occurrence names: first (by default), last, all, or a number from 1."""
+def numbers(occurrence: Column) -> Column:
+    """The numbers that an occurrence lists: 2, or [1, 3]; null for what is no number."""
+    return F.transform(F.split(F.regexp_replace(occurrence, r"[\[\]\s]", ""), ","), lambda x: x.try_cast("int"))
+
+
+def picked(occurrence: Column) -> Column:
+    """Whether a match (n, of) is one that an edit's occurrence names: first (by default), last, all, a number from 1 or a list of them."""
     which = F.coalesce(occurrence, F.lit("first"))
-    number = F.when(which == "first", 1).when(which == "last", F.col("of")).otherwise(F.expr("try_cast(occurrence as int)"))
-    return hits.where((which == "all") | (F.col("n") == number))
+    return F.when(which == "first", F.col("n") == 1).when(which == "last", F.col("n") == F.col("of")).when(which == "all", True).otherwise(F.coalesce(F.array_contains(numbers(which), F.col("n")), F.lit(False)))
+
+
+def beyond(occurrence: Column, of: Column) -> Column:
+    """Whether an occurrence names a match that isn't there."""
+    listed = ~F.coalesce(occurrence, F.lit("first")).isin("first", "last", "all")
+    return listed & F.exists(numbers(occurrence), lambda i: i.isNull() | (i < 1) | (i > of))
+
+
+def chosen(hits: DataFrame, occurrence: Column) -> DataFrame:
+    """The matches that an edit's occurrence names."""
+    return hits.where(picked(occurrence))
+
+
+#: Stands between stretches that no edit touched; no text holds it.
+_SEPARATOR = "\uffff"
+
+
+def conflicts(lines: DataFrame, asked: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, cut): the least number of an edit that may have to see what one before it does; documents without such aren't there.
+
+    lines: (doc_id, part, p_idx, text); asked: (doc_id, seq, find, regex, scope, ref), a move's two texts under one number; spans: what each edit would
+    change now. Within a paragraph an edit is clear of those before it if all places of its text, overlapping ones too, lie in stretches
+    that they leave alone, and the text as they leave it has no more of them. Spans that touch are conflicts, as are regular expressions and scopes
+    that look for text, once anything before them changes. What is left out is only what can't matter, so rounds may be more than needed, never fewer.
+    """
+    reach = F.array_sort(F.collect_list(F.struct("start", "end", "seq", F.when(F.col("kind") == "format", F.col("found")).otherwise(F.coalesce("new", F.lit(""))).alias("new"))))
+    touched = spans.groupBy(*KEYS).agg(reach.alias("spans"))
+    static = F.col("scope").isNull() | F.col("scope").isin(*PARTS, "tables") | F.col("scope").rlike("^(footnote|endnote|table|section):")
+    edits = asked.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "find", "ref", F.coalesce(F.col("regex") | ~static, F.lit(True)).alias("late"))).alias("edits"))
+    first = spans.groupBy("doc_id").agg(F.min("seq").alias("first"))
+    # Regular expressions and scopes that look for text wait for whatever comes before them, in any paragraph.
+    late = edits.join(first, "doc_id").select("doc_id", F.array_min(F.transform(F.filter("edits", lambda e: e["late"] & (e["seq"] > F.col("first"))), lambda e: e["seq"])).alias("cut"))
+    rows = touched.join(lines.select(*KEYS, "text"), KEYS).join(edits, "doc_id")
+
+    def meets(e: Column) -> Column:
+        before = F.filter("spans", lambda x: x["seq"] < e["seq"])
+        start = lambda i: F.coalesce(F.get(before, i - 1)["end"], F.lit(0))
+        stretch = lambda x, i: F.substr("text", start(i) + 1, F.greatest(x["start"] - start(i), F.lit(0)))
+        tail = F.substr("text", start(F.size(before)) + 1)
+        left = F.concat(F.array_join(F.transform(before, lambda x, i: F.concat(stretch(x, i), F.lit(_SEPARATOR))), ""), tail)
+        now = F.concat(F.array_join(F.transform(before, lambda x, i: F.concat(stretch(x, i), x["new"])), ""), tail)
+        pattern = F.concat(F.lit("(?="), quoted(e["find"]), F.lit(")"))
+        count = lambda text: F.regexp_count(text, pattern)
+        some = F.contains("text", e["find"]) | F.contains(now, e["find"])
+        return (F.size(before) > 0) & some & ((count(F.col("text")) != count(left)) | (count(now) != count(left)))
+
+    here = lambda e: (e["ref"].isNull() | (e["ref"] == F.concat(F.lit("p:"), F.col("p_idx")))) & ~e["late"]
+    seqs = lambda xs: F.transform(xs, lambda x: x["seq"])
+    met = seqs(F.filter("edits", lambda e: here(e) & meets(e)))
+    nearest = lambda x, i: F.array_min(F.transform(F.filter(F.slice("spans", F.lit(1), i), lambda y: (y["end"] >= x["start"]) & (y["seq"] != x["seq"])), lambda y: F.greatest(x["seq"], y["seq"])))
+    cuts = rows.select("doc_id", F.array_min(F.concat(met, F.transform("spans", nearest))).alias("cut"))
+    return cuts.unionByName(late).groupBy("doc_id").agg(F.min("cut").alias("cut")).where("cut is not null")
 
 
 def _cut(runs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -155,8 +264,11 @@ def rewritten(runs: DataFrame, spans: DataFrame) -> DataFrame:
     return rest.unionByName(both.withColumn("r_idx", F.row_number().over(order) - 1).drop("at"))
 
 
-def _round(runs: DataFrame, edits: DataFrame, kinds: set[str], places: DataFrame | None, changes: DataFrame | None, date: str) -> tuple[DataFrame, DataFrame]:
-    """(spans, results) of edits of which each document has one, all of the kinds given."""
+def _round(runs: DataFrame, edits: DataFrame, kinds: set[str], regex: bool, places: DataFrame | None, tops: DataFrame, date: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spans, results, cuts): what all edits up to a document's first conflict change; cuts (doc_id, cut) names the edit that waits, with all after it.
+
+    kinds and regex: the kinds of edits there are, and whether any has a regular expression.
+    """
     lines = visible(runs)
     if places is not None:
         lines = lines.join(places, KEYS, "left")
@@ -170,16 +282,19 @@ def _round(runs: DataFrame, edits: DataFrame, kinds: set[str], places: DataFrame
         .when(no_anchor, "give either after or before").when((F.col("kind") == "replace") & F.col("replace").isNull(), "no replacement given")
         .when((F.col("kind") == "insert") & F.col("text").isNull(), "no text given").when(F.coalesce(find, F.lit("")) == "", "no search text given")
     )
+    if regex:
+        given = lambda c: F.when(F.col("regex"), c)
+        wrong = F.coalesce(wrong, unreadable(given(find), given(F.when(F.col("kind") == "replace", F.col("replace")))))
     e = e.withColumn("wrong", wrong).withColumn("seek", find).withColumn("new", F.when(F.col("kind") == "replace", F.col("replace")).when(F.col("kind") == "insert", F.col("text")))
     fit = e.where("wrong is null")
     ask = fit.select("doc_id", "seq", F.col("seek").alias("find"), "regex", "scope", "ref", F.when(F.col("kind") == "replace", F.col("new")).alias("new"))
     null = lambda kind: F.lit(None).cast(kind)
     if "move" in kinds:  # a move also looks for its destination, under a number of its own
         ask = ask.unionByName(fit.where("kind = 'move'").select("doc_id", (-F.col("seq") - 1).alias("seq"), anchor.alias("find"), F.lit(False).alias("regex"), "scope", "ref", null("string").alias("new")))
-    hits = written(matches(lines, ask), "matches")
+    hits = written(matches(lines, ask, regex), "matches")
     source = hits.where("seq >= 0").join(fit.select("doc_id", "seq", "occurrence", "kind"), ["doc_id", "seq"])
     got = chosen(source, F.when(F.col("kind") != "move", F.col("occurrence")))
-    done = F.when((F.col("n") == F.when(F.coalesce("occurrence", F.lit("first")) == "first", 1).when(F.col("occurrence") == "last", F.col("of")).otherwise(F.expr("try_cast(occurrence as int)"))) | (F.col("occurrence") == "all") | (F.col("kind") == "move"), 1)
+    done = F.when(picked(F.col("occurrence")) | (F.col("kind") == "move"), 1)
     e = e.join(source.groupBy("doc_id", "seq").agg(F.max("of").alias("of"), F.nullif(F.count(done), F.lit(0)).alias("done")), ["doc_id", "seq"], "left")
     short = lambda c: F.substring(c, 1, 80)
     many = lambda n, c: F.concat(F.lit("text is ambiguous: "), F.col(n), F.lit(" occurrences of "), short(c))
@@ -196,7 +311,7 @@ def _round(runs: DataFrame, edits: DataFrame, kinds: set[str], places: DataFrame
             wrong.when(move & (F.col("of") > 1), many("of", "seek")).when(move & F.col("to_of").isNull(), F.concat(F.lit("text not found: "), short(anchor)))
             .when(move & (F.col("to_of") > 1), many("to_of", anchor)).when(F.col("inside"), "destination lies within what moves")
         )
-    wrong = wrong.when(F.col("done").isNull(), F.concat(F.lit("occurrence "), F.col("occurrence"), F.lit(" of "), F.col("of")))
+    wrong = wrong.when((F.col("kind") != "move") & (F.col("done").isNull() | beyond(F.col("occurrence"), F.col("of"))), F.concat(F.lit("occurrence "), F.col("occurrence"), F.lit(" of "), F.col("of")))
     e = e.withColumn("wrong", wrong)
     word = F.create_map(*(F.lit(x) for kv in {"insert": "inserted ", "delete": "deleted ", "replace": "replaced ", "move": "moved ", "format": "formatted "}.items() for x in kv))
     results = e.select("doc_id", "seq", "type", F.col("wrong").isNull().alias("success"), F.coalesce("wrong", F.concat(word[F.col("kind")], F.col("done"))).alias("message"))
@@ -219,17 +334,22 @@ def _round(runs: DataFrame, edits: DataFrame, kinds: set[str], places: DataFrame
     spans = reduce(DataFrame.unionByName, rows or [row(at, place, place, none, none, None).where("false")])
     look = F.coalesce("look", F.lit("bold"))
     spans = spans.withColumn("bold", F.when(F.col("kind") == "format", F.when(look == "bold", True).when(look == "not bold", False))).withColumn("italic", F.when(F.col("kind") == "format", F.when(look == "italic", True).when(look == "not italic", False)))
-    return written(numbered(spans.drop("look"), runs, changes, date), "spans"), results
+    spans = written(spans.drop("look"), "wanted")
+    cuts = written(conflicts(lines, ask.withColumn("seq", F.when(F.col("seq") < 0, -F.col("seq") - 1).otherwise(F.col("seq"))), spans), "cuts")
+    due = lambda df: df.join(cuts, "doc_id", "left").where("cut is null or seq < cut").drop("cut")
+    return written(numbered(due(spans), tops, date), "spans"), due(results), cuts
+
 
+def top_ids(*marks: DataFrame | None) -> DataFrame:
+    """(doc_id, top): the greatest change id of each document in tables of (doc_id, change_id), 0 if none is a number."""
+    ids = [m.select("doc_id", F.col("change_id").cast("string").alias("change_id")) for m in marks if m is not None]
+    return reduce(DataFrame.unionByName, ids).groupBy("doc_id").agg(F.coalesce(F.max(F.expr("try_cast(change_id as int)")), F.lit(0)).alias("top"))
 
-def numbered(spans: DataFrame, runs: DataFrame, changes: DataFrame | None, date: str) -> DataFrame:
-    """Spans with the ids of their changes: on from the document's greatest, in document order, a deletion before what replaces it."""
-    marks = runs.select("doc_id", "change_id")
-    if changes is not None:
-        marks = marks.unionByName(changes.select("doc_id", F.col("change_id").cast("string").alias("change_id")))
-    top = marks.groupBy("doc_id").agg(F.coalesce(F.max(F.expr("try_cast(change_id as int)")), F.lit(0)).alias("top"))
+
+def numbered(spans: DataFrame, top: DataFrame, date: str) -> DataFrame:
+    """Spans with the ids of their changes: on from the document's greatest, edit by edit and in document order, a deletion before what replaces it."""
     old, new = F.col("kind").isNotNull().cast("int"), F.coalesce(F.col("new") != "", F.lit(False)).cast("int")
-    order = Window.partitionBy("doc_id").orderBy("part", "p_idx", "start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("doc_id").orderBy("seq", "part", "p_idx", "start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = F.col("top") + F.sum(F.when(F.col("track"), old + new).otherwise(0)).over(order)
     out = spans.join(top, "doc_id").withColumn("last", last)
     out = out.withColumn("id", F.when(F.col("track") & (old == 1), F.col("last") - new).cast("string")).withColumn("new_id", F.when(F.col("track") & (new == 1), F.col("last")).cast("string"))
@@ -256,29 +376,33 @@ def apply(runs: DataFrame, edits: DataFrame, author: str = "Inkloom", date: str
     """(runs after, changes made, results): edits of each document in the order of seq.
 
     edits: (doc_id, seq, type, find, replace, text, after, before, occurrence, regex, track, author, scope, ref), further columns
-    ignored, missing ones null; types insert, delete, replace, move and format, each with _tracked. An edit that can't be made
+    ignored, missing ones null; occurrence is first, last, all, a number or a list of numbers ([1, 3]); types insert, delete, replace, move and format, each with _tracked. An edit that can't be made
     changes nothing and says why; documents without edits pass by. places: (doc_id, part, p_idx) with section or tbl_idx, for scopes
     of sections and tables. changes: the documents' changes so far, whose ids are taken.
     """
-    todo = completed(edits, author)
-    todo = written(todo.withColumn("round", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("seq"))), "edits")
-    ids = todo.select("doc_id").distinct()
+    todo = written(completed(edits, author), "edits")
+    due = todo.select("doc_id").distinct()
     whole = prepared(runs)
-    now = written(whole.join(ids, "doc_id", "left_semi"), "runs")
-    made = results = None
-    kinds = todo.select("round", F.regexp_replace("type", "_tracked$", "").alias("kind")).where(F.col("kind").isin(*TYPES)).groupBy("round").agg(F.collect_set("kind").alias("kinds"))
-    kinds = {r["round"]: set(r.kinds) for r in kinds.collect()}
-    for k in range(1, (todo.agg(F.max("round")).head()[0] or 0) + 1):
-        known = changes if changes is None or made is None else changes.select("doc_id", F.col("change_id").cast("string").alias("change_id")).unionByName(made.select("doc_id", "change_id"))
-        spans, said = _round(now, todo.where(F.col("round") == k).drop("round"), kinds.get(k, set()), places, known, date)
-        now = written(rewritten(now, spans), "runs")
-        made = change_rows(spans) if made is None else made.unionByName(change_rows(spans))
-        results = said if results is None else results.unionByName(said)
-    if made is None:
+    now = written(whole.join(due, "doc_id", "left_semi"), "runs")
+    tops = written(top_ids(now, changes), "tops")
+    kind = F.regexp_replace("type", "_tracked$", "")
+    given = todo.agg(F.collect_set(F.when(kind.isin(*TYPES), kind)).alias("kinds"), F.max("regex").alias("regex")).head()
+    finished, made, results = [whole.join(due, "doc_id", "left_anti")], [], []
+    while todo.head(1):
+        spans, said, cuts = _round(now, todo, set(given.kinds), bool(given.regex), places, tops, date)
+        made.append(change_rows(spans))
+        results.append(said)
+        after = written(rewritten(now, spans), "runs")
+        # What waits for another round; documents that have nothing left are done.
+        waiting = cuts.select("doc_id")
+        todo = written(todo.join(cuts, "doc_id").where("seq >= cut").drop("cut"), "edits")
+        finished.append(after.join(waiting, "doc_id", "left_anti"))
+        tops = written(top_ids(tops.withColumnRenamed("top", "change_id"), made[-1]), "tops")
+        now = after.join(waiting, "doc_id", "left_semi")
+    if not made:
         none = whole.where("false")
-        made = none.select(*KEYS, "change_id", F.lit("").alias("change_type"), "author", "date", "text")
-        results = none.select("doc_id", F.lit(0).alias("seq"), F.lit("").alias("type"), F.lit(True).alias("success"), F.lit("").alias("message"))
-    return whole.join(ids, "doc_id", "left_anti").unionByName(now), made, results
+        return whole, none.select(*KEYS, "change_id", F.lit("").alias("change_type"), "author", "date", "text"), none.select("doc_id", F.lit(0).alias("seq"), F.lit("").alias("type"), F.lit(True).alias("success"), F.lit("").alias("message"))
+    return tuple(reduce(DataFrame.unionByName, rows) for rows in (finished, made, results))
 
 
 def changed_paragraphs(after: DataFrame, before: DataFrame) -> DataFrame:
@@ -303,7 +427,7 @@ def replaced_whole(runs: DataFrame, targets: DataFrame, track: bool = True, auth
     text = visible(whole).join(targets.select(*KEYS, "new"), KEYS)
     kind = F.when(F.col("text") != "", "deletion")
     spans = text.select(*KEYS, F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(0).alias("seq"), F.lit(0).alias("order"), kind.alias("kind"), "new", F.lit("insertion").alias("new_kind"), F.lit(author).alias("author"), F.lit(track).alias("track"), F.col("text").alias("found"))
-    spans = numbered(spans.withColumn("bold", F.lit(None).cast("boolean")).withColumn("italic", F.lit(None).cast("boolean")), whole, None, date)
+    spans = numbered(spans.withColumn("bold", F.lit(None).cast("boolean")).withColumn("italic", F.lit(None).cast("boolean")), top_ids(whole), date)
     return rewritten(whole, spans), change_rows(spans)
 
 

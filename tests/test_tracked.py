@@ -168,3 +168,122 @@ def test_disjoint_edits_that_meet_fail(spark):
 def test_properties_merge(spark):
     row = spark.sql("select map('bold', 'true', 'color', 'red') as a, map('bold', 'false', 'italic', 'true', 'color', null) as b")
     assert row.select(T.merge_properties(F.col("a"), F.col("b")).alias("m")).head().m == {"color": "red", "italic": "true"}
+
+
+def plain_runs(spark, docs):
+    """Documents given as lists of paragraphs, each a list of run texts."""
+    rows = [(d, tracked.BODY, p, r, t, "", False, False) for d, doc in docs.items() for p, line in enumerate(doc) for r, t in enumerate(line)]
+    return spark.createDataFrame(rows, "doc_id string, part string, p_idx int, r_idx int, text string, del_text string, in_ins boolean, in_del boolean")
+
+
+def counted_rounds(monkeypatch):
+    rounds, inner = [], tracked._round
+    monkeypatch.setattr(tracked, "_round", lambda *a: rounds.append(1) or inner(*a))
+    return rounds
+
+
+def test_disjoint_edits_take_one_round(spark, monkeypatch):
+    """Fifty edits of one document, of them twenty in one paragraph; then some that must see what others left."""
+    words = [f"word{i:02}" for i in range(50)]
+    docs = {"a": [[" ".join(words[:20])], *([f"start {w} end"] for w in words[20:])], "b": [["one two"]]}
+    todo = [edit("a", i, ("replace_tracked", "delete", "format_tracked", "replace")[i % 4], find=w, replace=f"new{i}" if i % 4 != 2 else "bold") for i, w in enumerate(words)]
+    rounds = counted_rounds(monkeypatch)
+    after, made, results = tracked.apply(plain_runs(spark, docs), spark.createDataFrame([*todo, edit("b", 1, "delete", find="two")], EDITS))
+    assert len(rounds) == 1 and all(r.success for r in results.collect()) and results.count() == 51
+    want = [f"new{i}" if i % 4 in (0, 3) else "" if i % 4 == 1 else w for i, w in enumerate(words)]
+    assert texts(after.where("doc_id = 'a'"))[tracked.BODY, 0].split(" ") == want[:20]
+    ids = [int(r.change_id) for r in made.collect()]
+    assert sorted(ids) == list(range(1, len(ids) + 1))
+    rounds.clear()
+    chain = [edit("a", 1, "replace", find="word01", replace="mid"), edit("a", 2, "replace", find="mid", replace="far"), edit("a", 3, "delete", find="word30"), edit("a", 4, "delete", find="farword"), edit("b", 1, "delete", find="one")]
+    after, _, results = tracked.apply(plain_runs(spark, docs), spark.createDataFrame(chain, EDITS))
+    assert len(rounds) == 2 and {r.seq: r.success for r in results.where("doc_id = 'a'").collect()} == {1: True, 2: True, 3: True, 4: False}
+    assert texts(after.where("doc_id = 'a'"))[tracked.BODY, 0].startswith("word00 far word02")
+
+
+def random_batch(seed):
+    rng = random.Random(seed)
+    docs, rows = {}, []
+    for d in range(14):
+        docs[str(d)] = [[("".join(rng.choice("ab c") for _ in range(rng.randrange(8)))) for _ in range(rng.randrange(1, 4))] for _ in range(3)]
+        for seq in range(1, 6):
+            kind = rng.choice(["replace", "delete", "insert", "move", "format"]) + rng.choice(["", "_tracked"])
+            find, new, other = (rng.choice(["a", "ab", "b a", "c", "bab", "a c", "aba"]) for _ in range(3))
+            given = {"replace": {"find": find, "replace": new}, "delete": {"text": find}, "insert": {rng.choice(["after", "before"]): find, "text": new}, "format": {"find": find, "replace": rng.choice(["bold", "italic"])}, "move": {"text": find, "after": other}}[kind.split("_")[0]]
+            if kind.startswith("replace") and rng.random() < 0.3:
+                given = {"find": rng.choice(["a(b)", "(?<=a)b", "c.", "b+", "("]), "replace": rng.choice(["$\\1" if rng.random() < 0.5 else "x", "\\\\", "$5.00"]), "regex": True}
+                given["replace"] = given["replace"] if "(b)" in given["find"] else given["replace"].replace("\\1", "z")
+            if rng.random() < 0.15:
+                given["scope"] = rng.choice(["c", "paragraph_containing:ab"])
+            if rng.random() < 0.1:
+                given["ref"] = f"p:{rng.randrange(3)}"
+            rows.append(edit(str(d), seq, kind, occurrence=rng.choice(["first", "last", "all", "2", "[1, 2]", None]), **given))
+    return docs, rows
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_a_batch_is_like_its_edits_one_by_one(spark, monkeypatch, seed):
+    docs, rows = random_batch(seed)
+    runs = plain_runs(spark, docs)
+    rounds = counted_rounds(monkeypatch)
+    after, made, results = (x.collect() for x in tracked.apply(runs, spark.createDataFrame(rows, EDITS)))
+    n = len(rounds)
+    now, change_rows, said = runs, [], []
+    for seq in range(1, 6):
+        known = spark.createDataFrame([(r.doc_id, r.change_id) for r in change_rows], "doc_id string, change_id string")
+        now, new, told = tracked.apply(now, spark.createDataFrame([r for r in rows if r[1] == seq], EDITS), changes=known)
+        change_rows += new.collect()
+        said += told.collect()
+    columns = ["doc_id", "p_idx", "r_idx", "text", "del_text", "in_ins", "in_del", "change_id", "author", "bold", "italic", "fresh", "mark", "formatted", "same"]
+    plain = lambda some, names: sorted(repr(tuple(r[c] for c in names)) for r in some)
+    assert plain(results, ["doc_id", "seq", "success", "message"]) == plain(said, ["doc_id", "seq", "success", "message"])
+    assert plain(made, ["doc_id", "p_idx", "change_id", "change_type", "text"]) == plain(change_rows, ["doc_id", "p_idx", "change_id", "change_type", "text"])
+    assert plain(after, columns) == plain(now.collect(), columns)
+    assert n <= 5
+
+
+def test_regular_expressions(spark):
+    docs = {d: [["ab cost 5 and ab"], ["aab b"]] for d in "abcdefg"}
+    todo = [
+        edit("a", 1, "replace_tracked", find=r"cost (\d)", replace=r"price $5.00 \1 \g<1>", regex=True),
+        edit("b", 1, "replace", find="(?<=a)b", replace="X", regex=True, occurrence="all"),
+        edit("c", 1, "replace", find="(", replace="X", regex=True),
+        edit("c", 2, "delete", find="cost "),
+        edit("d", 1, "replace", find="a(b)", replace=r"\2", regex=True),
+        edit("e", 1, "replace", find=r"(?P<n>\w)b\b", replace=r"\g<n>\\$", regex=True, occurrence="[1, 3]"),
+        edit("f", 1, "replace", find="b*", replace="-", regex=True, occurrence="all"),
+        edit("g", 1, "delete", text="ab$", regex=True, occurrence="all"),
+    ]
+    after, _, results = tracked.apply(plain_runs(spark, docs), spark.createDataFrame(todo, EDITS))
+    said = {(r.doc_id, r.seq): (r.success, r.message) for r in results.collect()}
+    assert {k for k, (ok, _) in said.items() if not ok} == {("c", 1), ("d", 1)}
+    assert all("regular expression can't be read" in said[k][1] for k in (("c", 1), ("d", 1)))
+    got = {d: [texts(after.where(F.col("doc_id") == d))[tracked.BODY, p] for p in (0, 1)] for d in docs}
+    assert got["a"] == ["ab price $5.00 5 5 and ab", "aab b"]
+    assert got["b"] == ["aX cost 5 and aX", "aaX b"]
+    assert got["c"] == ["ab 5 and ab", "aab b"] and got["d"] == ["ab cost 5 and ab", "aab b"]
+    assert got["e"] == ["a\\$ cost 5 and ab", "aa\\$ b"]
+    assert got["f"] == ["a- cost 5 and a-", "aa- -"]
+    assert got["g"] == ["ab cost 5 and ", "aab b"]
+
+
+def test_occurrence_lists(spark):
+    docs = {d: [["x a x"], ["x x"]] for d in "abcd"}
+    todo = [edit(d, 1, "replace", find="x", replace="y", occurrence=o) for d, o in zip("abcd", ("[1, 3]", "2,4", "[1, 9]", "word"), strict=True)]
+    after, _, results = tracked.apply(plain_runs(spark, docs), spark.createDataFrame(todo, EDITS))
+    got = {d: [texts(after.where(F.col("doc_id") == d))[tracked.BODY, p] for p in (0, 1)] for d in docs}
+    assert got == {"a": ["y a x", "y x"], "b": ["x a y", "x y"], "c": ["x a x", "x x"], "d": ["x a x", "x x"]}
+    assert {r.doc_id: r.message for r in results.collect()} == {"a": "replaced 2", "b": "replaced 2", "c": "occurrence [1, 9] of 4", "d": "occurrence word of 4"}
+
+
+def test_overlapping_hits(spark):
+    p = spark.createDataFrame([(1, 0, "banana aaaa"), (1, 1, "ananana"), (1, 2, "AnAna"), (1, 3, "x")], "doc_id long, p_idx int, text string")
+    rows = {(r.p_idx, r.text) for r in p.collect()}
+    for find in ("ana", "aa", "a", "anana"):
+        for fold in (False, True):
+            want = []
+            for i, t in sorted(rows):
+                low = t.lower() if fold else t
+                want += [(i, at, len(find), t[at : at + len(find)]) for at in range(len(t)) if low.startswith(find, at)]
+            got = [(r.p_idx, r.pos, r.len, r.found) for r in search.find_all(p, find, case_sensitive=not fold).orderBy("p_idx", "pos").collect()]
+            assert got == want
