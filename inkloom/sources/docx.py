@@ -437,41 +437,114 @@ def _marked_piece(run: ET.Element, row: dict) -> ET.Element:
 SAVED = "part, p_idx, r_idx, src, text, del_text, in_del, same, copied, fresh, mark, formatted, bold, italic, change_id, author, date"
 
 
-def saved(found: DataFrame, runs: DataFrame) -> DataFrame:
-    """(doc_id, content): packages with edited runs (operators.tracked) in place of the paragraphs' own.
+SPLICED = "part, n, p_idx, root, side, fresh, removed, style, text, gone, ins_id, del_id, mark_id, author, del_author, date"
 
-    Only parts with edited runs are written anew, with their namespaces; every other part keeps its bytes. runs: all runs of
-    each edited paragraph (tracked.changed_paragraphs); a package and its edited runs meet in one row.
+
+def saved(found: DataFrame, runs: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
+    """(doc_id, content): packages with edited runs (operators.tracked) in place of the paragraphs' own, and with lines (operators.blocks) put in, taken out or marked.
+
+    Only parts with edits are written anew, with their namespaces; every other part keeps its bytes. runs: all runs of
+    each edited paragraph (tracked.changed_paragraphs); lines: blocks.spliced. A package and its edits meet in one row.
     """
-    edited = runs.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(*SAVED.split(", ")))).alias("runs"))
-    both = found.select(F.col("doc_id").cast("string").alias("doc_id"), "content").join(edited, "doc_id", "left")
+    both = found.select(F.col("doc_id").cast("string").alias("doc_id"), "content")
+    for edits, columns, name in ((runs, SAVED, "runs"), (lines, SPLICED, "lines")):
+        if edits is None:
+            both = both.withColumn(name, F.lit(None))
+        else:
+            packed = edits.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(*columns.split(", ")))).alias(name))
+            both = both.join(packed, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_saved(c, r) if c and r else c for c, r in zip(batch.column("content").to_pylist(), batch.column("runs").to_pylist(), strict=True)]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("content", "runs", "lines")), strict=True)
+            out = [_saved(c, r or [], x or []) if c and (r or x) else c for c, r, x in rows]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "content"])
 
     return both.mapInArrow(run, "doc_id string, content binary")
 
 
-def _saved(content: bytes, rows: list[dict]) -> bytes:
-    parts: dict[str, dict[int, list[dict]]] = {}
-    for row in rows:
-        parts.setdefault(row["part"], {}).setdefault(row["p_idx"], []).append(row)
+def _saved(content: bytes, runs: list[dict], lines: list[dict]) -> bytes:
+    edited: dict[str, dict[int, list[dict]]] = {}
+    for row in runs:
+        edited.setdefault(row["part"], {}).setdefault(row["p_idx"], []).append(row)
+    spliced: dict[str, list[dict]] = {}
+    for row in lines:
+        spliced.setdefault(row["part"], []).append(row)
     data = io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as new:
         for info in old.infolist():
-            body = old.read(info.filename)
-            new.writestr(info, _part_with(body, parts[info.filename]) if info.filename in parts else body)
+            body, name = old.read(info.filename), info.filename
+            new.writestr(info, _part_with(body, edited.get(name, {}), spliced.get(name, [])) if name in edited or name in spliced else body)
     return data.getvalue()
 
 
-def _part_with(body: bytes, edited: dict[int, list[dict]]) -> bytes:
+def _part_with(body: bytes, edited: dict[int, list[dict]], lines: list[dict]) -> bytes:
     for _, (prefix, uri) in ET.iterparse(io.BytesIO(body), ["start-ns"]):
         if not (prefix.startswith("ns") and prefix[2:].isdigit()):
             ET.register_namespace(prefix, uri)
     root = ET.fromstring(body)
-    for i, p in enumerate(_walk_paragraphs(root)):
+    paragraphs = list(_walk_paragraphs(root))
+    for i, p in enumerate(paragraphs):
         if i in edited:
             _put_runs(p, edited[i])
+    if lines:
+        _splice(root, paragraphs, lines)
     return ET.tostring(root, encoding="UTF-8", xml_declaration=True)
+
+
+def _splice(root: ET.Element, paragraphs: list[ET.Element], lines: list[dict]) -> None:
+    """Puts new paragraphs beside those that they were put by, marks deleted paragraph marks, takes removed paragraphs out."""
+    up = {child: parent for parent in root.iter() for child in parent}
+    beside: dict[int, list[list[ET.Element]]] = {}
+    for row in lines:  # in the order of n
+        if row["fresh"] and not row["removed"]:
+            beside.setdefault(row["root"], [[], []])[row["side"] > 0].append(_paragraph(row))
+        elif row["p_idx"] is not None and row["mark_id"] and not row["removed"]:
+            _mark_deleted(paragraphs[row["p_idx"]], row)
+    for i, (ahead, behind) in beside.items():
+        p = paragraphs[i]
+        at = list(up[p]).index(p)
+        for e in reversed(behind):
+            up[p].insert(at + 1, e)
+        for e in reversed(ahead):
+            up[p].insert(at, e)
+    for row in lines:
+        if row["removed"] and row["p_idx"] is not None:
+            p = paragraphs[row["p_idx"]]
+            if up[p].tag == W + "tc" and len(up[p].findall(W + "p")) == 1:
+                for e in [e for e in p if e.tag != W + "pPr"]:  # a cell keeps a paragraph
+                    p.remove(e)
+            else:
+                up[p].remove(p)
+
+
+def _paragraph(row: dict) -> ET.Element:
+    p = ET.Element(W + "p")
+    if row["style"]:
+        ET.SubElement(ET.SubElement(p, W + "pPr"), W + "pStyle", {W + "val": row["style"]})
+    outer = p
+    if row["ins_id"]:
+        outer = ET.SubElement(outer, W + "ins", _marked(row | {"change_id": row["ins_id"]}))
+    if row["del_id"]:
+        outer = ET.SubElement(outer, W + "del", _marked(row | {"change_id": row["del_id"], "author": row["del_author"]}))
+    text = ET.SubElement(ET.SubElement(outer, W + "r"), W + ("delText" if row["del_id"] else "t"))
+    text.text = row["gone"] if row["del_id"] else row["text"]
+    text.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+    if row["mark_id"]:
+        _mark_deleted(p, row)
+    return p
+
+
+def _mark_deleted(p: ET.Element, row: dict) -> None:
+    properties = p.find(W + "pPr")
+    if properties is None:
+        properties = ET.Element(W + "pPr")
+        p.insert(0, properties)
+    mark = properties.find(W + "rPr")
+    if mark is None:
+        mark = ET.Element(W + "rPr")
+        # What may follow the mark's own properties.
+        after = [i for i, e in enumerate(properties) if e.tag in (W + "sectPr", W + "pPrChange")]
+        properties.insert(after[0] if after else len(properties), mark)
+    if mark.find(W + "del") is None:
+        mark.insert(0, ET.Element(W + "del", _marked(row | {"change_id": row["mark_id"], "author": row["del_author"]})))
