@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from inkloom.operators import diff
 from inkloom.sources.tables import written
 
 KEYS = ["doc_id", "part", "p_idx"]
@@ -35,7 +36,7 @@ RUN = {
     # Where an edited run comes from: the run's number as read, whether it is unchanged, only a copy of its look, newly marked, with what, newly formatted.
     "src": "int", "same": "boolean", "copied": "boolean", "fresh": "boolean", "mark": "string", "formatted": "boolean",
 }
-EDIT = {"seq": "int", "type": "string", "find": "string", "replace": "string", "text": "string", "after": "string", "before": "string", "occurrence": "string", "regex": "boolean", "track": "boolean", "author": "string", "scope": "string", "ref": "string"}
+EDIT = {"minimal": "boolean", "seq": "int", "type": "string", "find": "string", "replace": "string", "text": "string", "after": "string", "before": "string", "occurrence": "string", "regex": "boolean", "track": "boolean", "author": "string", "scope": "string", "ref": "string"}
 TYPES = ("insert", "delete", "replace", "move", "format")
 #: Scopes that name a kind of part.
 PARTS = {"body": BODY, "headers": "word/header%", "footers": "word/footer%", "footnotes": "word/footnotes.xml", "endnotes": "word/endnotes.xml"}
@@ -173,15 +174,15 @@ _SEPARATOR = "\uffff"
 def conflicts(lines: DataFrame, asked: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, cut): the least number of an edit that may have to see what one before it does; documents without such aren't there.
 
-    lines: (doc_id, part, p_idx, text); asked: (doc_id, seq, find, regex, scope, ref), a move's two texts under one number; spans: what each edit would
+    lines: (doc_id, part, p_idx, text); asked: (doc_id, seq, find, regex, minimal, scope, ref), a move's two texts under one number; spans: what each edit would
     change now. Within a paragraph an edit is clear of those before it if all places of its text, overlapping ones too, lie in stretches
     that they leave alone, and the text as they leave it has no more of them. Spans that touch are conflicts, as are regular expressions and scopes
-    that look for text, once anything before them changes. What is left out is only what can't matter, so rounds may be more than needed, never fewer.
+    that look for text, once anything before them changes, and a minimal edit once its paragraph does. What is left out is only what can't matter, so rounds may be more than needed, never fewer.
     """
     reach = F.array_sort(F.collect_list(F.struct("start", "end", "seq", F.when(F.col("kind") == "format", F.col("found")).otherwise(F.coalesce("new", F.lit(""))).alias("new"))))
     touched = spans.groupBy(*KEYS).agg(reach.alias("spans"))
     static = F.col("scope").isNull() | F.col("scope").isin(*PARTS, "tables") | F.col("scope").rlike("^(footnote|endnote|table|section):")
-    edits = asked.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "find", "ref", F.coalesce(F.col("regex") | ~static, F.lit(True)).alias("late"))).alias("edits"))
+    edits = asked.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "find", "ref", "minimal", F.coalesce(F.col("regex") | ~static, F.lit(True)).alias("late"))).alias("edits"))
     first = spans.groupBy("doc_id").agg(F.min("seq").alias("first"))
     # Regular expressions and scopes that look for text wait for whatever comes before them, in any paragraph.
     late = edits.join(first, "doc_id").select("doc_id", F.array_min(F.transform(F.filter("edits", lambda e: e["late"] & (e["seq"] > F.col("first"))), lambda e: e["seq"])).alias("cut"))
@@ -197,7 +198,7 @@ def conflicts(lines: DataFrame, asked: DataFrame, spans: DataFrame) -> DataFrame
         pattern = F.concat(F.lit("(?="), quoted(e["find"]), F.lit(")"))
         count = lambda text: F.regexp_count(text, pattern)
         some = F.contains("text", e["find"]) | F.contains(now, e["find"])
-        return (F.size(before) > 0) & some & ((count(F.col("text")) != count(left)) | (count(now) != count(left)))
+        return (F.size(before) > 0) & some & (e["minimal"] | (count(F.col("text")) != count(left)) | (count(now) != count(left)))
 
     here = lambda e: (e["ref"].isNull() | (e["ref"] == F.concat(F.lit("p:"), F.col("p_idx")))) & ~e["late"]
     seqs = lambda xs: F.transform(xs, lambda x: x["seq"])
@@ -264,10 +265,10 @@ def rewritten(runs: DataFrame, spans: DataFrame) -> DataFrame:
     return rest.unionByName(both.withColumn("r_idx", F.row_number().over(order) - 1).drop("at"))
 
 
-def _round(runs: DataFrame, edits: DataFrame, kinds: set[str], regex: bool, places: DataFrame | None, tops: DataFrame, date: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _round(runs: DataFrame, edits: DataFrame, kinds: set[str], regex: bool, minimal: bool, places: DataFrame | None, unfit: DataFrame | None, tops: DataFrame, date: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(spans, results, cuts): what all edits up to a document's first conflict change; cuts (doc_id, cut) names the edit that waits, with all after it.
 
-    kinds and regex: the kinds of edits there are, and whether any has a regular expression.
+    kinds, regex and minimal: the kinds of edits there are, and whether any has a regular expression or is to change only the words that differ.
     """
     lines = visible(runs)
     if places is not None:
@@ -287,10 +288,10 @@ def _round(runs: DataFrame, edits: DataFrame, kinds: set[str], regex: bool, plac
         wrong = F.coalesce(wrong, unreadable(given(find), given(F.when(F.col("kind") == "replace", F.col("replace")))))
     e = e.withColumn("wrong", wrong).withColumn("seek", find).withColumn("new", F.when(F.col("kind") == "replace", F.col("replace")).when(F.col("kind") == "insert", F.col("text")))
     fit = e.where("wrong is null")
-    ask = fit.select("doc_id", "seq", F.col("seek").alias("find"), "regex", "scope", "ref", F.when(F.col("kind") == "replace", F.col("new")).alias("new"))
+    ask = fit.select("doc_id", "seq", F.col("seek").alias("find"), "regex", "minimal", "scope", "ref", F.when(F.col("kind") == "replace", F.col("new")).alias("new"))
     null = lambda kind: F.lit(None).cast(kind)
     if "move" in kinds:  # a move also looks for its destination, under a number of its own
-        ask = ask.unionByName(fit.where("kind = 'move'").select("doc_id", (-F.col("seq") - 1).alias("seq"), anchor.alias("find"), F.lit(False).alias("regex"), "scope", "ref", null("string").alias("new")))
+        ask = ask.unionByName(fit.where("kind = 'move'").select("doc_id", (-F.col("seq") - 1).alias("seq"), anchor.alias("find"), F.lit(False).alias("regex"), F.lit(False).alias("minimal"), "scope", "ref", null("string").alias("new")))
     hits = written(matches(lines, ask, regex), "matches")
     source = hits.where("seq >= 0").join(fit.select("doc_id", "seq", "occurrence", "kind"), ["doc_id", "seq"])
     got = chosen(source, F.when(F.col("kind") != "move", F.col("occurrence")))
@@ -315,15 +316,16 @@ def _round(runs: DataFrame, edits: DataFrame, kinds: set[str], regex: bool, plac
     e = e.withColumn("wrong", wrong)
     word = F.create_map(*(F.lit(x) for kv in {"insert": "inserted ", "delete": "deleted ", "replace": "replaced ", "move": "moved ", "format": "formatted "}.items() for x in kv))
     results = e.select("doc_id", "seq", "type", F.col("wrong").isNull().alias("success"), F.coalesce("wrong", F.concat(word[F.col("kind")], F.col("done"))).alias("message"))
-    ok = e.where("wrong is null").select("doc_id", "seq", "kind", "track", "author", F.col("after").isNotNull().alias("behind"), F.col("new").alias("put"), F.col("replace").alias("look"))
+    ok = e.where("wrong is null").select("doc_id", "seq", "kind", "track", (F.col("minimal") & F.col("track")).alias("minimal"), "author", F.col("after").isNotNull().alias("behind"), F.col("new").alias("put"), F.col("replace").alias("look"))
     at = got.drop("kind", "occurrence").join(ok, ["doc_id", "seq"])
     none, text = F.lit(None), lambda c: F.col(c).cast("string")
     place = F.when(F.col("behind"), F.col("end")).otherwise(F.col("start"))
     row = lambda df, start, end, kind, new, new_kind: df.select(*KEYS, start.alias("start"), end.alias("end"), "seq", F.lit(0).alias("order"), kind.cast("string").alias("kind"), new.cast("string").alias("new"), F.lit(new_kind).cast("string").alias("new_kind"), "author", "track", "found", "look")
+    fine = lambda: [by_hunks(row(at.where("kind = 'replace' and minimal"), F.col("start"), F.col("end"), F.lit("deletion"), text("new"), "insertion"), revised(runs, unfit))] if minimal else []
     made = {
         "insert": lambda: [row(at.where("kind = 'insert'"), place, place, none, text("put"), "insertion")],
         "delete": lambda: [row(at.where("kind = 'delete'"), F.col("start"), F.col("end"), F.lit("deletion"), none, None)],
-        "replace": lambda: [row(at.where("kind = 'replace'"), F.col("start"), F.col("end"), F.lit("deletion"), text("new"), "insertion")],
+        "replace": lambda: [row(at.where("kind = 'replace' and not minimal"), F.col("start"), F.col("end"), F.lit("deletion"), text("new"), "insertion"), *fine()],
         "format": lambda: [row(at.where("kind = 'format'"), F.col("start"), F.col("end"), F.lit("format"), none, None)],
     }
     rows = [r for kind, f in made.items() if kind in kinds for r in f()]
@@ -363,22 +365,44 @@ def change_rows(spans: DataFrame) -> DataFrame:
     return gone.unionByName(come)
 
 
+def revised(runs: DataFrame, unfit: DataFrame | None = None) -> DataFrame:
+    """(doc_id, part, p_idx, unfit): paragraphs that hold tracked changes, and those given (diff.viability); they are changed as a whole, not by hunks."""
+    marks = runs.where(F.coalesce("in_ins", F.lit(False)) | F.coalesce("in_del", F.lit(False)) | F.col("change_id").isNotNull()).select(*KEYS)
+    rows = marks if unfit is None else marks.unionByName(unfit.select(*KEYS))
+    return rows.distinct().withColumn("unfit", F.lit(True))
+
+
+def by_hunks(spans: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Spans that replace found by new, cut to the words that differ: a span for each hunk, deleted before what is put in its place.
+
+    A paragraph that isn't fit, and a text with too many hunks, is replaced whole; a difference in white space alone is none.
+    """
+    rows = spans.join(revisions, KEYS, "left").withColumn("h", diff.hunks(F.when(F.col("unfit").isNull(), F.col("found")), F.col("new")))
+    whole = rows.where("h is null").select(*spans.columns)
+    fine = rows.where("h is not null").withColumn("h", F.explode("h"))
+    part = {
+        "start": F.col("start") + F.col("h.start"), "end": F.col("start") + F.col("h.end"), "kind": F.when(F.col("h.old") != "", F.lit("deletion")), "found": F.col("h.old"), "new": F.col("h.new"),
+    }
+    return whole.unionByName(fine.select(*(part.get(c, F.col(c)).alias(c) for c in spans.columns)))
+
+
 def completed(edits: DataFrame, author: str) -> DataFrame:
     """Edits with all columns of EDIT; those without an author get the one given."""
     for c, kind in EDIT.items():
         if c not in edits.columns:
             edits = edits.withColumn(c, F.lit(None).cast(kind))
-    flags = {c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)) for c in ("regex", "track")} | {"author": F.coalesce("author", F.lit(author))}
+    flags = {c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)) for c in ("regex", "track", "minimal")} | {"author": F.coalesce("author", F.lit(author))}
     return edits.select("doc_id", *(flags.get(c, F.col(c).cast(k)).alias(c) for c, k in EDIT.items()))
 
 
-def apply(runs: DataFrame, edits: DataFrame, author: str = "Inkloom", date: str = "2024-01-01T00:00:00Z", places: DataFrame | None = None, changes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def apply(runs: DataFrame, edits: DataFrame, author: str = "Inkloom", date: str = "2024-01-01T00:00:00Z", places: DataFrame | None = None, changes: DataFrame | None = None, unfit: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(runs after, changes made, results): edits of each document in the order of seq.
 
     edits: (doc_id, seq, type, find, replace, text, after, before, occurrence, regex, track, author, scope, ref), further columns
     ignored, missing ones null; occurrence is first, last, all, a number or a list of numbers ([1, 3]); types insert, delete, replace, move and format, each with _tracked. An edit that can't be made
     changes nothing and says why; documents without edits pass by. places: (doc_id, part, p_idx) with section or tbl_idx, for scopes
-    of sections and tables. changes: the documents' changes so far, whose ids are taken.
+    of sections and tables. changes: the documents' changes so far, whose ids are taken. A tracked replacement that is minimal marks
+    only the words that differ, where its paragraph has no changes yet and isn't among unfit (doc_id, part, p_idx).
     """
     todo = written(completed(edits, author), "edits")
     due = todo.select("doc_id").distinct()
@@ -386,10 +410,10 @@ def apply(runs: DataFrame, edits: DataFrame, author: str = "Inkloom", date: str
     now = written(whole.join(due, "doc_id", "left_semi"), "runs")
     tops = written(top_ids(now, changes), "tops")
     kind = F.regexp_replace("type", "_tracked$", "")
-    given = todo.agg(F.collect_set(F.when(kind.isin(*TYPES), kind)).alias("kinds"), F.max("regex").alias("regex")).head()
+    given = todo.agg(F.collect_set(F.when(kind.isin(*TYPES), kind)).alias("kinds"), F.max("regex").alias("regex"), F.max("minimal").alias("minimal")).head()
     finished, made, results = [whole.join(due, "doc_id", "left_anti")], [], []
     while todo.head(1):
-        spans, said, cuts = _round(now, todo, set(given.kinds), bool(given.regex), places, tops, date)
+        spans, said, cuts = _round(now, todo, set(given.kinds), bool(given.regex), bool(given.minimal), places, unfit, tops, date)
         made.append(change_rows(spans))
         results.append(said)
         after = written(rewritten(now, spans), "runs")
@@ -431,6 +455,19 @@ def replaced_whole(runs: DataFrame, targets: DataFrame, track: bool = True, auth
     return rewritten(whole, spans), change_rows(spans)
 
 
+def replaced_minimal(runs: DataFrame, targets: DataFrame, unfit: DataFrame | None = None, author: str = "Inkloom", date: str = "2024-01-01T00:00:00Z") -> tuple[DataFrame, DataFrame]:
+    """(runs, changes) once some paragraphs read as another version of them does, only the words that differ marked: targets (doc_id, part, p_idx, new)."""
+    whole = prepared(runs)
+    text = visible(whole).join(targets.select(*KEYS, F.coalesce("new", F.lit("")).alias("new")), KEYS).where("text <> new")
+    null = F.lit(None).cast("boolean")
+    spans = text.select(
+        *KEYS, F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(0).alias("seq"), F.lit(0).alias("order"), F.when(F.col("text") != "", F.lit("deletion")).alias("kind"), "new", F.lit("insertion").alias("new_kind"),
+        F.lit(author).alias("author"), F.lit(True).alias("track"), F.col("text").alias("found"), null.alias("bold"), null.alias("italic"),
+    )
+    spans = written(numbered(by_hunks(spans, revised(whole, unfit)), top_ids(whole), date), "hunks")
+    return rewritten(whole, spans), change_rows(spans)
+
+
 def in_cells(paragraphs: DataFrame, cells: DataFrame) -> DataFrame:
     """Targets for replaced_whole from cells (doc_id, tbl_idx, row_idx, cell_idx, new): the text goes to a cell's first paragraph, its others are emptied."""
     first = F.row_number().over(Window.partitionBy("doc_id", "tbl_idx", "row_idx", "cell_idx").orderBy("p_idx")) == 1

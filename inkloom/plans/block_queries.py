@@ -114,3 +114,20 @@ def edit_batch(spark, d):
     """A dozen edits that can't meet, and one that sees what they left."""
     rows = [{"type": "replace", "find": w, "replace": f"<{i}>", "occurrence": "all"} for i, w in enumerate(_WORDS)]
     return _lines(spark, d, tracked.apply(_runs(spark, d), _edits(spark, d, *rows, {"type": "replace", "find": "<1>", "replace": "<one>", "occurrence": "all"}))[0])
+
+
+@query(f"WITH {P} SELECT doc_id, p_idx, replace(text, 'worthless', 'worth little') AS text, text AS before FROM p WHERE contains(text, 'worthless')")
+def hunks_applied(spark, d):
+    """Lines brought to another version, only the words that differ marked: what stands there now, and what comes back when all is rejected."""
+    runs = _runs(spark, d).where("text like '%worthless%'")
+    after, _ = tracked.replaced_minimal(runs, runs.select(*tracked.KEYS, F.regexp_replace("text", "worthless", "worth little").alias("new")))
+    back = tracked.visible(after.where("not in_ins").withColumn("text", F.concat("text", F.coalesce("del_text", F.lit("")))))
+    return tracked.visible(after).join(back.withColumnRenamed("text", "before"), tracked.KEYS).select("doc_id", "p_idx", "text", "before")
+
+
+@query(f"""WITH {P}, {_SPLIT.format(find='with that')} SELECT doc_id, CAST(CAST(2 * k - 1 AS BIGINT) AS VARCHAR) AS change_id, 'deletion' AS change_type, 'that' AS text FROM h WHERE i > 0
+UNION ALL SELECT doc_id, CAST(CAST(2 * k AS BIGINT) AS VARCHAR), 'insertion', 'this' FROM h WHERE i > 0""")
+def edit_minimal(spark, d):
+    """A replacement that keeps its first word marks the second alone."""
+    todo = _edits(spark, d, {"type": "replace_tracked", "find": "with that", "replace": "with this", "occurrence": "all"}).withColumn("minimal", F.lit(True))
+    return tracked.apply(_runs(spark, d), todo)[1].select("doc_id", "change_id", "change_type", "text")

@@ -287,3 +287,59 @@ def test_overlapping_hits(spark):
                 want += [(i, at, len(find), t[at : at + len(find)]) for at in range(len(t)) if low.startswith(find, at)]
             got = [(r.p_idx, r.pos, r.len, r.found) for r in search.find_all(p, find, case_sensitive=not fold).orderBy("p_idx", "pos").collect()]
             assert got == want
+
+
+def rejected(after):
+    """What was there before: without insertions, with deletions back."""
+    return tracked.visible(after.where("not coalesce(in_ins, false)").withColumn("text", F.concat("text", F.coalesce("del_text", F.lit("")))))
+
+
+def test_minimal_edits(spark, monkeypatch):
+    """Only words that differ are marked, over run edges; paragraphs with changes, or unfit ones, are replaced whole."""
+    docs = {"a": [["pay within 3", "0 days of the notice", " then"], ["pay within 30 days of the notice"]], "b": [["pay within 30 days of the notice"]], "c": [["pay within 30 days of the notice"]], "d": [["x  y"]]}
+    rows = [edit(d, 1, "replace_tracked", find="within 30 days of the notice", replace="within 45 days of a written notice") for d in "abc"] + [edit("d", 1, "replace_tracked", find="x  y", replace="x y")]
+    rows += [edit("a", 2, "replace_tracked", find="of a written", replace="of any written")]
+    todo = spark.createDataFrame(rows, EDITS).withColumn("minimal", F.lit(True))
+    unfit = spark.createDataFrame([("c", tracked.BODY, 0)], "doc_id string, part string, p_idx int")
+    rounds = counted_rounds(monkeypatch)
+    after, made, results = tracked.apply(plain_runs(spark, docs), todo, unfit=unfit)
+    assert all(r.success for r in results.collect()) and len(rounds) == 2
+    got = {}
+    for r in sorted(made.collect(), key=lambda r: int(r.change_id)):
+        got.setdefault(r.doc_id, []).append((r.change_type, r.text))
+    fine = [("deletion", "30"), ("insertion", "45"), ("deletion", "the"), ("insertion", "a written")]
+    whole = [("deletion", "within 30 days of the notice"), ("insertion", "within 45 days of a written notice")]
+    # The second edit of a meets a paragraph with changes.
+    assert got == {"a": [*fine, ("deletion", "of a written"), ("insertion", "of any written")], "b": fine, "c": whole}
+    seen = {(r.doc_id, r.p_idx): r.text for r in tracked.visible(after).collect()}
+    assert seen[("a", 0)] == "pay within 45 days of any written notice then" and seen[("b", 0)] == seen[("c", 0)] == "pay within 45 days of a written notice" and seen[("d", 0)] == "x  y"
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_hunks_projected_onto_runs(spark, seed):
+    """Random versions of paragraphs, cut into runs anywhere: accepting gives the new one, rejecting the old, and what both have isn't marked."""
+    rng = random.Random(seed)
+    words = ["red", "owl", "sat", "on", "a", "mat", ",", "."]
+    docs, rows = {}, []
+    for d in range(30):
+        old = [rng.choice(words) for _ in range(rng.randrange(8))]
+        new = [w for w in old if rng.random() < 0.8] + ([rng.choice(words)] if rng.random() < 0.5 else [])
+        if rng.random() < 0.5:
+            new.insert(rng.randrange(len(new) + 1), "new")
+        text, cut = " ".join(old), rng.randrange(1, 6)
+        docs[str(d)] = [[text[i : i + cut] for i in range(0, len(text), cut)] or [""]]
+        rows.append((str(d), tracked.BODY, 0, " ".join(new)))
+    runs = plain_runs(spark, docs)
+    after, made = tracked.replaced_minimal(runs, spark.createDataFrame(rows, "doc_id string, part string, p_idx int, new string"))
+    now, was = ({r.doc_id: r.text for r in f.collect()} for f in (tracked.visible(after), rejected(after)))
+    marked = {}
+    for r in made.collect():
+        marked.setdefault(r.doc_id, []).append((r.change_type, r.text))
+    for d, _, _, new in rows:
+        old = "".join(docs[d][0])
+        want = diff.text_hunks(old, new)
+        kept = old
+        for h in reversed(want or []):
+            kept = kept[: h["start"]] + h["new"] + kept[h["end"] :]
+        assert was.get(d, "") == old and now.get(d, "") == kept and kept.split() == new.split()
+        assert sorted(marked.get(d, [])) == sorted([("deletion", h["old"]) for h in want if h["old"]] + [("insertion", h["new"]) for h in want if h["new"]])
