@@ -4,11 +4,14 @@
 2. Runs with equal spans repeat as a whole. They are counted by a partial aggregate.
 3. An anchor under which two different spans occur may still hold windows common to both. One
    occurrence of each such span is fetched. Fingerprints first drop the windows that nothing in
-   their group can equal, and stretches that stand twice are known to repeat. What is left goes to
-   suffix arrays (lyndon.py), each over whole groups of one anchor, which put equal windows next to
-   each other. Equal windows have equal anchors, so no pair is split over two arrays. Only an
-   anchor with more spans than a task may hold is handled by hashing its windows alone, dealt by
-   their hash.
+   their group can equal; suffix arrays (lyndon.py), each over whole groups of one anchor, decide
+   all others: they put equal windows next to each other. A stretch that stands in several spans
+   goes into its array twice, and what is found there holds for all of them.
+4. Equal windows have equal anchors at equal places, so no pair is split over two arrays. A group of
+   more bytes than an array may have is split so that this still holds: by ranges of the anchor's
+   place in the window (STEPS), and by the bytes that all windows of a range share. The last range
+   is one place, where the shared bytes are the window itself: such windows, however many they are,
+   are counted by their bytes.
 
 Defined results: null is an empty text; texts shorter than `width` lose nothing; repeated rows are
 copies of each other; further columns are ignored; doc_id may be null or repeat.
@@ -26,17 +29,17 @@ from pyspark.sql import functions as F
 
 from .common import grouped, partitions, small_batches, stash, text_key
 from .lyndon import suffix_array
-from .windows import BYTES, PIECE, anchors, flag_runs, merged, mix, pieces, prefix, span_hash
+from .windows import BYTES, PIECE, POSITION, anchors, flag_runs, gram_hashes, merged, pieces, prefix, span_hash
 
 WIDTH = 400
 GRAM = 32
-#: Bytes of one suffix array.
+#: Most bytes of one suffix array, which takes some 130 bytes of memory a byte.
 ARRAY_BYTES = 1 << 19
-#: Different spans under one anchor from which windows are hashed instead, and those hashed in one group.
-MANY_SPANS = 20_000
-HASHED_SPANS = 20_000
+#: Places of the anchor that windows of one group may have, once a group is split; the last is 1.
+STEPS = (64, 8, 1)
 
 RUN = "doc_id long, key long, a int, n int, g long, s long"
+CONTENT = "doc_id long, key long, a int, g long, s long, cnt long, content binary"
 
 
 def runs_of(texts: list[bytes], width: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -105,43 +108,40 @@ def stretches(contents: list[bytes], width: int) -> list[list[tuple[int, int]]]:
 def _in_arrays(width: int):
     """Rows (doc_id, key, a, g, s, cnt, content) in order of g -> spans (doc_id, key, a, e) that repeat in part.
 
-    Of a group only stretches that may repeat are read on, each once; those that stand alone in their
-    group are decided by a suffix array, in which the group's other stretches stand too.
+    A group has ARRAY_BYTES / 2 bytes at most; of it only stretches that may repeat go into an array.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool: list[tuple[tuple | None, int, bytes]] = []
+        pool: list[tuple[list[tuple[tuple, int]], bytes]] = []
         size = 0
         group: list[tuple] = []
         found: list[tuple] = []
 
         def close() -> None:
-            nonlocal size
-            once: dict[bytes, tuple[tuple, int] | None] = {}
+            """The group at hand goes to the array at hand, or, if that would grow too large, to a new one."""
+            nonlocal size, pool
+            holders: dict[bytes, list[tuple[tuple, int]]] = {}
             for row, ranges in zip(group, stretches([r[6] for r in group], width), strict=True):
                 for i, j in ranges:
-                    content = row[6][i : j - 1 + width]
-                    if content in once:
-                        first = once[content]
-                        if first:
-                            report(first[0], first[1], len(content))
-                            once[content] = None
-                        report(row, i, len(content))
-                    else:
-                        once[content] = (row, i)
-            if len(once) > 1 and any(once.values()):
-                for content, owner in once.items():
-                    pool.append((owner[0] if owner else None, owner[1] if owner else 0, content))
-                    size += len(content)
+                    holders.setdefault(row[6][i : j - 1 + width], []).append((row, i))
+            more = sum(len(c) * min(2, len(h)) for c, h in holders.items())
+            if size + more > ARRAY_BYTES:
+                solve()
+                pool, size = [], 0
+            pool += [(h, c) for c, h in holders.items()]
+            size += more
 
         def report(row: tuple, i: int, length: int) -> None:
             if row[5] == 1:
                 found.append((row[0], row[1], row[2] + i, row[2] + i + length))
 
         def solve() -> None:
-            for (row, at, _), flags in zip(pool, array_repeats([c for _, _, c in pool], width), strict=True):
-                if row:
-                    for i, j in flag_runs(flags):
+            copies = [c for h, c in pool for _ in h[:2]]
+            flags = iter(array_repeats(copies, width) if copies else [])
+            for holders, _ in pool:
+                here = [next(flags) for _ in holders[:2]][0]
+                for i, j in flag_runs(here):
+                    for row, at in holders:
                         report(row, at + i, j - i - 1 + width)
 
         seen: set[int] = set()
@@ -150,9 +150,6 @@ def _in_arrays(width: int):
                 if group and row[3] != group[0][3]:
                     close()
                     group, seen = [], set()
-                    if size >= ARRAY_BYTES:
-                        solve()
-                        pool, size = [], 0
                     if len(found) > 10_000:
                         yield _spans(found)
                         found = []
@@ -173,53 +170,46 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "key", "a", "e"])
 
 
-def _hashed(width: int):
-    """As _in_arrays, for rows (…, p, part, of, …): of the windows of an anchor, those at places part modulo of."""
-
-    def solve(rows: list[tuple]) -> list[tuple]:
-        first, second, owner, at = [], [], [], []
-        for k, (_, _, _, _, _, _, content, part, of) in enumerate(rows):
-            data = np.frombuffer(content, np.uint8)
-            i = np.arange(len(content) - width + 1)
-            sums, more = prefix(BYTES[data]), prefix(mix(BYTES[data] ^ np.uint64(0x5BD1E995)))
-            h = span_hash(sums, i, i + width)
-            keep = h % np.uint64(of) == np.uint64(part)
-            first.append(h[keep])
-            second.append(span_hash(more, i[keep], i[keep] + width))
-            owner.append(np.full(int(keep.sum()), k))
-            at.append(i[keep])
-        both = np.empty(sum(map(len, first)), [("x", np.uint64), ("y", np.uint64)])
-        both["x"], both["y"] = np.concatenate(first), np.concatenate(second)
-        _, back, count = np.unique(both, return_inverse=True, return_counts=True)
-        hit = count[back] > 1
-        owner, at = np.concatenate(owner)[hit], np.concatenate(at)[hit]
-        found = []
-        for k in np.unique(owner).tolist():
-            if rows[k][5] == 1:
-                places = at[owner == k]
-                flags = np.zeros(int(places.max()) + 1, bool)
-                flags[places] = True
-                found += [(rows[k][0], rows[k][1], rows[k][2] + i, rows[k][2] + j - 1 + width) for i, j in flag_runs(flags)]
-        return found
+def anchor_place(content: bytes, gram: int) -> int:
+    """Where the anchor of a run's windows stands in the run's bytes: the least gram, which all of its windows hold."""
+    sums = prefix(BYTES[np.frombuffer(content, np.uint8)])
+    at = np.arange(len(content) - gram + 1)
+    return int(np.argmin(gram_hashes(sums, gram) & ~POSITION | at.astype(np.uint64)))
+
+
+def ranges_of(content: bytes, width: int, gram: int, step: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(range, first window, last window, shared bytes) of a run's windows, by the place of the anchor in the window in ranges of step places."""
+    place, last = anchor_place(content, gram), len(content) - width
+    for k in range((place - last) // step, place // step + 1):
+        low = k * step
+        start = place - low
+        yield k, max(0, start - step + 1), min(last, start), content[start : max(start, start - step + 1 + width)]
+
+
+def _split(width: int, gram: int, step: int):
+    """Rows (doc_id, key, a, g, s, cnt, content) -> as many rows for the ranges of each, in groups of their shared bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        last, seen = None, set()
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "a", "g", "s", "cnt", "content", "part", "of")), strict=True):
-                if (row[3], row[7]) != last:
-                    if held:
-                        yield _spans(solve(held))
-                    held, last, seen = [], (row[3], row[7]), set()
-                if row[4] not in seen:
-                    seen.add(row[4])
-                    held.append(row)
-        if held:
-            yield _spans(solve(held))
+            out = []
+            for doc_id, key, a, g, s, cnt, content in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "a", "g", "s", "cnt", "content")), strict=True):
+                for k, i, j, shared in ranges_of(content, width, gram, step):
+                    name = hashlib.blake2b(shared, digest_size=8, salt=k.to_bytes(8, "little"), key=g.to_bytes(8, "little", signed=True)).digest()
+                    own = hashlib.blake2b(k.to_bytes(8, "little"), digest_size=8, key=s.to_bytes(8, "little", signed=True)).digest()
+                    out.append((doc_id, key, a + i, int.from_bytes(name, "little", signed=True), int.from_bytes(own, "little", signed=True), cnt, content[i : j + width]))
+            for i in range(0, len(out), 4096):
+                columns = zip(*out[i : i + 4096], strict=True)
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "key", "a", "g", "s", "cnt", "content"])
 
     return run
 
 
+def several(rows: DataFrame, *keys: str) -> DataFrame:
+    """The keys under which more than one span stands, told by its least and greatest."""
+    return rows.groupBy(*keys).agg(F.min("s").alias("s0"), F.max("s").alias("s1")).where("s0 <> s1").select(*keys)
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, key, spans): for each text with repeats its removed byte ranges, array of (a, e), not yet merged."""
     spark = docs.sparkSession
@@ -227,24 +217,28 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     texts = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
     runs = stash(texts.mapInArrow(_runs(width, gram), RUN), "byte-runs")
     spans = runs.groupBy("g", "s").agg(F.count("*").alias("cnt"), F.min(F.struct("doc_id", "key", "a", "n")).alias("at"))
-    # An anchor that has one span only can be told by its least and greatest.
-    shared = runs.groupBy("g").agg(F.min("s").alias("s0"), F.max("s").alias("s1")).where("s0 <> s1").select("g")
+    shared = several(runs, "g")
     # Written, so that the join with all runs has plain exchanges on both sides: Spark splits a span that stands everywhere.
     again = stash(spans.where("cnt > 1").select("g", "s"), "byte-repeats")
     whole = runs.join(again, ["g", "s"], "left_semi").select("doc_id", "key", "a", F.expr(f"a + n - 1 + {width}").alias("e"))
     needed = stash(spans.join(shared, "g").select("g", "s", "cnt", "at.*"), "byte-spans")
-    load = needed.groupBy("g").agg(F.count("*").alias("spans"), F.max("cnt").alias("m")).where(F.col("spans") > MANY_SPANS).select("g", "spans")
-    content = (
-        needed.join(texts.withColumnRenamed("doc_id", "d").withColumnRenamed("key", "k"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
-        .select("doc_id", "key", "a", "g", "s", "cnt", F.expr(f"substring(text, a + 1, n + {width - 1})").alias("content"))
-        .join(load, "g", "left")
-    )
-    content = stash(content, "byte-contents")
-    few = content.where("spans is null").drop("spans").repartition(partitions(spark) * 2, "g").sortWithinPartitions("g")
-    many = content.where("spans is not null").withColumn("of", F.ceil(F.col("spans") / HASHED_SPANS).cast("int")).withColumn("part", F.explode(F.expr("sequence(0, of - 1)")))
-    many = many.select("doc_id", "key", "a", "g", "s", "cnt", "content", "part", "of").repartition(partitions(spark), "g", "part").sortWithinPartitions("g", "part")
+    content = needed.join(texts.withColumnRenamed("doc_id", "d").withColumnRenamed("key", "k"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
+    content = stash(content.select("doc_id", "key", "a", "g", "s", "cnt", F.expr(f"substring(text, a + 1, n + {width - 1})").alias("content")), "byte-contents")
     schema = "doc_id long, key long, a int, e int"
-    found = whole.unionByName(few.mapInArrow(_in_arrays(width), schema)).unionByName(many.mapInArrow(_hashed(width), schema))
+    found = whole
+    for step in STEPS:
+        large = content.groupBy("g").agg(F.sum(F.length("content")).alias("bytes")).where(F.col("bytes") > ARRAY_BYTES // 2)
+        large = stash(large.select("g"), "byte-large")
+        fit = content.join(large, "g", "left_anti").repartition(partitions(spark) * 2, "g").sortWithinPartitions("g")
+        found = found.unionByName(fit.mapInArrow(_in_arrays(width), schema))
+        if not large.head(1):
+            break
+        rest = stash(content.join(large, "g", "left_semi").mapInArrow(_split(width, gram, step), CONTENT), "byte-ranges")
+        content = stash(rest.join(several(rest, "g"), "g", "left_semi"), "byte-contents")
+    else:
+        again = stash(several(content, "g", "content"), "byte-windows")
+        same = content.where("cnt = 1").join(again, ["g", "content"], "left_semi")
+        found = found.unionByName(same.select("doc_id", "key", "a", F.expr(f"a + {width}").alias("e")))
     return found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
 
 

@@ -17,7 +17,7 @@ import numpy as np
 
 #: Symbols handled at once; longer texts are cut into overlapping pieces.
 PIECE = 1 << 20
-_POSITION = np.uint64((1 << 24) - 1)
+POSITION = np.uint64((1 << 24) - 1)
 _M = 0x9E3779B97F4A7C15 | 1
 _FULL = (1 << 64) - 1
 
@@ -63,6 +63,11 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
+def gram_hashes(sums: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the gram that begins at each place, from the sums that prefix() gives."""
+    return mix((sums[gram:] - sums[:-gram]) * powers(len(sums) - 1)[1][: len(sums) - gram])
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     n = len(x)
     rows = -(-n // width)
@@ -84,10 +89,9 @@ def anchors(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int
     none = np.zeros(0, np.int64)
     if n < width:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64), sums
-    inverse = powers(n)[1]
-    grams = mix((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
-    ranked = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
-    least = (sliding_min(ranked, width - gram + 1) & _POSITION).astype(np.int64)
+    grams = gram_hashes(sums, gram)
+    ranked = (grams & ~POSITION) | np.arange(len(grams), dtype=np.uint64)
+    least = (sliding_min(ranked, width - gram + 1) & POSITION).astype(np.int64)
     edge = np.zeros(n + 1, np.int32)
     long = ends - starts >= width
     np.add.at(edge, starts[long], 1)

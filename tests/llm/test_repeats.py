@@ -54,9 +54,11 @@ def test_suffix_dedup(spark, seed):
     assert got(suffix_dedup.remove_repeats(frame(spark, data), 24, 6), 5) == brute_bytes(data, 24)
 
 
-def test_suffix_dedup_many_spans_under_one_anchor(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "MANY_SPANS", 3)
-    monkeypatch.setattr(suffix_dedup, "HASHED_SPANS", 2)
+@pytest.mark.parametrize("most", [40, 300, 4_000])
+def test_suffix_dedup_large_groups(spark, monkeypatch, most):
+    """Groups that no array may hold are split by ranges of the anchor's place, down to single windows; no array has more bytes than it may."""
+    monkeypatch.setattr(suffix_dedup, "ARRAY_BYTES", most)
+    monkeypatch.setattr(suffix_dedup, "STEPS", (8, 3, 1))
     rng = random.Random(3)
     base = [chr(97 + rng.randrange(26)) for _ in range(90)]
     data = []
@@ -65,9 +67,47 @@ def test_suffix_dedup_many_spans_under_one_anchor(spark, monkeypatch):
         t[rng.randrange(90)] = "#"
         t[rng.randrange(90)] = "%"
         data.append((i, "".join(t), None, None, 90))
+    data += [(i, "".join(base) + " ends alike" * (i % 2), None, None, 90) for i in range(50, 56)] + [(7, data[7][1], None, None, 90)]
     assert got(suffix_dedup.remove_repeats(frame(spark, data), 24, 6), 5) == brute_bytes(data, 24)
 
 
+def test_arrays_are_bounded(monkeypatch):
+    """Whatever groups come, an array has ARRAY_BYTES at most; one of that size takes little memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    sizes, inner = [], suffix_dedup.array_repeats
+    monkeypatch.setattr(suffix_dedup, "array_repeats", lambda contents, width: sizes.append(sum(map(len, contents))) or inner(contents, width))
+    monkeypatch.setattr(suffix_dedup, "ARRAY_BYTES", 1 << 16)
+    rng = random.Random(1)
+    rows, shared = [], bytes(rng.randrange(97, 123) for _ in range(500))
+    for g in range(60):
+        for k in range(rng.randrange(2, 60)):
+            if sum(len(r[6]) for r in rows if r[3] == g) < (1 << 15) - 800:
+                rows.append((k, 0, 0, g, 100 * g + k, 1, (shared + bytes(rng.randrange(97, 123) for _ in range(rng.randrange(300))))))
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "a", "g", "s", "cnt", "content"])
+    suffix_dedup.stretches([shared], 400)  # powers that are kept for all arrays
+    tracemalloc.start()
+    spans = [s for out in suffix_dedup._in_arrays(400)(iter([batch])) for s in out.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(spans) == len(rows) and all((s["a"], s["e"] >= 500) == (0, True) for s in spans)
+    assert max(sizes) <= 1 << 16 and len(sizes) > 5 and peak < 200 * (1 << 16)
+
+
+def test_ranges_hold_every_window_once():
+    rng = random.Random(6)
+    for _ in range(20):
+        content = bytes(rng.randrange(97, 100) for _ in range(rng.randrange(24, 42)))
+        for step in (8, 3, 1):
+            ranges = list(suffix_dedup.ranges_of(content, 24, 6, step))
+            assert sorted(w for _, i, j, _ in ranges for w in range(i, j + 1)) == list(range(len(content) - 23))
+            assert all(shared in content[w : w + 24] for _, i, j, shared in ranges for w in range(i, j + 1))
+
+
+
 def test_suffix_dedup_small_arrays(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "ARRAY_BYTES", 64)
     data = rows(7)
