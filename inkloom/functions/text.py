@@ -37,6 +37,16 @@ def normalize_quotes(text: Column) -> Column:
     return F.translate(text, "".join(QUOTES), "".join(QUOTES.values()))
 
 
+def denormalize_quotes(text: Column) -> Column:
+    """Typographic quotes as straight ones, as texts are typed that were written with straight ones."""
+    return normalize_quotes(text)
+
+
+def restored(original: Column, start: Column, size: Column) -> Column:
+    """What stands in the text itself where its normalised form has a match: normalisation goes one for one, so places are the same in both."""
+    return F.substr(original, start + 1, size)
+
+
 def has_smart_quotes(text: Column) -> Column:
     return text.rlike("[\u2018\u2019\u201c\u201d]")
 

@@ -115,6 +115,18 @@ def decided_changes(changes: DataFrame, accept: bool, chosen: Column | None = No
     return changes.where(~chosen), changes.where(chosen).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+def decided_groups(runs: DataFrame, members: DataFrame, accept: bool, *names: str) -> tuple[DataFrame, DataFrame]:
+    """(runs, (doc_id, group_name, n) decided) once the changes of some groups are accepted or rejected.
+
+    members: (doc_id, change_id, group_name), as edits record it (tracked.members) or as it was saved; ids that the runs no longer have count for nothing.
+    """
+    chosen = members.where(F.col("group_name").isin(*names)).select("doc_id", F.col("change_id").cast("string").alias("change_id"), "group_name").distinct()
+    mine = chosen.select("doc_id", "change_id").distinct().withColumn("_mine", F.lit(True))
+    marked = runs.join(mine, ["doc_id", "change_id"], "left").withColumn("_mine", F.coalesce("_mine", F.lit(False)))
+    counted = runs.where("change_id is not null").select("doc_id", F.col("change_id").cast("string").alias("change_id")).distinct().join(chosen, ["doc_id", "change_id"]).groupBy("doc_id", "group_name").agg(F.count("*").alias("n"))
+    return decided(marked, accept, F.col("_mine")).drop("_mine").select(*runs.columns), counted
+
+
 def groups(changes: DataFrame) -> DataFrame:
     """(doc_id, group_name, ids, n) of changes with a group_name."""
     return changes.where("group_name is not null").groupBy("doc_id", "group_name").agg(F.sort_array(F.collect_list("change_id")).alias("ids"), F.count("*").alias("n"))

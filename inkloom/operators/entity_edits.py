@@ -64,7 +64,7 @@ def remove_links(links: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def add_comments(comments: DataFrame, ranges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Adds comments new (doc_id, p_idx, marked_text, author, text), from id 0 where a document has none."""
+    """Adds comments new (doc_id, p_idx, marked_text, author, text; last, if its range ends in another paragraph), from id 0 where a document has none."""
     top = comments.groupBy("doc_id").agg(F.max(F.expr("try_cast(comment_id as int)")).alias("_top"))
     w = Window.partitionBy("doc_id").orderBy("p_idx", "marked_text", "text")
     made = new.join(top, "doc_id", "left").withColumn("comment_id", (F.coalesce("_top", F.lit(-1)) + F.row_number().over(w)).cast("string"))
@@ -72,7 +72,7 @@ def add_comments(comments: DataFrame, ranges: DataFrame, new: DataFrame) -> tupl
     from inkloom.functions.text import initials
 
     rows = made.select("doc_id", "comment_id", "author", initials(F.col("author")).alias("initials"), none.alias("date"), "text", none.alias("para_id"))
-    places = made.select("doc_id", "comment_id", F.col("p_idx").alias("start_p_idx"), F.col("p_idx").alias("end_p_idx"), "marked_text")
+    places = made.select("doc_id", "comment_id", F.col("p_idx").alias("start_p_idx"), F.col("last" if "last" in new.columns else "p_idx").alias("end_p_idx"), "marked_text")
     return comments.unionByName(rows, True), ranges.unionByName(places, True)
 
 

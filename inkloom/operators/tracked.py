@@ -359,12 +359,17 @@ def numbered(spans: DataFrame, top: DataFrame, date: str) -> DataFrame:
 
 
 def change_rows(spans: DataFrame) -> DataFrame:
-    """(doc_id, part, p_idx, change_id, change_type, author, date, text): what tracked spans changed."""
-    gone = spans.where("track and kind is not null").select(*KEYS, F.col("id").alias("change_id"), F.when(F.col("kind") == "format", "format_run").otherwise(F.col("kind")).alias("change_type"), "author", "date", F.when(F.col("kind") == "format", "").otherwise(F.col("found")).alias("text"))
-    come = spans.where("track and new <> ''").select(*KEYS, F.col("new_id").alias("change_id"), F.col("new_kind").alias("change_type"), "author", "date", F.col("new").alias("text"))
+    """(doc_id, part, p_idx, seq, change_id, change_type, author, date, text): what tracked spans changed, by the edit that did."""
+    gone = spans.where("track and kind is not null").select(*KEYS, "seq", F.col("id").alias("change_id"), F.when(F.col("kind") == "format", "format_run").otherwise(F.col("kind")).alias("change_type"), "author", "date", F.when(F.col("kind") == "format", "").otherwise(F.col("found")).alias("text"))
+    come = spans.where("track and new <> ''").select(*KEYS, "seq", F.col("new_id").alias("change_id"), F.col("new_kind").alias("change_type"), "author", "date", F.col("new").alias("text"))
     return gone.unionByName(come)
 
 
+def members(made: DataFrame, edits: DataFrame) -> DataFrame:
+    """(doc_id, change_id, group_name): which group each change belongs to, by the edit that made it: edits (doc_id, seq, group_name)."""
+    return made.join(edits.where("group_name is not null").select("doc_id", "seq", "group_name").distinct(), ["doc_id", "seq"]).select("doc_id", "change_id", "group_name")
+
+
 def revised(runs: DataFrame, unfit: DataFrame | None = None) -> DataFrame:
     """(doc_id, part, p_idx, unfit): paragraphs that hold tracked changes, and those given (diff.viability); they are changed as a whole, not by hunks."""
     marks = runs.where(F.coalesce("in_ins", F.lit(False)) | F.coalesce("in_del", F.lit(False)) | F.col("change_id").isNotNull()).select(*KEYS)
@@ -425,7 +430,7 @@ def apply(runs: DataFrame, edits: DataFrame, author: str = "Inkloom", date: str
         now = after.join(waiting, "doc_id", "left_semi")
     if not made:
         none = whole.where("false")
-        return whole, none.select(*KEYS, "change_id", F.lit("").alias("change_type"), "author", "date", "text"), none.select("doc_id", F.lit(0).alias("seq"), F.lit("").alias("type"), F.lit(True).alias("success"), F.lit("").alias("message"))
+        return whole, none.select(*KEYS, F.lit(0).alias("seq"), "change_id", F.lit("").alias("change_type"), "author", "date", "text"), none.select("doc_id", F.lit(0).alias("seq"), F.lit("").alias("type"), F.lit(True).alias("success"), F.lit("").alias("message"))
     return tuple(reduce(DataFrame.unionByName, rows) for rows in (finished, made, results))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import copy
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
@@ -267,6 +268,69 @@ def entities(found: DataFrame) -> DataFrame:
     return found.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(run, ROWS)
 
 
+def entities_of_xml(parts: DataFrame) -> DataFrame:
+    """(doc_id, kind, row) of bare main parts (doc_id, xml), as entities() gives of packages; what can't be read becomes an `errors` row."""
+    import json
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, xml in zip(batch.column("doc_id").to_pylist(), batch.column("xml").to_pylist(), strict=True):
+                rows: list[tuple[str, str]] = []
+                emit = lambda kind, row: rows.append((kind, json.dumps(row)))  # noqa: E731, B023
+                try:
+                    root = ET.fromstring(xml or b"")
+                except ET.ParseError as error:
+                    emit("errors", {"part": "word/document.xml", "error": str(error)})
+                else:
+                    _Part("word/document.xml", root, emit)
+                kinds, data = ([r[i] for r in rows] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(rows), pa.string()), pa.array(kinds, pa.string()), pa.array(data, pa.string())], names=["doc_id", "kind", "row"])
+
+    return parts.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("xml").cast("binary").alias("xml")).mapInArrow(run, ROWS)
+
+
+# The encodings that packages may use.
+ENCODINGS = ("UTF-8", "UTF-16", "UTF-16LE", "UTF-16BE")
+
+
+def part_problems(body: bytes) -> Iterator[tuple[str, str]]:
+    """(rule, detail) for each rule of encodings, well-formedness and namespaces that a part breaks."""
+    prolog = re.match(rb"\s*<\?xml[^>]*?encoding=[\"']([^\"']*)", body.replace(b"\0", b"")[:400].lstrip(b"\xef\xbb\xbf\xff\xfe"))
+    if prolog and prolog[1].decode("latin-1").upper() not in ENCODINGS:
+        yield "encoding", prolog[1].decode("latin-1")
+    declared, root = set(), None
+    try:
+        for event, found in ET.iterparse(io.BytesIO(body), ["start-ns", "start"]):
+            if event == "start-ns" and root is None:
+                declared.add(found[0])
+            elif event == "start" and root is None:
+                root = found
+    except (ET.ParseError, LookupError, ValueError) as error:
+        yield "xml", str(error)
+    for name, value in (root.attrib if root is not None else {}).items():
+        if name.rpartition("}")[2] == "Ignorable":
+            for prefix in sorted(set(value.split()) - declared):
+                yield "namespace", prefix
+
+
+def problems(found: DataFrame) -> DataFrame:
+    """(doc_id, part, rule, detail): what parts of packages (doc_id, content) break: encoding, xml, namespace (a prefix that is to be ignored but isn't declared)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    package = zipfile.ZipFile(io.BytesIO(content or b""))
+                    rows += [(doc_id, n, *p) for n in package.namelist() if n.endswith((".xml", ".rels")) for p in part_problems(package.read(n))]
+                except zipfile.BadZipFile as error:
+                    rows.append((doc_id, None, "package", str(error)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["doc_id", "part", "rule", "detail"])
+
+    return found.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(run, "doc_id string, part string, rule string, detail string")
+
+
 def entity(found: DataFrame, kind: str) -> DataFrame:
     """One entity table of what entities() gave."""
     return found.where(F.col("kind") == kind).select("doc_id", F.from_json("row", FIELDS[kind]).alias("r")).select("doc_id", "r.*")
