@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkloom.operators import blocks, search, tracked
+from inkloom.functions import text as T
+from inkloom.operators import blocks, by_ref, changes, search, tracked
 from inkloom.plans.edit_queries import _SAFE, _SPLIT, _edits, _lines, _runs
-from inkloom.plans.queries import HEADING, P, _heading, _p, query
+from inkloom.plans.queries import HEADING, P, RUNS, _heading, _p, query
+from inkloom.plans.queries import _runs as change_runs
 from inkloom.sources import docx
 from inkloom.sources.tables import read
 
@@ -131,3 +133,86 @@ def edit_minimal(spark, d):
     """A replacement that keeps its first word marks the second alone."""
     todo = _edits(spark, d, {"type": "replace_tracked", "find": "with that", "replace": "with this", "occurrence": "all"}).withColumn("minimal", F.lit(True))
     return tracked.apply(_runs(spark, d), todo)[1].select("doc_id", "change_id", "change_type", "text")
+
+
+def _cells(spark, d):
+    """Names of nations as the cells of one table a region."""
+    cells = read(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("doc_id"), F.lit(tracked.BODY).alias("part"), F.col("n_nationkey").alias("p_idx"), F.lit(0).alias("tbl_idx"), F.col("n_nationkey").alias("row_idx"), F.lit(0).alias("cell_idx"), F.col("n_name").alias("text"))
+    return cells, cells.select("doc_id", "part", "p_idx", F.lit(0).alias("r_idx"), "text")
+
+
+@query("""WITH n AS (SELECT CAST(n_regionkey AS BIGINT) AS doc_id, n_nationkey AS row_idx, n_name AS t, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS a, max(n_nationkey) OVER (PARTITION BY n_regionkey) AS b FROM nation)
+SELECT doc_id, row_idx, CASE WHEN row_idx = a THEN '> ' ELSE '' END || t || CASE WHEN row_idx = n_.m THEN ' (sic)' ELSE '' END || CASE WHEN row_idx = b THEN ' end' ELSE '' END AS text FROM n JOIN (SELECT CAST(n_regionkey AS BIGINT) AS d, min(n_nationkey) AS m FROM nation GROUP BY n_regionkey) n_ ON n.doc_id = n_.d""")
+def cells_at_refs(spark, d):
+    """Text put at the ends of a table and of its first cell, by their references."""
+    cells, runs = _cells(spark, d)
+    first = cells.groupBy("doc_id").agg(F.min("row_idx").alias("r"))
+    row = F.concat(F.lit("tbl:0/row:"), F.col("r"), F.lit("/cell:0"))
+    given = [(1, F.lit("tbl:0"), "> ", "before"), (2, row, " (sic)", "end"), (3, F.lit("tbl:0"), " end", "end")]
+    todo = first.select("doc_id", F.explode(F.array(*(F.struct(F.lit(i).alias("seq"), ref.alias("ref"), F.lit(text).alias("text"), F.lit(at).alias("position"), F.lit(True).alias("track")) for i, ref, text, at in given))).alias("e")).select("doc_id", "e.*")
+    after = by_ref.insert(cells, runs, todo)[1]
+    return tracked.visible(after).select("doc_id", F.col("p_idx").alias("row_idx"), "text")
+
+
+@query("""WITH n AS (SELECT CAST(n_regionkey AS BIGINT) AS doc_id, n_nationkey AS row_idx, n_name AS t, n_nationkey = min(n_nationkey) OVER (PARTITION BY n_regionkey) AS hit FROM nation)
+SELECT doc_id, row_idx, CASE WHEN hit THEN '' ELSE t END AS text, CASE WHEN hit THEN t ELSE '' END AS gone FROM n""")
+def rows_deleted_at_refs(spark, d):
+    cells, runs = _cells(spark, d)
+    todo = cells.groupBy("doc_id").agg(F.min("row_idx").alias("r")).select("doc_id", F.lit(1).alias("seq"), F.concat(F.lit("tbl:0/row:"), F.col("r")).alias("ref"), F.lit(True).alias("track"))
+    after = by_ref.delete(cells, runs, todo)[0]
+    gone = after.groupBy(*tracked.KEYS).agg(F.max("del_text").alias("gone"))
+    return tracked.visible(after).join(gone, tracked.KEYS).select("doc_id", F.col("p_idx").alias("row_idx"), "text", F.coalesce("gone", F.lit("")).alias("gone"))
+
+
+@query(f"""WITH {P}, r AS (SELECT doc_id, p_idx AS o, 0 AS k, text || CASE WHEN p_idx = 0 THEN ' (amended)' ELSE '' END AS text FROM p UNION ALL SELECT doc_id, 1, 1, 'New clause.' FROM p WHERE p_idx = 1 UNION ALL SELECT doc_id, 0, -1, 'Title' FROM p WHERE p_idx = 0)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o, k) - 1 AS INTEGER) AS n, text FROM r""")
+def paragraphs_at_refs(spark, d):
+    """New paragraphs beside p:0 and p:1, and text at the end of p:0."""
+    given = [(1, "p:1", "New clause.", "after"), (2, "p:0", "Title", "before"), (3, "p:0", " (amended)", "end")]
+    one = F.array(*(F.struct(F.lit(i).alias("seq"), F.lit(ref).alias("ref"), F.lit(text).alias("text"), F.lit(at).alias("position"), F.lit(True).alias("track")) for i, ref, text, at in given))
+    todo = read(spark, d, "documents").select("doc_id", F.explode(one).alias("e")).select("doc_id", "e.*")
+    lines, runs, _, _ = by_ref.insert(_p(spark, d), _runs(spark, d), todo)
+    now = tracked.visible(runs).select("doc_id", "p_idx", F.col("text").alias("now"))
+    return lines.join(now, ["doc_id", "p_idx"], "left").select("doc_id", "n", F.coalesce("now", "text").alias("text"))
+
+
+@query("""WITH n AS (SELECT CAST(n_regionkey AS BIGINT) AS doc_id, min(n_nationkey) AS a, max(n_nationkey) AS b, string_agg(n_name, '' ORDER BY n_nationkey) AS t FROM nation GROUP BY n_regionkey)
+SELECT doc_id, '0' AS comment_id, a AS start_p_idx, b AS end_p_idx, t AS marked_text, 'Why?' AS text, 'OM' AS initials FROM n""")
+def comments_at_refs(spark, d):
+    cells, _ = _cells(spark, d)
+    none = lambda kinds: spark.createDataFrame([], kinds)
+    todo = cells.select("doc_id").distinct().select("doc_id", F.lit(1).alias("seq"), F.lit("tbl:0").alias("ref"), F.lit("Why?").alias("text"), F.lit("Olga Mir").alias("author"))
+    comments, ranges, _ = by_ref.comment(cells, none("doc_id long, comment_id string, author string, initials string, date string, text string, para_id string"), none("doc_id long, comment_id string, start_p_idx int, end_p_idx int, marked_text string"), todo)
+    return comments.join(ranges, ["doc_id", "comment_id"]).select("doc_id", "comment_id", "start_p_idx", "end_p_idx", "marked_text", "text", "initials")
+
+
+@query(f"""WITH {RUNS} SELECT doc_id, CASE WHEN change_id % 3 = 0 AND in_del THEN NULL ELSE change_id END AS change_id, CASE WHEN change_id % 3 = 0 AND in_del THEN del_text ELSE text END AS text, in_ins, CASE WHEN change_id % 3 = 0 THEN FALSE ELSE in_del END AS in_del FROM runs WHERE NOT (change_id % 3 = 0 AND in_ins)""")
+def groups_rejected(spark, d):
+    """The changes of one group rejected, those of others kept."""
+    runs = change_runs(spark, d)
+    members = runs.select("doc_id", "change_id", F.when(F.col("change_id") % 3 == 0, "round 1").otherwise("round 2").alias("group_name"))
+    return changes.decided_groups(runs.withColumn("change_id", F.col("change_id").cast("string")), members, False, "round 1")[0].select("doc_id", F.col("change_id").cast("long").alias("change_id"), "text", "in_ins", "in_del")
+
+
+def _xml(spark, d, encoding="ISO-8859-1"):
+    """(doc_id, xml): texts as bare main parts, every seventh of them said to be in another encoding."""
+    runs = _runs(spark, d).withColumn("text", F.regexp_replace("text", "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", ""))
+    bare = runs.withColumns({c: F.lit(None).cast(t) for c, t in (("bold", "boolean"), ("italic", "boolean"), ("color", "string"))})
+    xml = docx.document_xml(bare, _p(spark, d).withColumn("style", F.lit(None).cast("string")))
+    return xml.withColumn("xml", F.when(F.col("doc_id") % 7 == 0, F.replace("xml", F.lit('encoding="UTF-8"'), F.lit(f'encoding="{encoding}"'))).otherwise(F.col("xml")))
+
+
+@query("SELECT doc_id, 'word/document.xml' AS part, 'encoding' AS rule, 'ISO-8859-1' AS detail FROM documents WHERE doc_id % 7 = 0 AND text IS NOT NULL")
+def package_problems(spark, d):
+    return docx.problems(docx.zipped(_xml(spark, d))).select(F.col("doc_id").cast("long").alias("doc_id"), "part", "rule", "detail")
+
+
+@query(f"""SELECT doc_id, CAST(unnest(range(0, len(s))) AS INTEGER) AS p_idx, replace(unnest(s), chr(13), chr(10)) AS text FROM (SELECT doc_id, string_split({_SAFE}, chr(10)) AS s FROM documents)""")
+def xml_paragraphs(spark, d):
+    """Bare main parts read as documents; a carriage return is a line end to XML."""
+    return docx.entity(docx.entities_of_xml(_xml(spark, d, "UTF-8")), "paragraphs").select(F.col("doc_id").cast("long").alias("doc_id"), "p_idx", "text")
+
+
+@query("SELECT p_partkey, p_name || ' it''s \"new\"' AS text FROM part")
+def quotes_denormalized(spark, d):
+    return read(spark, d, "part").select("p_partkey", T.denormalize_quotes(F.concat("p_name", F.lit(" it’s “new”"))).alias("text"))
