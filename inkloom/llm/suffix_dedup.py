@@ -6,7 +6,7 @@
    occurrence of each such span is fetched. Fingerprints first drop the windows that nothing in
    their group can equal; suffix arrays (lyndon.py), each over whole groups of one anchor, decide
    all others: they put equal windows next to each other. A stretch that stands in several spans
-   goes into its array twice, and what is found there holds for all of them.
+   goes into its array once and counts as often as it stands; what is found there holds for all of them.
 4. Equal windows have equal anchors at equal places, so no pair is split over two arrays. A group of
    more bytes than an array may have is split so that this still holds: by ranges of the anchor's
    place in the window (STEPS), and by the bytes that all windows of a range share. The last range
@@ -73,10 +73,11 @@ def _runs(width: int, gram: int):
     return run
 
 
-def array_repeats(contents: list[bytes], width: int) -> list[np.ndarray]:
-    """For each content a flag per window: whether the window also starts elsewhere in contents."""
+def array_repeats(contents: list[bytes], width: int, times: list[int] | None = None) -> list[np.ndarray]:
+    """For each content a flag per window: whether the window also starts elsewhere, be it in contents or in a copy of its own (times: how often each content stands there)."""
     flags = [np.zeros(max(0, len(c) - width + 1), bool) for c in contents]
     text = b"".join(contents)
+    times = [1] * len(contents) if times is None else times
     left = np.concatenate([np.arange(len(c), 0, -1) for c in contents]) if contents else np.zeros(0, int)
     whole = left >= width
     owner = np.repeat(np.arange(len(contents)), [len(c) for c in contents])
@@ -86,9 +87,9 @@ def array_repeats(contents: list[bytes], width: int) -> list[np.ndarray]:
     for i in suffix_array(text):
         if whole[i]:
             here = text[i : i + width]
-            if before >= 0 and here == window:
-                for x in (before, i):
-                    flags[owner[x]][x - begin[owner[x]]] = True
+            same = before >= 0 and here == window
+            for x in (before, i) if same else (i,) if times[owner[i]] > 1 else ():
+                flags[owner[x]][x - begin[owner[x]]] = True
             before, window = i, here
     return flags
 
@@ -108,7 +109,7 @@ def stretches(contents: list[bytes], width: int) -> list[list[tuple[int, int]]]:
 def _in_arrays(width: int):
     """Rows (doc_id, key, a, g, s, cnt, content) in order of g -> spans (doc_id, key, a, e) that repeat in part.
 
-    A group has ARRAY_BYTES / 2 bytes at most; of it only stretches that may repeat go into an array.
+    A group has ARRAY_BYTES bytes at most; of it only stretches that may repeat go into an array.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +125,7 @@ def _in_arrays(width: int):
             for row, ranges in zip(group, stretches([r[6] for r in group], width), strict=True):
                 for i, j in ranges:
                     holders.setdefault(row[6][i : j - 1 + width], []).append((row, i))
-            more = sum(len(c) * min(2, len(h)) for c, h in holders.items())
+            more = sum(map(len, holders))
             if size + more > ARRAY_BYTES:
                 solve()
                 pool, size = [], 0
@@ -136,10 +137,8 @@ def _in_arrays(width: int):
                 found.append((row[0], row[1], row[2] + i, row[2] + i + length))
 
         def solve() -> None:
-            copies = [c for h, c in pool for _ in h[:2]]
-            flags = iter(array_repeats(copies, width) if copies else [])
-            for holders, _ in pool:
-                here = [next(flags) for _ in holders[:2]][0]
+            flags = array_repeats([c for _, c in pool], width, [len(h) for h, _ in pool]) if pool else []
+            for (holders, _), here in zip(pool, flags, strict=True):
                 for i, j in flag_runs(here):
                     for row, at in holders:
                         report(row, at + i, j - i - 1 + width)
@@ -227,7 +226,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     schema = "doc_id long, key long, a int, e int"
     found = whole
     for step in STEPS:
-        large = content.groupBy("g").agg(F.sum(F.length("content")).alias("bytes")).where(F.col("bytes") > ARRAY_BYTES // 2)
+        large = content.groupBy("g").agg(F.sum(F.length("content")).alias("bytes")).where(F.col("bytes") > ARRAY_BYTES)
         large = stash(large.select("g"), "byte-large")
         fit = content.join(large, "g", "left_anti").repartition(partitions(spark) * 2, "g").sortWithinPartitions("g")
         found = found.unionByName(fit.mapInArrow(_in_arrays(width), schema))

@@ -78,13 +78,13 @@ def test_arrays_are_bounded(monkeypatch):
     import pyarrow as pa
 
     sizes, inner = [], suffix_dedup.array_repeats
-    monkeypatch.setattr(suffix_dedup, "array_repeats", lambda contents, width: sizes.append(sum(map(len, contents))) or inner(contents, width))
+    monkeypatch.setattr(suffix_dedup, "array_repeats", lambda contents, width, times: sizes.append(sum(map(len, contents))) or inner(contents, width, times))
     monkeypatch.setattr(suffix_dedup, "ARRAY_BYTES", 1 << 16)
     rng = random.Random(1)
     rows, shared = [], bytes(rng.randrange(97, 123) for _ in range(500))
     for g in range(60):
         for k in range(rng.randrange(2, 60)):
-            if sum(len(r[6]) for r in rows if r[3] == g) < (1 << 15) - 800:
+            if sum(len(r[6]) for r in rows if r[3] == g) < (1 << 16) - 800:
                 rows.append((k, 0, 0, g, 100 * g + k, 1, (shared + bytes(rng.randrange(97, 123) for _ in range(rng.randrange(300))))))
     columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
     batch = pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "a", "g", "s", "cnt", "content"])
