@@ -6,6 +6,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -228,25 +229,65 @@ def needed_runs(m: int, threshold: float) -> dict[int, int]:
     return out
 
 
-def fuzzy_windows(text: str, find: str, threshold: float) -> list[tuple[int, int, float]]:
-    """Best of the overlapping windows, 0.7 to 1.3 times as long as find, that are similar enough."""
-    m = len(find)
-    places: dict[int, list[int]] = {}
-    found = []
-    for n, q in needed_runs(m, threshold).items():
-        if q not in places:
-            grams = "|".join(sorted({re.escape(find[i : i + q]) for i in range(m - q + 1)}))
-            places[q] = [x.start() for x in re.finditer(f"(?={grams})", text)]
-        starts = {at for p in places[q] for at in range(max(0, p + q - n), min(p, len(text) - n) + 1)}
-        for at in starts:
-            score = ratio(find, text[at : at + n])
-            if score >= threshold:
-                found.append((at, n, score))
-    best: list[tuple[int, int, float]] = []
-    for at, n, score in sorted(found, key=lambda x: (-x[2], x[0], x[1])):
-        if all(at >= a + k or a >= at + n for a, k, _ in best):
-            best.append((at, n, score))
-    return sorted(best)
+def shared_characters(text: str, find: str) -> np.ndarray:
+    """For each different character of find a row: how often it stands in the text before each place."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = np.array(sorted(set(map(ord, find))), np.uint32)
+    sums = np.zeros((len(kinds), len(codes) + 1), np.int32)
+    np.cumsum(codes[None, :] == kinds[:, None], axis=1, out=sums[:, 1:])
+    return sums
+
+
+def near_windows(sums: np.ndarray, find: str, starts: np.ndarray, ends: np.ndarray, threshold: float) -> np.ndarray:
+    """Which windows may be similar enough: what two texts have in common in order is at most what they have in common at all."""
+    have = np.array([find.count(c) for c in sorted(set(find))], np.int32)[:, None]
+    common = np.minimum(sums[:, ends] - sums[:, starts], have).sum(0)
+    return 2 * common >= threshold * (len(find) + ends - starts) - 1e-9
+
+
+#: Characters whose windows are looked at together.
+_TOGETHER = 1 << 18
+
+
+def packed(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of about _TOGETHER characters."""
+    i = size = 0
+    for j, t in enumerate(texts):
+        size += len(t) + 1
+        if size >= _TOGETHER:
+            yield i, j + 1
+            i, size = j + 1, 0
+    if i < len(texts):
+        yield i, len(texts)
+
+
+def fuzzy_windows(texts: list[str], find: str, threshold: float) -> list[list[tuple[int, int, float]]]:
+    """For each text the best of the overlapping windows, 0.7 to 1.3 times as long as find, that are similar enough.
+
+    Texts are laid end to end, so that what windows have in common with find is counted for all of them at once.
+    """
+    out: list[list[tuple[int, int, float]]] = [[] for _ in texts]
+    for i, j in packed(texts):
+        whole = "\n".join(texts[i:j])
+        sizes = np.array([len(t) for t in texts[i:j]])
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        sums = shared_characters(whole, find)
+        for n in needed_runs(len(find), threshold):
+            starts = np.arange(max(0, len(whole) - n + 1))
+            starts = starts[near_windows(sums, find, starts, starts + n, threshold)]
+            owner = np.searchsorted(begin, starts, "right") - 1
+            inside = starts + n <= begin[owner] + sizes[owner]
+            for k, at in zip(owner[inside].tolist(), starts[inside].tolist(), strict=True):
+                score = ratio(find, whole[at : at + n])
+                if score >= threshold:
+                    out[i + k].append((at - int(begin[k]), n, score))
+    for k, found in enumerate(out):
+        best: list[tuple[int, int, float]] = []
+        for at, n, score in sorted(found, key=lambda x: (-x[2], x[0], x[1])):
+            if all(at >= a + m or a >= at + n for a, m, _ in best):
+                best.append((at, n, score))
+        out[k] = sorted(best)
+    return out
 
 
 def fuzzy_find(paragraphs: DataFrame, find: str, threshold: float = 0.9, normalize_whitespace: bool = False) -> DataFrame:
@@ -262,7 +303,8 @@ def fuzzy_find(paragraphs: DataFrame, find: str, threshold: float = 0.9, normali
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in parts:
-            out = [(doc, p, at, n, t[at : at + n], score) for doc, p, t in zip(d["doc_id"], d["p_idx"], d["text"], strict=True) if t for at, n, score in fuzzy_windows(t, seek, threshold)]
+            texts = d["text"].tolist()
+            out = [(doc, p, at, n, t[at : at + n], score) for doc, p, t, hits in zip(d["doc_id"], d["p_idx"], texts, fuzzy_windows(texts, seek, threshold), strict=True) for at, n, score in hits]
             yield pd.DataFrame(out, columns=["doc_id", "p_idx", "pos", "len", "found", "score"])
 
     kind = dict(paragraphs.dtypes)
@@ -271,26 +313,44 @@ def fuzzy_find(paragraphs: DataFrame, find: str, threshold: float = 0.9, normali
     return hits.select("doc_id", "p_idx", index.alias("index"), "pos", "len", "found", "score")
 
 
+def word_windows(texts: list[str], low: str, least: float) -> Iterator[tuple[int, int, int]]:
+    """(text, start, end) of windows of whole words, 0.7 to 1.5 times as long as low, that may be similar enough to it once in lower case."""
+    m = len(low)
+    for i, j in packed(texts):
+        whole = "\n".join(texts[i:j])
+        sizes = np.array([len(t) for t in texts[i:j]])
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        words = np.array([w.span() for w in re.finditer(r"\S+", whole)], np.int64).reshape(-1, 2)
+        folded = whole.lower()
+        sums = shared_characters(folded, low) if len(folded) == len(whole) else None  # a few letters grow when folded: then every window is tried
+        for k in range(len(words)):
+            starts, ends = words[: len(words) - k, 0], words[k:, 1]
+            if (ends - starts > 1.5 * m).all():
+                break
+            owner = np.searchsorted(begin, starts, "right") - 1
+            keep = (ends - starts >= 0.7 * m) & (ends - starts <= 1.5 * m) & (ends <= begin[owner] + sizes[owner])
+            if sums is not None:
+                keep[keep] = near_windows(sums, low, starts[keep], ends[keep], least)
+            yield from zip((owner[keep] + i).tolist(), (starts - begin[owner])[keep].tolist(), (ends - begin[owner])[keep].tolist(), strict=True)
+
+
 def similar_texts(paragraphs: DataFrame, find: str, k: int = 3, least: float = 0.6) -> DataFrame:
     """(doc_id, rank, found, score): the k most similar different windows of each document."""
     low = find.lower()
-    m = len(low)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in parts:
             out = []
-            for doc, text in zip(d["doc_id"], d["text"], strict=True):
-                best: dict[str, tuple[float, str]] = {}
-                words = [(w.start(), w.end()) for w in re.finditer(r"\S+", text or "")]
-                for i, (a, _) in enumerate(words):  # windows of whole words, 0.7 to 1.5 times as long
-                    for _, e in words[i:]:
-                        if e - a > 1.5 * m:
-                            break
-                        if e - a >= 0.7 * m:
-                            window = text[a:e]
-                            score = ratio(low, window.lower())
-                            if score >= least and score > best.get(window.lower(), (0.0, ""))[0]:
-                                best[window.lower()] = (score, window)
+            texts = [t or "" for t in d["text"]]
+            found: dict[int, dict[str, tuple[float, str]]] = {}
+            for i, a, e in sorted(word_windows(texts, low, least)):
+                window = texts[i][a:e]
+                score = ratio(low, window.lower())
+                best = found.setdefault(i, {})
+                if score >= least and score > best.get(window.lower(), (0.0, ""))[0]:
+                    best[window.lower()] = (score, window)
+            for i, best in sorted(found.items()):
+                doc = d["doc_id"].iloc[i]
                 out += [(doc, t, s) for s, t in sorted(best.values(), key=lambda x: (-x[0], x[1]))[:k]]
             yield pd.DataFrame(out, columns=["doc_id", "found", "score"])
 
