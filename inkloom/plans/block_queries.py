@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkloom.functions import text as T
-from inkloom.operators import blocks, by_ref, changes, search, tracked
+from inkloom.operators import blocks, by_ref, changes, formatting, search, tracked
 from inkloom.plans.edit_queries import _SAFE, _SPLIT, _edits, _lines, _runs
 from inkloom.plans.queries import HEADING, P, RUNS, _heading, _p, query
 from inkloom.plans.queries import _runs as change_runs
@@ -261,3 +261,18 @@ def docx_comments_saved(spark, d):
     again = written(docx.entities(parts.patched(packages, parts.comments(before, after, places, docx.entity(found, "relationships")))), "entities")
     spots = docx.entity(again, "comment_ranges").select("doc_id", "comment_id", "start_p_idx", "end_p_idx")
     return docx.entity(again, "comments").select("doc_id", "comment_id", "text").join(spots, ["doc_id", "comment_id"]).select(F.col("doc_id").cast("long").alias("doc_id"), "comment_id", "start_p_idx", "end_p_idx", "text")
+
+
+@query(f"""WITH {P}, x AS (SELECT doc_id, min(p_idx) FILTER (contains(text, 'disgusting')) AS a, min(p_idx) FILTER (contains(text, 'trash') AND text LIKE 'The%') AS c FROM p GROUP BY doc_id),
+e AS (SELECT doc_id, a AS p_idx, 1 AS seq, 'center' AS al, NULL AS sp, NULL AS ind FROM x WHERE a IS NOT NULL UNION ALL SELECT doc_id, 0, 2, 'justify', 12.0, NULL FROM x UNION ALL SELECT doc_id, c, 3, NULL, NULL, 0.5 FROM x WHERE c IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS id FROM e)
+SELECT doc_id, p_idx, arg_max(al, seq) FILTER (al IS NOT NULL) AS alignment, CAST(max(sp) AS DOUBLE) AS spacing_after, CAST(max(ind) AS DOUBLE) AS indent_left, CAST(max(id) AS VARCHAR) AS change_id FROM n GROUP BY doc_id, p_idx""")
+def paragraphs_formatted(spark, d):
+    """Three edits of paragraph properties, which may meet in one paragraph."""
+    null = lambda kind: F.lit(None).cast(kind)
+    given = [("disgusting", None, None, "center", None, None), (None, None, 0, "justify", 12.0, None), ("trash", "The", None, None, None, 0.5)]
+    names = {"containing": "string", "starting_with": "string", "index": "int", "alignment": "string", "spacing_after": "double", "indent_left": "double"}
+    one = F.array(*(F.struct(F.lit(i).alias("seq"), *(F.lit(v).cast(k).alias(n) for (n, k), v in zip(names.items(), row, strict=True))) for i, row in enumerate(given, 1)))
+    todo = read(spark, d, "documents").select("doc_id", F.explode(one).alias("e")).select("doc_id", "e.*")
+    none = read(spark, d, "documents").where("false").select("doc_id", F.lit(0).alias("p_idx"), null("string").alias("alignment"))
+    return formatting.format_paragraphs(_p(spark, d), none, todo)[0].select("doc_id", "p_idx", "alignment", "spacing_after", "indent_left", "change_id")

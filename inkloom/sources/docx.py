@@ -28,6 +28,7 @@ CHANGES = {"ins": "insertion", "del": "deletion", "moveFrom": "move_from", "move
 FIELDS = {
     "parts": "part string, size long",
     "paragraphs": "part string, p_idx int, body_p_idx int, style string, outline_lvl int, location string, tbl_idx int, row_idx int, cell_idx int, text string, text_model string, text_search string, mark_deleted boolean, n_runs int, n_child_runs int, all_bold boolean, note_id string, has_revisions boolean, has_unsupported boolean",
+    "paragraph_properties": "part string, p_idx int, alignment string, spacing_before double, spacing_after double, line_spacing double, indent_left double, indent_right double, indent_first_line double, indent_hanging double, tab_stops array<struct<position: double, kind: string, leader: string>>",
     "runs": "part string, p_idx int, r_idx int, text string, del_text string, in_ins boolean, in_del boolean, change_id string, author string, date string, note_id string, bold boolean, italic boolean, color string, old_bold boolean, old_italic boolean, old_color string",
     "changes": "part string, elem_idx int, change_id string, change_type string, author string, date string, text string, p_idx int",
     "comments": "comment_id string, author string, initials string, date string, text string, para_id string",
@@ -78,6 +79,24 @@ def _props(rpr: ET.Element | None, prefix: str = "") -> dict:
     return {prefix + "bold": _on(rpr.find(W + "b")), prefix + "italic": _on(rpr.find(W + "i")), prefix + "color": None if color is None else color.get(W + "val")}
 
 
+def _paragraph_properties(ppr: ET.Element) -> dict:
+    """Properties of a paragraph that are set: lengths in points and inches."""
+
+    def number(tag: str, name: str, per: float) -> float | None:
+        e = ppr.find(W + tag)
+        value = "" if e is None else e.get(W + name) or ""
+        return int(value) / per if value.lstrip("-").isdigit() else None
+
+    jc, tabs = ppr.find(W + "jc"), ppr.findall(f"{W}tabs/{W}tab")
+    align = None if jc is None else jc.get(W + "val")
+    out = {
+        "alignment": "justify" if align == "both" else align, "spacing_before": number("spacing", "before", 20), "spacing_after": number("spacing", "after", 20), "line_spacing": number("spacing", "line", 240),
+        "indent_left": number("ind", "left", 1440), "indent_right": number("ind", "right", 1440), "indent_first_line": number("ind", "firstLine", 1440), "indent_hanging": number("ind", "hanging", 1440),
+        "tab_stops": [{"position": int(t.get(W + "pos") or 0) / 1440, "kind": t.get(W + "val"), "leader": t.get(W + "leader")} for t in tabs] or None,
+    }
+    return {k: v for k, v in out.items() if v is not None}
+
+
 class _Part:
     """Rows of one text part."""
 
@@ -126,6 +145,9 @@ class _Part:
         if ppr is not None:
             for e in ppr.iter():
                 self.change(e, "", self.p_idx)
+            set_ = _paragraph_properties(ppr)
+            if set_:
+                self.emit("paragraph_properties", {"part": self.name, "p_idx": self.p_idx, **set_})
         self.inline(p, {})
         mark = p.find(f"{W}pPr/{W}rPr/{W}del") is not None
         place = "body" if not cell else f"table:{cell[0]}:row:{cell[1]}:cell:{cell[2]}"

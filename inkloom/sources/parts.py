@@ -6,7 +6,7 @@ package and its patches together in one row and writes it, every other part as i
 
 Kinds of patches: part (content), rel (of a source part), type (of an extension or a part), element (appended to
 the root of a part, which is made if it isn't there), inline (put into a paragraph at a place of its text), start and
-end (at the two ends of a paragraph).
+end (at the two ends of a paragraph), properties (of a paragraph, over those that it has).
 """
 
 from __future__ import annotations
@@ -34,6 +34,12 @@ SPACES = {
     "w": docx.W[1:-1], "r": REL, "wp": "http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing", "a": "http://schemas.openxmlformats.org/drawingml/2006/main",
     "pic": "http://schemas.openxmlformats.org/drawingml/2006/picture",
 }
+# The order of a paragraph's properties.
+PROPERTIES = (
+    "pStyle", "keepNext", "keepLines", "pageBreakBefore", "framePr", "widowControl", "numPr", "suppressLineNumbers", "pBdr", "shd", "tabs", "suppressAutoHyphens", "kinsoku", "wordWrap", "overflowPunct", "topLinePunct", "autoSpaceDE",
+    "autoSpaceDN", "bidi", "adjustRightInd", "snapToGrid", "spacing", "ind", "contextualSpacing", "mirrorIndents", "suppressOverlap", "jc", "textDirection", "textAlignment", "textboxTightWrap", "outlineLvl", "divId", "cnfStyle", "rPr",
+    "sectPr", "pPrChange",
+)
 _PACKAGE = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 _CONTENT = "{http://schemas.openxmlformats.org/package/2006/content-types}"
 
@@ -219,6 +225,9 @@ def _part(body: bytes | None, name: str, rows: list[dict]) -> bytes:
         # Places are those of the text as it was: the last first.
         for row in sorted((r for r in rows if r["kind"] == "inline"), key=lambda r: (r["at"], r["seq"]), reverse=True):
             _put(paragraphs[row["p_idx"]], row["at"], _element(row["xml"]))
+        for row in rows:
+            if row["kind"] == "properties":
+                _format(paragraphs[row["p_idx"]], _element(row["xml"])[0])
         for row in rows:
             if row["kind"] in ("start", "end"):
                 p = paragraphs[row["p_idx"]]
@@ -250,3 +259,25 @@ def _put(p: ET.Element, at: int, new: list[ET.Element]) -> None:
         p[place:place] = new
         return
     p.extend(new)
+
+
+def _format(p: ET.Element, new: ET.Element) -> None:
+    """Sets properties of a paragraph; a change among the new ones takes in what there was, but for the mark's own and the section's."""
+    place = lambda e: PROPERTIES.index(e.tag.removeprefix(docx.W)) if e.tag.removeprefix(docx.W) in PROPERTIES else len(PROPERTIES) - 2
+    own = p.find(docx.W + "pPr")
+    if own is None:
+        own = ET.Element(docx.W + "pPr")
+        p.insert(0, own)
+    change = new.find(docx.W + "pPrChange")
+    if change is not None:
+        was = ET.SubElement(change, docx.W + "pPr")
+        was.extend(copy.deepcopy(e) for e in own if e.tag not in {docx.W + t for t in ("rPr", "sectPr", "pPrChange")})
+    for e in new:
+        there = own.find(e.tag)
+        if there is not None and e.tag in (docx.W + "spacing", docx.W + "ind"):
+            there.attrib.update(e.attrib)
+            continue
+        if there is not None:
+            own.remove(there)
+        own.append(e)
+    own[:] = sorted(own, key=place)
