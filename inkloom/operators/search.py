@@ -93,18 +93,34 @@ def _quoted(found: str) -> str:
     return "\\Q" + found.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def literal_pieces(text: Column, found: str, case_sensitive: bool = True) -> Column:
-    """The text cut before each place where found starts (places may overlap), as (size, head): head is what found matched, null if the piece begins with something else.
+def literal_cuts(text: Column, found: str, case_sensitive: bool = True) -> Column:
+    """The text cut before each place where found starts (places may overlap), a mark ahead of the first piece if found doesn't start there."""
+    pattern = ("" if case_sensitive else "(?iu)") + _quoted(found)
+    pieces = F.split(text, f"(?={pattern})", -1)
+    return F.when(text.rlike(f"^(?:{pattern})"), pieces).otherwise(F.concat(F.array(F.lit(None).cast("string")), pieces))
+
+
+def literal_pieces(cuts: Column, found: str) -> Column:
+    """From literal_cuts the pieces as (size, head): head is what found matched, null for what stands ahead of the first place.
 
     Cases are folded while matching, so sizes are those of the text itself.
     """
-    pattern = ("" if case_sensitive else "(?iu)") + _quoted(found)
-    pieces = F.split(text, f"(?={pattern})", -1)
-    first = text.rlike(f"^(?:{pattern})")
+    ahead = F.get(cuts, F.lit(0)).isNull()
     # A piece shorter than found ends where the next place begins: what was found goes on in the pieces after it.
-    whole = lambda p, i: F.when(F.length(p) >= len(found), p).otherwise(F.array_join(F.slice(pieces, i + 1, F.lit(len(found))), ""))
-    head = lambda p, i: F.when((i > 0) | first, F.substring(whole(p, i), 1, len(found)))
-    return F.transform(pieces, lambda p, i: F.struct(F.length(p).alias("size"), head(p, i).alias("head")))
+    whole = lambda p, i: F.when(F.length(p) >= len(found), p).otherwise(F.array_join(F.slice(cuts, i + 1, F.lit(len(found))), ""))
+    head = lambda p, i: F.when(~ahead | (i > 1), F.substring(whole(p, i), 1, len(found)))
+    return F.filter(F.transform(cuts, lambda p, i: F.struct(F.length(p).alias("size"), head(p, i).alias("head"))), lambda x: x["size"].isNotNull())
+
+
+#: Stand around each match of a regular expression; no text holds them.
+_OPEN, _CLOSE = "\uffff", "\ufffe"
+
+
+def regex_pieces(cuts: Column) -> Column:
+    """From a text marked around each match and cut ahead of it: (size, head) of each match, size counting what stands before it too."""
+    match = lambda p: F.substring_index(p, _CLOSE, 1)
+    rest = lambda p, i: F.when(i == 0, F.length(p)).otherwise(F.length(p) - F.length(match(p)) - 1)
+    return F.transform(F.slice(cuts, F.lit(2), F.size(cuts)), lambda p, i: F.struct((rest(F.get(cuts, i), i) + F.length(match(p))).alias("size"), match(p).alias("head")))
 
 
 def find_all(
@@ -125,10 +141,9 @@ def find_all(
     if regex:
         pattern = "(?U)" + ("" if case_sensitive else "(?iu)") + find
         rows = inside.where(F.col("text").rlike(pattern))
-        whole = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-        gaps = F.transform(F.split("text", pattern, -1), F.length)
-        # A gap belongs to the match after it.
-        pieces = F.zip_with(F.slice(gaps, 1, F.size(whole)), whole, lambda g, m: F.struct((g + F.length(m)).alias("size"), m.alias("head")))
+        cuts = F.split(F.regexp_replace("text", pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN, -1)
+        rows = rows.withColumn("_cuts", cuts)  # a column, as it is used for every piece
+        pieces = regex_pieces(F.col("_cuts"))
         start = F.col("end") - F.length("x.head")
     else:
         text = T.normalize_special(F.col("text")) if normalize else F.col("text")
@@ -136,7 +151,8 @@ def find_all(
         for k, v in T.SPECIAL.items() if normalize else ():
             seek = seek.replace(k, v)
         rows = inside.where(F.contains(text, F.lit(seek)) if case_sensitive else text.rlike("(?iu)" + _quoted(seek)))
-        pieces = literal_pieces(text, seek, case_sensitive)
+        rows = rows.withColumn("_cuts", literal_cuts(text, seek, case_sensitive))  # a column, as it is used for every piece
+        pieces = literal_pieces(F.col("_cuts"), seek)
         if normalize:  # what stands in the text itself, at the same place
             whole = F.transform(pieces, lambda p: p["size"])
             at = lambda i: F.aggregate(F.slice(whole, 1, i), F.lit(0), lambda s, n: s + n)

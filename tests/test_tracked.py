@@ -343,3 +343,14 @@ def test_hunks_projected_onto_runs(spark, seed):
             kept = kept[: h["start"]] + h["new"] + kept[h["end"] :]
         assert was.get(d, "") == old and now.get(d, "") == kept and kept.split() == new.split()
         assert sorted(marked.get(d, [])) == sorted([("deletion", h["old"]) for h in want if h["old"]] + [("insertion", h["new"]) for h in want if h["new"]])
+
+
+def test_regular_expressions_with_empty_matches(spark):
+    import re
+
+    p = spark.createDataFrame([(1, 0, "baac aab"), (1, 1, ""), (1, 2, "xyz"), (1, 3, "aa$1 \\a")], "doc_id long, p_idx int, text string")
+    rows = sorted((r.p_idx, r.text) for r in p.collect())
+    for find in ("a*", "(?<=a)a|b", "a+(?=c)", "(a)(b)?", r"\$|\\", "x*"):
+        want = [(i, m.start(), m.group()) for i, t in rows for m in re.finditer(find, t) if m.group()]
+        got = [(r.p_idx, r.pos, r.found) for r in search.find_all(p, find, regex=True).orderBy("p_idx", "pos").collect()]
+        assert got == want
