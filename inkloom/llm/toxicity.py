@@ -2,8 +2,8 @@
 
 Words are read as classes: insult, threat, target, negation, reported speech, clause end. One
 transducer handles each matter: `holds` remembers that a clause has an insult, a threat or a target,
-`scoped` whether an insult or threat stands outside the words that a negation covers, or ahead of
-reported speech. They are composed into one machine that puts out a single match for each clause
+`scoped` whether an insult or threat stands outside the words that a negation covers, `reported` whether
+all of it is reported speech: after a word like "said", or all of it before one ("…, he wrote"). They are composed into one machine that puts out a single match for each clause
 that holds an insult or a threat: what it is, whether it has a target (before or after), whether all
 of it is negated, whether all of it is reported. Weights are log-odds and add up along a path: an
 insult's own weight stands on its word, the rest on the arcs that end the clause. A path takes one
@@ -92,14 +92,13 @@ def holds(cls: int, bit: int, weight: float = 0.0) -> Machine:
     return {(s, c): (0, bit * s, weight * s) if c == END else (int(s or c == cls), 0, 0.0) for s in (0, 1) for c in CLASSES}
 
 
-def scoped(cls: int, bit: int, weight: float, length: int | None) -> Machine:
+def scoped(cls: int, bit: int, weight: float, length: int) -> Machine:
     """Puts out bit at the end of a clause whose insults and threats all stand within `length` words after a word of class cls.
 
-    No length: anywhere after it. A state is (words still covered, 0 nothing met, 1 only covered ones met, 2 an open one met).
+    A state is (words still covered, 0 nothing met, 1 only covered ones met, 2 an open one met).
     """
-    most = length or 1
     out: Machine = {}
-    for left in range(most + 1):
+    for left in range(length + 1):
         for met in range(3):
             for c in CLASSES:
                 state = left * 3 + met
@@ -107,11 +106,28 @@ def scoped(cls: int, bit: int, weight: float, length: int | None) -> Machine:
                     out[state, c] = (0, bit * (met == 1), weight * (met == 1))
                     continue
                 now = met if c not in (INSULT, THREAT) else max(met, 1 if left else 2)
-                after = most if c == cls else left if length is None else max(0, left - 1)
+                after = length if c == cls else max(0, left - 1)
                 out[state, c] = (after * 3 + now, 0, 0.0)
     return out
 
 
+def reported(cls: int, bit: int, weight: float) -> Machine:
+    """Puts out bit at the end of a clause whose insults and threats all stand after a word of class cls, or all before one.
+
+    A word right after an insult doesn't count: what an idiot said is no report of it. States: 0 nothing met, 1 such a word,
+    2 that and insults after it, 3 an open insult just read, 4 open ones and then such a word, 5 open ones and other words since.
+    """
+    on_word, on_insult, on_other = (1, 1, 2, 5, 4, 4), (3, 2, 2, 3, 3, 3), (0, 1, 2, 5, 4, 5)
+    out: Machine = {}
+    for s in range(6):
+        for c in CLASSES:
+            if c == END:
+                out[s, c] = (0, bit * (s in (2, 4)), weight * (s in (2, 4)))
+            else:
+                out[s, c] = ((on_word if c == cls else on_insult if c in (INSULT, THREAT) else on_other)[s], 0, 0.0)
+    return out
+
+
 def compose(a: Machine, b: Machine) -> Machine:
     """Both machines read the same classes; states are numbered anew, outputs joined, weights added."""
     number, todo, out = {(0, 0): 0}, [(0, 0)], {}
@@ -128,7 +144,7 @@ def compose(a: Machine, b: Machine) -> Machine:
 
 def grammar() -> Machine:
     machine = compose(holds(INSULT, IS_INSULT), holds(THREAT, IS_THREAT, ARCS["threat"]))
-    for more in (holds(TARGET, AIMED, ARCS["target"]), scoped(NEGATION, NEGATED, ARCS["negated"], 3), scoped(REPORT, REPORTED, ARCS["reported"], None)):
+    for more in (holds(TARGET, AIMED, ARCS["target"]), scoped(NEGATION, NEGATED, ARCS["negated"], 3), reported(REPORT, REPORTED, ARCS["reported"])):
         machine = compose(machine, more)
     return machine
 

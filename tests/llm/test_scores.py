@@ -115,7 +115,7 @@ def naive_clauses(reader, text):
             bad = [k for k, c in enumerate(cls) if c in (toxicity.INSULT, toxicity.THREAT)]
             if bad:
                 negated = all(any(cls[j] == toxicity.NEGATION for j in range(max(0, k - 3), k)) for k in bad)
-                reported = all(any(cls[j] == toxicity.REPORT for j in range(k)) for k in bad)
+                reported = all(any(cls[j] == toxicity.REPORT for j in range(k)) for k in bad) or toxicity.REPORT in cls[max(bad) + 2 :]
                 threat, aimed = toxicity.THREAT in cls, toxicity.TARGET in cls
                 weight = max([LEXICON[reader.stem(clause[k])] for k in bad if cls[k] == toxicity.INSULT], default=0.0)
                 arcs = toxicity.ARCS
@@ -134,6 +134,7 @@ def test_grammar():
     assert kinds("You are not an idiot") == {"insult_target_negated": 1}
     assert kinds("You are not an idiot but plain scum") == {"insult_target": 1}
     assert kinds("He said you idiot. Idiot") == {"insult_target_reported": 1, "insult": 1}
+    assert kinds("You idiot, he wrote. An idiot said it; he said nothing.") == {"insult_target_reported": 1, "insult": 1}
     assert kinds("I will kill you") == {"threat_target": 1}
     assert kinds("fine day") == {} and kinds("") == {}
 
