@@ -276,3 +276,15 @@ def paragraphs_formatted(spark, d):
     todo = read(spark, d, "documents").select("doc_id", F.explode(one).alias("e")).select("doc_id", "e.*")
     none = read(spark, d, "documents").where("false").select("doc_id", F.lit(0).alias("p_idx"), null("string").alias("alignment"))
     return formatting.format_paragraphs(_p(spark, d), none, todo)[0].select("doc_id", "p_idx", "alignment", "spacing_after", "indent_left", "change_id")
+
+
+@query(f"""WITH {_LINKED}, b AS (SELECT doc_id, min(p_idx) FILTER (contains(text, 'disgusting')) AS p_idx FROM p GROUP BY doc_id)
+SELECT c.doc_id, b.p_idx, 'PAGEREF start \\h' AS code, '?' AS display, TRUE AS dirty FROM c JOIN b ON c.doc_id = b.doc_id WHERE n = 1""")
+def docx_references_saved(spark, d):
+    """A page reference put behind a text that stands once in a package, saved as a field and read back."""
+    packages, found = _packages(spark, d)
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"))
+    marks = docs.select("doc_id", F.lit("start").alias("name"), F.lit(0).alias("p_idx"), F.lit("").alias("preview"))
+    todo = docs.select("doc_id", F.lit(1).alias("seq"), F.lit("start").alias("target"), F.lit("disgusting").alias("after"), F.lit("page").alias("display"))
+    put, _ = parts.references(docx.entity(found, "paragraphs"), marks, todo)
+    return docx.entity(docx.entities(parts.patched(packages, put)), "fields").select(F.col("doc_id").cast("long").alias("doc_id"), "p_idx", "code", "display", "dirty")

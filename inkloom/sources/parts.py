@@ -134,6 +134,39 @@ def images(paragraphs: DataFrame, relationships: DataFrame, parts: DataFrame, ed
     )
 
 
+#: What a reference shows until it is updated, where that can't be known here.
+_UNKNOWN = "?"
+
+
+def references(paragraphs: DataFrame, bookmarks: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(patches, results) of edits (doc_id, seq, target, after, scope, kind, display, linked): a cross-reference field behind a text.
+
+    kind is REF (by default), PAGEREF or NOTEREF, target a bookmark of the document, display one of entity_edits.DISPLAY. A field is five runs that
+    stand together (begin, code, separate, result, end) and is marked as out of date; its result is the bookmark's text where it shows a text.
+    """
+    from inkloom.operators.entity_edits import DISPLAY
+
+    for c, kind in {"kind": "string", "display": "string", "linked": "boolean", "scope": "string"}.items():
+        edits = edits.withColumn(c, (F.col(c) if c in edits.columns else F.lit(None)).cast(kind))
+    e = edits.withColumn("kind", F.coalesce("kind", F.lit("REF"))).withColumn("display", F.coalesce("display", F.when(F.col("kind") == "PAGEREF", "page").otherwise("text")))
+    known = bookmarks.groupBy("doc_id", F.col("name").alias("target")).agg(F.min_by("preview", "p_idx").alias("preview")).withColumn("there", F.lit(True))
+    e = e.join(known, ["doc_id", "target"], "left")
+    wrong = (
+        F.when(~F.col("kind").isin("REF", "PAGEREF", "NOTEREF"), joined("unknown kind of reference: ", F.col("kind"))).when(~F.col("display").isin(*DISPLAY), joined("display must be one of ", ", ".join(sorted(DISPLAY)), ", not ", F.col("display")))
+        .when(F.col("there").isNull(), joined("no bookmark ", F.coalesce("target", F.lit(""))))
+    )
+    e = e.withColumn("bad", wrong)
+    at, said = _anchored(paragraphs, e.where("bad is null"))
+    refused = e.where("bad is not null").select("doc_id", "seq", F.lit(False).alias("success"), F.col("bad").alias("message"))
+    switch = F.element_at(F.create_map(*(F.lit(x) for kv in DISPLAY.items() for x in kv)), F.col("display"))
+    name = F.when(F.col("display") == "page", "PAGEREF").otherwise(F.col("kind"))
+    code = F.array_join(F.filter(F.array(name, F.col("target"), switch, F.when(F.coalesce("linked", F.lit(True)), "\\h").otherwise("")), lambda x: x != ""), " ")
+    shown = F.when((F.col("display") == "text") & (name == "REF"), F.coalesce("preview", F.lit(""))).otherwise(_UNKNOWN)
+    char = lambda what, more="": f'<w:r><w:fldChar w:fldCharType="{what}"{more}/></w:r>'
+    xml = joined(char("begin", ' w:dirty="true"'), '<w:r><w:instrText xml:space="preserve"> ', docx.escaped(code), " </w:instrText></w:r>", char("separate"), '<w:r><w:t xml:space="preserve">', docx.escaped(shown), "</w:t></w:r>", char("end"))
+    return patches(at, "inline", part="part", p_idx="p_idx", at="at", seq="seq", xml=xml), said.unionByName(refused)
+
+
 def comments(before: DataFrame, after: DataFrame, ranges: DataFrame, relationships: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Patches that save the comments of after (doc_id, comment_id, author, initials, text) that before hasn't, on the paragraphs of ranges (doc_id, comment_id, start_p_idx, end_p_idx)."""
     new = after.join(before.select("doc_id", "comment_id"), ["doc_id", "comment_id"], "left_anti").join(ranges.select("doc_id", "comment_id", "start_p_idx", "end_p_idx"), ["doc_id", "comment_id"])

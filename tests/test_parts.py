@@ -85,3 +85,27 @@ def test_comments_are_saved(spark, packages, found):
     assert {r.doc_id for r in entity(again, "relationships").where("rel_type = 'comments'").collect()} >= {"bare"} and entity(again, "errors").count() == 0
     read.unpersist()
     again.unpersist()
+
+
+def test_references_are_saved(spark, packages, found):
+    """A field's runs stand together, and what is edited behind it leaves them so."""
+    rows = [
+        ("a", 1, "intro", "The p", None, None, None), ("a", 2, "intro", "bold n", None, "page", None), ("a", 3, "intro", "owl c", "NOTEREF", "above_below", False), ("a", 4, "nothere", "plain", None, None, None),
+        ("a", 5, "intro", "plain", "SEQ", None, None), ("a", 6, "intro", "plain", None, "colour", None), ("a", 7, "intro", "absent", None, None, None),
+    ]
+    edits = spark.createDataFrame(rows, "doc_id string, seq int, target string, after string, kind string, display string, linked boolean")
+    put, said = parts.references(found("paragraphs"), found("bookmarks"), edits)
+    assert {r.seq: r.success for r in said.collect()} == {1: True, 2: True, 3: True, 4: False, 5: False, 6: False, 7: False}
+    saved = parts.patched(packages, put).where("doc_id = 'a'")
+    again = docx.entities(saved).cache()
+    got = {(r.p_idx, r.code, r.display, r.dirty) for r in docx.entity(again, "fields").where("part = 'word/document.xml'").collect()}
+    assert got == {(1, "REF intro \\h", "Introduction", True), (2, "PAGEREF intro \\h", "?", True), (3, "NOTEREF intro \\p", "?", True), (5, "REF intro \\h", "Introduction", False)}
+    runs = docx.entity(again, "runs")
+    todo = spark.createDataFrame([("a", 1, "replace_tracked", "lain", "LAIN")], "doc_id string, seq int, type string, find string, replace string")
+    after = tracked.apply(runs, todo)[0]
+    last = docx.entities(docx.saved(saved, tracked.changed_paragraphs(after, runs)))
+    fields = {(r.p_idx, r.code, r.display) for r in docx.entity(last, "fields").where("part = 'word/document.xml'").collect()}
+    assert fields == {f[:3] for f in got}
+    text = {r.p_idx: r.text for r in docx.entity(last, "paragraphs").where("part = 'word/document.xml'").collect()}
+    assert text[1] == "The pIntroductionLAIN green owl"
+    again.unpersist()
