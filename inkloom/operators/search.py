@@ -351,7 +351,7 @@ def word_windows(texts: list[str], low: str, least: float) -> Iterator[tuple[int
 
 
 def similar_texts(paragraphs: DataFrame, find: str, k: int = 3, least: float = 0.6) -> DataFrame:
-    """(doc_id, rank, found, score): the k most similar different windows of each document."""
+    """(doc_id, rank, found, score): the k most similar windows of each document that differ in more than case, of spellings alike the least by code point."""
     low = find.lower()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -363,16 +363,16 @@ def similar_texts(paragraphs: DataFrame, find: str, k: int = 3, least: float = 0
                 window = texts[i][a:e]
                 score = ratio(low, window.lower())
                 best = found.setdefault(i, {})
-                if score >= least and score > best.get(window.lower(), (0.0, ""))[0]:
+                if score >= least and window < best.get(window.lower(), (0.0, "\U0010ffff"))[1]:
                     best[window.lower()] = (score, window)
             for i, best in sorted(found.items()):
                 doc = d["doc_id"].iloc[i]
-                out += [(doc, t, s) for s, t in sorted(best.values(), key=lambda x: (-x[0], x[1]))[:k]]
+                out += [(doc, t, s) for s, t in sorted(best.values(), key=lambda x: (-x[0], x[1].lower()))[:k]]
             yield pd.DataFrame(out, columns=["doc_id", "found", "score"])
 
     kind = dict(paragraphs.dtypes)
     hits = paragraphs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind['doc_id']}, found string, score double")
-    once = hits.groupBy("doc_id", F.lower("found").alias("low")).agg(F.max_by("found", "score").alias("found"), F.max("score").alias("score"))
+    once = hits.groupBy("doc_id", F.lower("found").alias("low")).agg(F.min("found").alias("found"), F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "low"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("doc_id", "rank", "found", "score")
 

@@ -176,12 +176,33 @@ def batch_dry_run(spark, d):
     return search.dry_run(_p(spark, d), todo)
 
 
-@query()
+def _similarity(find: str, window: str) -> str:
+    """SQL for 2 * LCS / (both lengths) of a text and a column, row by row of bits."""
+    bits = " ".join(f"WHEN '{c}' THEN {sum(1 << i for i, x in enumerate(find) if x == c)}" for c in sorted(set(find)))
+    full, m = (1 << len(find)) - 1, len(find)
+    masks = f"list_transform(string_split({window}, ''), lambda c: CAST(CASE c {bits} ELSE 0 END AS BIGINT))"
+    row = f"list_reduce(list_prepend(CAST({full} AS BIGINT), {masks}), lambda r, m: ((r + (r & m)) | (r - (r & m))) & {full})"
+    return f"2 * ({m} - bit_count({row})) / ({m} + length({window}))"
+
+
+_FIND = "worthles"
+_LETTERS = " + ".join(f"CAST(contains(win, '{c}') AS INTEGER)" for c in sorted(set(_FIND)))
+
+
+@query(f"""WITH {P}, w AS (SELECT doc_id, p_idx, n, spot, substr(text, spot + 1, n) AS win FROM (SELECT *, unnest(range(0, length(text) - n + 1)) AS spot FROM p, (SELECT unnest([6, 7, 8, 9, 10]) AS n) WHERE length(text) >= n)),
+s AS (SELECT *, {_similarity(_FIND, "win")} AS score FROM w WHERE 2 * ({_LETTERS}) >= 0.85 * ({len(_FIND)} + n)),
+g AS (SELECT doc_id, p_idx, list([{{'spot': spot, 'n': n, 'found': win, 'score': score}}] ORDER BY score DESC, spot, n) AS xs FROM s WHERE score >= 0.85 GROUP BY doc_id, p_idx),
+b AS (SELECT doc_id, p_idx, unnest(list_reduce(xs, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: x[1].spot < y.spot + y.n AND y.spot < x[1].spot + x[1].n)) = 0 THEN list_concat(acc, x) ELSE acc END)) AS x FROM g)
+SELECT doc_id, p_idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p_idx, x.spot) - 1 AS INTEGER) AS index, CAST(x.spot AS INTEGER) AS pos, CAST(x.n AS INTEGER) AS len, x.found AS found, x.score AS score FROM b""")
 def fuzzy_find(spark, d):
     return search.find_all(_p(spark, d), "worthles", fuzzy={"threshold": 0.85})
 
 
-@query()
+@query(f"""WITH {P}, t AS (SELECT doc_id, p_idx, regexp_extract_all(text, '\\S+') AS w FROM p),
+v AS (SELECT doc_id, array_to_string(w[i:j], ' ') AS win FROM (SELECT doc_id, w, i, unnest(range(i, least(len(w), i + 6) + 1)) AS j FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t))),
+s AS (SELECT doc_id, min(win) AS found, lower(win) AS low FROM v WHERE length(win) BETWEEN 7 AND 13 GROUP BY doc_id, lower(win)),
+r AS (SELECT doc_id, found, low, {_similarity("worthless", "low")} AS score FROM s)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, low) AS INTEGER) AS rank, found, score FROM r WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, low) <= 3""")
 def similar_topk(spark, d):
     return search.similar_texts(_p(spark, d), "worthless", k=3, least=0.6)
 
@@ -636,7 +657,7 @@ def edit_disjoint(spark, d):
     return edits.apply_disjoint(_p(spark, d), docs)
 
 
-@query()
+@query(f"WITH {P} SELECT doc_id, p_idx, CASE WHEN {HEADING} THEN 'Heading1' END AS style, replace(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), chr(13), chr(10)) AS text FROM p")
 def docx_roundtrip(spark, d):
     """Texts written as packages and read back: (doc_id, p_idx, style, text)."""
     p = _p(spark, d).withColumn("style", F.when(_heading(), "Heading1"))
