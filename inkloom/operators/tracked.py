@@ -460,7 +460,7 @@ def replaced_whole(runs: DataFrame, targets: DataFrame, track: bool = True, auth
     return rewritten(whole, spans), change_rows(spans)
 
 
-def replaced_minimal(runs: DataFrame, targets: DataFrame, unfit: DataFrame | None = None, author: str = "Inkloom", date: str = "2024-01-01T00:00:00Z") -> tuple[DataFrame, DataFrame]:
+def replaced_minimal(runs: DataFrame, targets: DataFrame, unfit: DataFrame | None = None, author: str = "Inkloom", date: str = "2024-01-01T00:00:00Z", changes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(runs, changes) once some paragraphs read as another version of them does, only the words that differ marked: targets (doc_id, part, p_idx, new)."""
     whole = prepared(runs)
     text = visible(whole).join(targets.select(*KEYS, F.coalesce("new", F.lit("")).alias("new")), KEYS).where("text <> new")
@@ -469,7 +469,7 @@ def replaced_minimal(runs: DataFrame, targets: DataFrame, unfit: DataFrame | Non
         *KEYS, F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(0).alias("seq"), F.lit(0).alias("order"), F.when(F.col("text") != "", F.lit("deletion")).alias("kind"), "new", F.lit("insertion").alias("new_kind"),
         F.lit(author).alias("author"), F.lit(True).alias("track"), F.col("text").alias("found"), null.alias("bold"), null.alias("italic"),
     )
-    spans = written(numbered(by_hunks(spans, revised(whole, unfit)), top_ids(whole), date), "hunks")
+    spans = written(numbered(by_hunks(spans, revised(whole, unfit)), top_ids(whole, changes), date), "hunks")
     return rewritten(whole, spans), change_rows(spans)
 
 

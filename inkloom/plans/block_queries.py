@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkloom.functions import text as T
-from inkloom.operators import blocks, by_ref, changes, formatting, search, tracked
+from inkloom.operators import blocks, by_ref, changes, formatting, search, tracked, versions
 from inkloom.plans.edit_queries import _SAFE, _SPLIT, _edits, _lines, _runs
 from inkloom.plans.queries import HEADING, P, RUNS, _heading, _p, query
 from inkloom.plans.queries import _runs as change_runs
+from inkloom.plans.queries import _versions
 from inkloom.sources import docx, parts
 from inkloom.sources.tables import read, written
 
@@ -288,3 +290,18 @@ def docx_references_saved(spark, d):
     todo = docs.select("doc_id", F.lit(1).alias("seq"), F.lit("start").alias("target"), F.lit("disgusting").alias("after"), F.lit("page").alias("display"))
     put, _ = parts.references(docx.entity(found, "paragraphs"), marks, todo)
     return docx.entity(docx.entities(parts.patched(packages, put)), "fields").select(F.col("doc_id").cast("long").alias("doc_id"), "p_idx", "code", "display", "dirty")
+
+
+_LATER = f"""{P}, v AS (SELECT doc_id, p_idx, CASE WHEN p_idx % 5 = 2 THEN 'Revised. ' || text ELSE text END AS text FROM p WHERE p_idx % 7 <> 4)"""
+
+
+@query(f"WITH {_LATER} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p_idx) - 1 AS k, text FROM v")
+def versions_applied(spark, d):
+    """Documents brought to a later version by tracked changes: what stands there once all is accepted is that version."""
+    old, new = _versions(spark, d)
+    old, new = (df.withColumnRenamed("pair_id", "doc_id") for df in (old, new))
+    # Lines of the new version are numbered without gaps.
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("p_idx")) - 1
+    lines, runs, _ = versions.applied(old, _runs(spark, d), new.withColumn("p_idx", number.cast("int")))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("n")) - 1
+    return versions.visible(lines, runs).select("doc_id", rank.cast("long").alias("k"), "text")
