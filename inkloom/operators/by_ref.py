@@ -101,5 +101,6 @@ def comment(paragraphs: DataFrame, comments: DataFrame, ranges: DataFrame, edits
     marked = body.join(fit.select("doc_id", "seq", "first", "last"), "doc_id").where("p_idx between first and last")
     marked = marked.groupBy("doc_id", "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_idx", "t"))), lambda x: F.coalesce(x["t"], F.lit(""))), "").alias("marked_text"))
     new = fit.join(marked, ["doc_id", "seq"]).select("doc_id", F.col("first").alias("p_idx"), "last", "marked_text", "author", "text")
-    comments, ranges = entity_edits.add_comments(comments, ranges, new)
+    # Both tables are made from these rows, and each is read more than once.
+    comments, ranges = entity_edits.add_comments(comments, ranges, tracked.written(new, "ref-comments"))
     return comments, ranges, _said(at, wrong, "commented 1")

@@ -220,10 +220,10 @@ def quotes_denormalized(spark, d):
     return read(spark, d, "part").select("p_partkey", T.denormalize_quotes(F.concat("p_name", F.lit(" it’s “new”"))).alias("text"))
 
 
-def _packages(spark, d):
-    """(packages, entities) of texts, each line a paragraph."""
-    packages = docx.zipped(_xml(spark, d, "UTF-8"))
-    return packages, docx.entities(packages)
+def _packages(spark, d, *kinds):
+    """(packages, entities of some kinds) of texts, each line a paragraph: written, so that each is zipped once and parsed once."""
+    packages = written(docx.zipped(_xml(spark, d, "UTF-8")), "packages")
+    return packages, written(docx.entities(packages, *kinds), "entities")
 
 
 _LINKED = f"""p AS (SELECT doc_id, CAST(unnest(range(0, len(s))) AS INTEGER) AS p_idx, replace(unnest(s), chr(13), chr(10)) AS text FROM (SELECT doc_id, string_split({_SAFE}, chr(10)) AS s FROM documents)),
@@ -233,20 +233,20 @@ c AS (SELECT doc_id, CAST(sum((length(text) - length(replace(text, 'disgusting',
 @query(f"WITH {_LINKED} SELECT p.doc_id, p_idx, CASE WHEN n = 1 THEN replace(text, 'disgusting', 'disgusting (see <note>)') ELSE text END AS text FROM p JOIN c ON p.doc_id = c.doc_id")
 def docx_links_saved(spark, d):
     """A link with its relationship put behind a text that stands once in a package, saved and read back."""
-    packages, found = _packages(spark, d)
+    packages, found = _packages(spark, d, "paragraphs", "relationships")
     todo = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("seq"), F.lit(" (see <note>)").alias("text"), F.lit("disgusting").alias("after"), F.lit("http://a.b/?c&d").alias("url"), F.lit(None).cast("string").alias("anchor"))
     put, _ = parts.links(docx.entity(found, "paragraphs"), docx.entity(found, "relationships"), todo)
-    again = docx.entities(parts.patched(packages, put))
+    again = docx.entities(parts.patched(packages, put), "paragraphs")
     return docx.entity(again, "paragraphs").select(F.col("doc_id").cast("long").alias("doc_id"), "p_idx", "text")
 
 
 @query(f"WITH {_LINKED} SELECT doc_id, 'word/document.xml' AS part, 'rId2' AS rel_id, 'image' AS rel_type, 'media/image1.png' AS target, CAST(1371600 AS BIGINT) AS width, CAST(914400 AS BIGINT) AS height, 'insertion' AS change_type FROM c WHERE n = 1")
 def docx_pictures_saved(spark, d):
     """A picture put behind a text as a tracked change, saved with its part and relationship, and read back."""
-    packages, found = _packages(spark, d)
+    packages, found = _packages(spark, d, "paragraphs", "relationships", "parts")
     todo = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("seq"), F.lit("seal").alias("name"), F.lit("png").alias("extension"), F.lit(b"bytes of a picture").alias("content"), F.lit(1.5).alias("width_inches"), F.lit(1.0).alias("height_inches"), F.lit("disgusting").alias("after"), F.lit(True).alias("track"))
     put, _ = parts.images(docx.entity(found, "paragraphs"), docx.entity(found, "relationships"), docx.entity(found, "parts"), todo)
-    again = written(docx.entities(parts.patched(packages, put)), "entities")
+    again = written(docx.entities(parts.patched(packages, put), "images", "relationships", "parts", "changes"), "entities")
     seen = docx.entity(again, "images").join(docx.entity(again, "relationships").select("doc_id", F.col("source_part").alias("part"), "rel_id", "rel_type", "target"), ["doc_id", "part", "rel_id"])
     there = docx.entity(again, "parts").select("doc_id", F.substring("part", 6, 100).alias("target"))
     rows = seen.join(there, ["doc_id", "target"]).join(docx.entity(again, "changes").select("doc_id", "p_idx", "change_type"), ["doc_id", "p_idx"])
@@ -256,11 +256,12 @@ def docx_pictures_saved(spark, d):
 @query("SELECT doc_id, '0' AS comment_id, CAST(0 AS INTEGER) AS start_p_idx, CAST(0 AS INTEGER) AS end_p_idx, 'Is this & that so?' AS text FROM documents WHERE text IS NOT NULL")
 def docx_comments_saved(spark, d):
     """A comment on the first paragraph of packages without comments, saved with its part and read back."""
-    packages, found = _packages(spark, d)
+    packages, found = _packages(spark, d, "comments", "comment_ranges", "paragraphs", "relationships")
     before, ranges = docx.entity(found, "comments"), docx.entity(found, "comment_ranges").drop("part")
     todo = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("seq"), F.lit("p:0").alias("ref"), F.lit("Is this & that so?").alias("text"), F.lit("Olga").alias("author"))
     after, places, _ = by_ref.comment(docx.entity(found, "paragraphs"), before, ranges, todo)
-    again = written(docx.entities(parts.patched(packages, parts.comments(before, after, places, docx.entity(found, "relationships")))), "entities")
+    put = parts.comments(before, after, places, docx.entity(found, "relationships"))
+    again = written(docx.entities(parts.patched(packages, put), "comments", "comment_ranges"), "entities")
     spots = docx.entity(again, "comment_ranges").select("doc_id", "comment_id", "start_p_idx", "end_p_idx")
     return docx.entity(again, "comments").select("doc_id", "comment_id", "text").join(spots, ["doc_id", "comment_id"]).select(F.col("doc_id").cast("long").alias("doc_id"), "comment_id", "start_p_idx", "end_p_idx", "text")
 
@@ -284,12 +285,12 @@ def paragraphs_formatted(spark, d):
 SELECT c.doc_id, b.p_idx, 'PAGEREF start \\h' AS code, '?' AS display, TRUE AS dirty FROM c JOIN b ON c.doc_id = b.doc_id WHERE n = 1""")
 def docx_references_saved(spark, d):
     """A page reference put behind a text that stands once in a package, saved as a field and read back."""
-    packages, found = _packages(spark, d)
+    packages, found = _packages(spark, d, "paragraphs")
     docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"))
     marks = docs.select("doc_id", F.lit("start").alias("name"), F.lit(0).alias("p_idx"), F.lit("").alias("preview"))
     todo = docs.select("doc_id", F.lit(1).alias("seq"), F.lit("start").alias("target"), F.lit("disgusting").alias("after"), F.lit("page").alias("display"))
     put, _ = parts.references(docx.entity(found, "paragraphs"), marks, todo)
-    return docx.entity(docx.entities(parts.patched(packages, put)), "fields").select(F.col("doc_id").cast("long").alias("doc_id"), "p_idx", "code", "display", "dirty")
+    return docx.entity(docx.entities(parts.patched(packages, put), "fields"), "fields").select(F.col("doc_id").cast("long").alias("doc_id"), "p_idx", "code", "display", "dirty")
 
 
 _LATER = f"""{P}, v AS (SELECT doc_id, p_idx, CASE WHEN p_idx % 5 = 2 THEN 'Revised. ' || text ELSE text END AS text FROM p WHERE p_idx % 7 <> 4)"""

@@ -15,7 +15,7 @@ import copy
 import io
 import zipfile
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
@@ -170,6 +170,7 @@ def references(paragraphs: DataFrame, bookmarks: DataFrame, edits: DataFrame) ->
 def comments(before: DataFrame, after: DataFrame, ranges: DataFrame, relationships: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Patches that save the comments of after (doc_id, comment_id, author, initials, text) that before hasn't, on the paragraphs of ranges (doc_id, comment_id, start_p_idx, end_p_idx)."""
     new = after.join(before.select("doc_id", "comment_id"), ["doc_id", "comment_id"], "left_anti").join(ranges.select("doc_id", "comment_id", "start_p_idx", "end_p_idx"), ["doc_id", "comment_id"])
+    new = tracked.written(new, "new-comments")
     number = F.col("comment_id").cast("int")
     id_ = joined('w:id="', attribute(F.col("comment_id")), '"')
     body = joined("<w:comment ", id_, ' w:author="', attribute(F.coalesce("author", F.lit(""))), '" w:initials="', attribute(F.coalesce("initials", F.lit(""))), f'" w:date="{date}"><w:p><w:r><w:t xml:space="preserve">', docx.escaped(F.coalesce("text", F.lit(""))), "</w:t></w:r></w:p></w:comment>")
@@ -218,7 +219,10 @@ def _patched(content: bytes, rows: list[dict]) -> bytes:
                 name = "[Content_Types].xml"
             changed.setdefault(name, []).append(row)
     for name, mine in changed.items():
-        parts[name] = _part(parts.get(name), name, mine)
+        body = parts.get(name)
+        # Most packages have the same relationships and content types, and often get the same.
+        small = len(body or b"") + sum(len(x["xml"] or "") for x in mine) < 4096 and not any(x["content"] for x in mine)
+        parts[name] = _small_part(body, name, tuple(tuple(x.items()) for x in mine)) if small else _part(body, name, mine)
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as new:
         for name, body in parts.items():
@@ -226,6 +230,11 @@ def _patched(content: bytes, rows: list[dict]) -> bytes:
     return data.getvalue()
 
 
+@lru_cache(1024)
+def _small_part(body: bytes | None, name: str, rows: tuple) -> bytes:
+    return _part(body, name, [dict(x) for x in rows])
+
+
 def _element(xml: str) -> list[ET.Element]:
     spaces = " ".join(f'xmlns:{k}="{v}"' for k, v in SPACES.items())
     return list(ET.fromstring(f"<x {spaces}>{xml}</x>"))
@@ -234,7 +243,7 @@ def _element(xml: str) -> list[ET.Element]:
 def _part(body: bytes | None, name: str, rows: list[dict]) -> bytes:
     for prefix, uri in SPACES.items():
         ET.register_namespace(prefix, uri)
-    for _, (prefix, uri) in ET.iterparse(io.BytesIO(body), ["start-ns"]) if body else ():
+    for prefix, uri in docx.namespaces(body) if body else ():
         if not (prefix.startswith("ns") and prefix[2:].isdigit()) and (prefix or uri):
             ET.register_namespace(prefix, uri)
     if name.endswith(".rels"):

@@ -2,11 +2,13 @@
 
 import io
 import zipfile
+from xml.etree import ElementTree as ET
 
 import pytest
 from pyspark.sql import functions as F
 
 from inkloom.operators import by_ref, links, tracked
+from inkloom.plans import block_queries
 from inkloom.sources import docx, parts
 
 from .test_documents import PARTS, package
@@ -109,3 +111,23 @@ def test_references_are_saved(spark, packages, found):
     text = {r.p_idx: r.text for r in docx.entity(last, "paragraphs").where("part = 'word/document.xml'").collect()}
     assert text[1] == "The pIntroductionLAIN green owl"
     again.unpersist()
+
+
+def test_some_kinds_alone(packages, found):
+    """Entities of some kinds are those of a whole reading, a package that can't be read among them."""
+    for kinds in (("comments", "comment_ranges"), ("paragraphs",), ("relationships", "errors"), ("content_types", "styles", "fields", "images"), ("runs", "changes", "notes")):
+        some = {(r.doc_id, r.kind, r.row) for r in docx.entities(packages, *kinds).collect()}
+        assert some == {(r.doc_id, r.kind, r.row) for r in docx.entities(packages).collect() if r.kind in kinds} and some
+    with pytest.raises(ValueError):
+        docx.entities(packages, "paragraph")
+
+
+def test_packages_of_queries_are_read_once(spark, sf_dir):
+    """Each use of packages and of their entities reads what was written, and doesn't zip and parse again."""
+    for df in block_queries._packages(spark, sf_dir, "comments", "paragraphs"):
+        assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("body", [b'<a xmlns="u" xmlns:w="v>w"><b/></a>', b'<!-- <b x=\'> xmlns --><a xmlns:w="v"><b xmlns:q="r"/></a>', '<?xml version="1.0" encoding="UTF-16"?><a xmlns:w="v"/>'.encode("utf-16"), b"<a/>"])
+def test_namespaces(body):
+    assert list(docx.namespaces(body)) == [found for _, found in ET.iterparse(io.BytesIO(body), ["start-ns"])]
