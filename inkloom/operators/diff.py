@@ -6,10 +6,15 @@ per pair of texts (tokens) in Python, over Arrow batches; pairing, counting and
 
 from __future__ import annotations
 
+import heapq
 import re
+import sys
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
+from operator import eq
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +28,110 @@ MOST_HUNKS = 8
 HUNK = "array<struct<kind: string, start: int, end: int, old: string, new: string>>"
 
 
+#: Stretches of up to so many tokens are searched as strings; longer ones by numbered runs, whose time grows little faster than the text.
+_SHORT = 2048
+
+
+def _longest(x: str, y: str) -> tuple[int, int, int]:
+    """(i, j, size) of the longest run that two strings share: of those the first in x, then in y, as SequenceMatcher chooses."""
+    least = lambda p, q: max(map(len, bytes(map(eq, p, q)).split(b"\0")))
+    # Versions differ little: the longest run often lies where both start, or where both end, side by side.
+    size = max(1, least(x, y), least(x[::-1], y[::-1]))
+    there = {y[j : j + size] for j in range(len(y) - size + 1)}
+    able = [i for i in range(len(x) - size + 1) if x[i : i + size] in there]
+    if not able:
+        return 0, 0, 0
+    first = able[0]
+    for i in able:
+        while i + size < len(x) and x[i : i + size + 1] in y:
+            first, size = i, size + 1
+    return first, y.index(x[first : first + size]), size
+
+
+class _Grams:
+    """Runs of equal tokens in two texts: numbers that two places share if, and only if, the same 2^k tokens begin there."""
+
+    def __init__(self, a: list[str], b: list[str]):
+        self.cut = len(a)
+        ids: dict[str, int] = {}
+        self.levels = [np.array([ids.setdefault(t, len(ids)) for t in (*a, None, *b)], np.int64)]
+
+    def level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            x, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.unique(x[:-step] * (len(x) + 1) + x[step:], return_inverse=True)[1].reshape(-1))
+        return self.levels[k]
+
+    def at(self, start: int, end: int, length: int) -> np.ndarray:
+        """A number for the run of so many tokens at each place from start on that ends by end."""
+        k = length.bit_length() - 1
+        x = self.level(k)
+        n, rest = end - start - length + 1, length - (1 << k)
+        return x[start : start + n] * (len(self.levels[0]) + 1) + x[start + rest : start + rest + n]
+
+    def longest(self, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+        """(i, j, size) of the longest run that both stretches have: of those the first in the first text, then in the second, as SequenceMatcher chooses."""
+        blo, bhi = blo + self.cut + 1, bhi + self.cut + 1
+        both = lambda n: np.isin(self.at(alo, ahi, n), self.at(blo, bhi, n))
+        size, over = 0, min(ahi - alo, bhi - blo) + 1
+        step = 1
+        while size + step < over and both(size + step).any():
+            size += step
+            step *= 2
+        over = min(over, size + step)
+        while size + 1 < over:
+            mid = (size + over) // 2
+            size, over = (mid, over) if both(mid).any() else (size, mid)
+        if not size:
+            return alo, blo - self.cut - 1, 0
+        i = alo + int(both(size).argmax())
+        j = int((self.at(blo, bhi, size) == self.at(i, i + size, size)[0]).argmax())
+        return i, blo - self.cut - 1 + j, size
+
+
+def _gaps(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]] | None:
+    """The opcodes of SequenceMatcher(None, a, b, autojunk=False) that aren't equal; None once more than MOST_HUNKS stretches whose content differs are certain."""
+    blocks, ids, grams = [], {t: i for i, t in enumerate(dict.fromkeys((*a, *b)))}, None
+    if len(ids) > sys.maxunicode:  # more kinds of tokens than there are characters
+        return [o for o in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if o[0] != "equal"]
+    x, y = ("".join([chr(ids[t]) for t in tokens]) for tokens in (a, b))
+    blank = [chr(i) for t, i in ids.items() if t.isspace()]
+    words = lambda text: reduce(lambda left, c: left.replace(c, ""), blank, text)
+    # Stretches between blocks, the largest first. One whose words differ holds a hunk that counts, whatever is found within it.
+    todo, certain = [], 0
+
+    def put(alo: int, ahi: int, blo: int, bhi: int) -> int:
+        if alo == ahi and blo == bhi:
+            return 0
+        differ = int(words(x[alo:ahi]) != words(y[blo:bhi]))
+        if alo < ahi and blo < bhi:
+            heapq.heappush(todo, (-(ahi - alo) * (bhi - blo), differ, alo, ahi, blo, bhi))
+        return differ
+
+    certain += put(0, len(a), 0, len(b))
+    while todo:
+        if certain > MOST_HUNKS:
+            return None
+        _, differ, alo, ahi, blo, bhi = heapq.heappop(todo)
+        if set(x[alo:ahi]).isdisjoint(y[blo:bhi]):
+            continue
+        if max(ahi - alo, bhi - blo) <= _SHORT:
+            i, j, n = _longest(x[alo:ahi], y[blo:bhi])
+            i, j = alo + i, blo + j
+        else:
+            grams = grams or _Grams(a, b)
+            i, j, n = grams.longest(alo, ahi, blo, bhi)
+        if n:
+            blocks.append((i, j, n))
+            certain += put(alo, i, blo, j) + put(i + n, ahi, j + n, bhi) - differ
+    out, i, j = [], 0, 0
+    for k, m, n in [*sorted(blocks), (len(a), len(b), 0)]:
+        if (i, j) != (k, m):
+            out.append(("replace" if i < k and j < m else "delete" if i < k else "insert", i, k, j, m))
+        i, j = k + n, m + n
+    return out
+
+
 def text_hunks(old: str, new: str) -> list[dict] | None:
     """Changed stretches from old to new, at places of old; None if there are too many to be readable.
 
@@ -32,7 +141,10 @@ def text_hunks(old: str, new: str) -> list[dict] | None:
     at = [0]
     for t in a:
         at.append(at[-1] + len(t))
-    found = [(kind, i, k, "".join(a[i:k]), "".join(b[j:m])) for kind, i, k, j, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if kind != "equal"]
+    gaps = _gaps(a, b)
+    if gaps is None:
+        return None
+    found = [(kind, i, k, "".join(a[i:k]), "".join(b[j:m])) for kind, i, k, j, m in gaps]
     content = [bool((o + n).strip()) for *_, o, n in found]
     out = []
     for n, (kind, i, k, o, w) in enumerate(found):
