@@ -368,3 +368,21 @@ def test_results_are_those_of_their_sql(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert got == set(db.execute(SQL["edit_results"]).fetchall()) and len(got) == 20
+
+
+def test_many_edits_are_not_broadcast(spark, monkeypatch):
+    """Edits of many documents are merged with what they are joined with, however small their files are; the rows are the same."""
+    sent, plain = [], tracked.written
+
+    def seen(df, name):
+        if name in ("matches", "wanted", "cuts"):
+            sent.append("BroadcastHashJoin" in df._jdf.queryExecution().sparkPlan().toString())
+        return plain(df, name)
+
+    runs = spark.range(30).selectExpr("id as doc_id", "'word/document.xml' as part", "0 as p_idx", "0 as r_idx", "'one two one' as text", "'' as del_text", "false as in_ins", "false as in_del", "string(null) as change_id")
+    todo = spark.range(30).selectExpr("id as doc_id", "explode(array(named_struct('seq', 1, 'find', 'one', 'replace', '<1>'), named_struct('seq', 2, 'find', '<1>', 'replace', '<one>'))) as e").selectExpr("doc_id", "e.*", "'replace' as type", "'all' as occurrence")
+    few = sorted(map(tuple, tracked.visible(tracked.apply(runs, todo)[0]).collect()))
+    monkeypatch.setattr(tracked, "MANY", 10)
+    monkeypatch.setattr(tracked, "written", seen)
+    assert sorted(map(tuple, tracked.visible(tracked.apply(runs, todo)[0]).collect())) == few and few[0][3] == "<one> two <one>"
+    assert len(sent) == 6 and not any(sent)
